@@ -21,6 +21,8 @@ SLOTS, LEAST_BLOCKS = 1 << 17, 1 << 11
 MOST = 3
 #: Documents, or slots, that one step of a prefix sum covers, about.
 STEP = 2_000
+#: Sources whose totals are broadcast at the most; with more, Spark picks the join.
+FEW_SOURCES = 50_000
 GOLDEN = 0.6180339887498949
 
 
@@ -48,7 +50,8 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     rows = sizes.withColumn("__capped", F.coalesce(F.sum(cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("__free", F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     rows = rows.withColumn("__level", (F.sum("source_size").over(every) - F.col("__capped")) / F.col("__free"))
-    level = F.min(F.when(F.col("weight") * F.col("__level") <= cap, F.col("__level"))).over(every)
+    fits = F.when(F.col("weight") * F.col("__level") <= cap, F.struct(cap / F.col("weight"), "__n", "__level"))
+    level = F.min(fits).over(every)["__level"]
     return rows.withColumn("target", F.coalesce(F.least(F.col("weight") * level, cap.cast("double")), F.lit(0.0))).drop("__capped", "__free", "__level")
 
 
@@ -82,7 +85,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     wanted = wanted.withColumn("__till", F.sum("__slots").over(Window.orderBy("__n")))
     wanted = cut(wanted)  # a row per source
 
-    n_rows, n_slots = (int(x or 0) for x in wanted.agg(F.sum("__rows"), F.ceil(F.sum("__slots"))).first())
+    n_rows, n_slots, n_sources = (int(x or 0) for x in wanted.agg(F.sum("__rows"), F.ceil(F.sum("__slots")), F.count("*")).first())
+    if n_sources <= FEW_SOURCES:
+        wanted = F.broadcast(wanted)
     taken = _blocks_taken(wanted, n_slots)
     placed = _placed(rows, wanted, n_rows)
 
@@ -116,7 +121,7 @@ def _div(a: Column, b: Column) -> Column:
 def _blocks_taken(wanted: DataFrame, n_slots: int) -> DataFrame:
     """How often the schedule takes each block: __n, __b, __times."""
     spark = wanted.sparkSession
-    shares = F.broadcast(wanted.select("__n", "__blocks", F.coalesce(F.lag("__till").over(Window.orderBy("__n")), F.lit(0.0)).alias("__since"), "__till", F.max("__till").over(Window.partitionBy()).alias("__all")).where("__till > __since"))
+    shares = wanted.select("__n", "__blocks", F.coalesce(F.lag("__till").over(Window.orderBy("__n")), F.lit(0.0)).alias("__since"), "__till", F.max("__till").over(Window.partitionBy()).alias("__all")).where("__till > __since")
     slots = spark.range(n_slots).withColumn("__point", (F.col("id") * GOLDEN) % 1.0)
     point = F.col("__point") * F.col("__all")
     slots = slots.join(shares, (point >= F.col("__since")) & (point < F.col("__till"))).withColumn("__step", _div(F.col("id"), F.lit(STEP * 4)))
@@ -130,7 +135,7 @@ def _blocks_taken(wanted: DataFrame, n_slots: int) -> DataFrame:
 def _placed(rows: DataFrame, wanted: DataFrame, n_rows: int) -> DataFrame:
     """The rows of each source in shuffled order, with the number of words before each: __from."""
     steps = _steps(n_rows)
-    known = F.broadcast(wanted.select(F.col("source").alias("__source"), "__n", "source_size", "target", "__blocks"))
+    known = wanted.select(F.col("source").alias("__source"), "__n", "source_size", "target", "__blocks")
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__step", F.pmod(F.shiftrightunsigned("__hash", 20), F.lit(steps)))
     rows = rows.withColumn("__upper", _div(F.col("__step"), F.lit(max(1, int(steps**0.5)))))
     low = rows.groupBy("__n", "__upper", "__step").agg(F.sum("size").alias("__size"))
