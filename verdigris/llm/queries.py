@@ -11,6 +11,7 @@ from verdigris.llm.bpe import encode_documents
 from verdigris.llm import mixing, quality, toxicity
 from verdigris.llm.common import held_out, table
 from verdigris.llm.exact_dedup import exact_groups
+from verdigris.llm.ngram_join import ngram_components
 from verdigris.llm.topk import exact_topk
 
 
@@ -34,6 +35,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -54,7 +59,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op3_exact_dedup, op4_source_mix, op7_toxicity, op8_quality, op10_exact_topk)
+    for f in (op1_bpe_round_trip, op3_exact_dedup, op4_source_mix, op5_ngram_join, op7_toxicity, op8_quality, op10_exact_topk)
 }
 ORACLES: dict[str, str] = {
     "op10_exact_topk": """
