@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.bpe import encode_documents
-from verdigris.llm import mixing, quality, toxicity
+from verdigris.llm import licences, mixing, quality, toxicity
+from verdigris.llm.chat import perspectives
 from verdigris.llm.common import held_out, table
 from verdigris.llm.exact_dedup import exact_groups
+from verdigris.llm.line_dedup import line_dedup
 from verdigris.llm.ngram_join import ngram_components
 from verdigris.llm.topk import exact_topk
 
@@ -27,6 +29,13 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renderings of every dialogue, with the masks as text: begin-end, and so on."""
+    seen = perspectives(table(spark, sf_dir, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["begin"].cast("string"), m["end"].cast("string"))), ",")
+    return seen.select("conv_id", "speaker", "n_turns", "rendered", masks.alias("masks"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -39,6 +48,15 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: paragraphs, those with a licence, the families found and the confirmed ones."""
+    docs = table(spark, sf_dir, "documents")
+    found = licences.licence_paragraphs(docs, licences.learn(docs))
+    names = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["family"]))), ",")
+    sure = F.filter("hits", lambda h: h["confirmed"])
+    return found.select("doc_id", "n_paragraphs", F.size("hits").cast("long").alias("n_licence"), names(F.col("hits")).alias("families"), names(sure).alias("confirmed"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -53,15 +71,31 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op3_exact_dedup, op4_source_mix, op5_ngram_join, op7_toxicity, op8_quality, op10_exact_topk)
+    for f in (op1_bpe_round_trip, op2_chat_perspectives, op3_exact_dedup, op4_source_mix, op5_ngram_join, op6_licences, op7_toxicity, op8_quality, op9_line_dedup, op10_exact_topk)
 }
 ORACLES: dict[str, str] = {
+    "op2_chat_perspectives": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<\\|im_') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+     p AS (SELECT t.*, s.speaker, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END
+                  || chr(10) || text || '<|im_end|>' || chr(10) AS part FROM t JOIN s USING (conv_id)),
+     o AS (SELECT *, row_number() OVER w AS no, sum(length(part)) OVER (w ROWS UNBOUNDED PRECEDING) AS past FROM p
+           WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, speaker, count(*) AS n_turns, string_agg(part, '' ORDER BY no) AS rendered,
+       coalesce(string_agg((past - 11 - length(text))::BIGINT || '-' || (past - 1)::BIGINT, ',' ORDER BY no) FILTER (role = speaker), '') AS masks
+FROM o GROUP BY conv_id, speaker
+""",
     "op10_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
