@@ -1,26 +1,63 @@
-"""The corpus pipeline: documents in, training tokens out."""
+"""The corpus pipeline: documents in, tokens of a clean and mixed corpus out."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdigris.llm import bpe
+from verdigris.llm import bpe, mixing, toxicity
+from verdigris.llm.common import cut, table
+from verdigris.llm.exact_dedup import drop_copies
+from verdigris.llm.ngram_join import ngram_components
 from verdigris.llm.queries import tokenizer_path
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text that is left."""
-    return bpe.encode_documents(docs, tokenizer_path(), keep=("doc_id",), decoded=False)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model, out="__score").where(toxicity.rejected(F.col("__score")) == 0).drop("__score")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
+    return drop_copies(docs, keep="max")
+
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar texts the one with the smallest id stays; a null id is never another's copy."""
+    found = ngram_components(docs, size=5, percent=80)
+    goes = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("encode", encode)]
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token_ids (little-endian unsigned 32-bit) of every whole text that is left."""
+    return bpe.encode_documents(docs, tokenizer_path(), keep=("doc_id",), decoded=False).withColumnRenamed("ids", "token_ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+#: Trained models and hash draws have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages in order.  What a stage leaves is checkpointed, as later stages read it more than once."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs

@@ -46,6 +46,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
-    """The rows that stay, all columns; a row repeated with the same id stays once."""
-    gone = exact_groups(df, id_col, text, keep).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return df.join(gone, df[id_col].eqNullSafe(gone["__id"]), "left_semi").dropDuplicates([id_col])
+    """The rows that stay, with all their columns; of rows that repeat an id and a text, one stays."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    stays = exact_groups(df, id_col, text, keep).where("kept").select(key.alias("__key")).distinct()
+    return df.withColumn("__key", key).join(stays, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
