@@ -2,27 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from verdigris.plans import folds_and_metrics, sampling_and_turns, scalars, trends  # noqa: F401
+from verdigris.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def turn_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    tokens = F.when(F.length("text") == 0, 0).otherwise(F.floor(F.length("text") / 3.6) + 1)
-    per = turns.groupBy("conv_id").agg(F.max_by("role", "turn").alias("final_role"), F.count("*").alias("n_turns"), F.sum(tokens).alias("n_tokens"))
-    return per.groupBy("final_role").agg(F.count("*").alias("n_conversations"), F.sum("n_turns").alias("n_turns"), F.sum("n_tokens").cast("bigint").alias("n_tokens"))
-
-
-QUERIES["turn_log_summary"] = turn_log_summary
-ORACLES["turn_log_summary"] = """
-SELECT final_role, count(*) AS n_conversations, sum(n_turns)::BIGINT AS n_turns, sum(n_tokens)::BIGINT AS n_tokens
-FROM (SELECT conv_id, arg_max(role, turn) AS final_role, count(*) AS n_turns,
-             sum(CASE WHEN length(text) = 0 THEN 0 ELSE floor(length(text) / 3.6) + 1 END) AS n_tokens
-      FROM conversations GROUP BY conv_id)
-GROUP BY final_role
-"""
+__all__ = ["ORACLES", "QUERIES"]
