@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,16 +22,33 @@ def _text(x: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def fold_marks(values: pd.Series) -> pd.Series:
-    """NFKD without combining marks; Spark has no built-in for it."""
+    """NFKD without combining marks, in full; Spark has no built-in for it, and it cannot stand inside a higher-order function."""
     return values.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")
 
 
-def normalize_text(x: Column, ascii_only: bool = False) -> Column:
+@lru_cache(1)
+def _fold_table() -> tuple[str, str]:
+    """Characters whose NFKD form without marks is one other character, and the marks, which go."""
+    plain, marks = {}, []
+    for k in [*range(0x80, 0xD800), *range(0xF900, 0x10000)]:
+        c = chr(k)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(folded) == 1 and folded != c:
+            plain[c] = folded
+    return "".join([*plain, *marks]), "".join(plain.values())
+
+
+def normalize_text(x: Column, ascii_only: bool = False, full: bool = False) -> Column:
     """Lower case, marks dropped, punctuation to blanks, blanks collapsed; null gives an empty string.
 
-    ascii_only leaves the marks in place and so stays inside code generation.
+    Marks go by a table that stays inside the JVM and leaves characters alone
+    that decompose to several (ligatures, fractions); `full` folds those too,
+    in an Arrow function; ascii_only folds none.
     """
-    body = _text(x) if ascii_only else fold_marks(_text(x))
+    body = _text(x) if ascii_only else fold_marks(_text(x)) if full else F.translate(_text(x), *_fold_table())
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(body), PUNCTUATION, " "), "\\s+", " "))
 
 

@@ -30,7 +30,8 @@ def bm25_topk(queries: DataFrame, inventory: DataFrame, query_id: str, doc_id: s
     norm = k1 * (1 - b + b * F.col("len") / F.col("avg"))
     hits = known.join(tf, "t").join(size, "d").groupBy("q", "d").agg(F.sum(F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + norm)).alias("s"))
     scored = hits.join(ceiling, "q").select("q", "d", (F.col("s") / F.col("top")).alias("score")).where(F.col("score") >= threshold)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
+    # rounded, so that the order of a sum doesn't decide between documents of equal score
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "d"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score", "rank")
 
 

@@ -167,7 +167,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM
   q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark)),
   c AS (SELECT item_id, sum(idf) AS top FROM q JOIN i USING (t) GROUP BY 1),
   s AS (SELECT item_id, doc_id, sum(idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avgdl))) AS s FROM q JOIN i USING (t) JOIN f USING (t) JOIN l USING (doc_id), a GROUP BY 1, 2),
-  r AS (SELECT item_id, doc_id, round(s / top, 7) AS score, row_number() OVER (PARTITION BY item_id ORDER BY s / top DESC, doc_id)::INTEGER AS rank FROM s JOIN c USING (item_id))
+  r AS (SELECT item_id, doc_id, round(s / top, 7) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(s / top, 9) DESC, doc_id)::INTEGER AS rank FROM s JOIN c USING (item_id))
 SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3"""
 
 

@@ -41,7 +41,7 @@ def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def normalize_text_folded(spark: SparkSession, d: str) -> DataFrame:
     """The full form over all documents; marks are folded in an Arrow function, so there is no SQL for it."""
-    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("norm"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_text(F.col("text"), full=True)).alias("norm"))
 
 
 @query(

@@ -21,3 +21,13 @@ def local_session(name: str = "verdigris", cpus: int | None = None, **extra: str
     spark = SparkSession.builder.appName(name).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package; a cluster ships it with --py-files."""
+    from pathlib import Path
+
+    root, seen = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in seen.get("PYTHONPATH", "").split(os.pathsep):
+        seen["PYTHONPATH"] = os.pathsep.join(x for x in (root, seen.get("PYTHONPATH", "")) if x)
+    return spark

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The fact row: what one reply was asked, said and scored.
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "run_id string, dataset_id string, model_id string, template_id string, template_version string, prompt_mode string, selection_mode string, data_delivery_mode string, template_mode string, "
     "sample_id string, group_id string, status string, prompt_fingerprint string, task_kind string, input_tokens_est bigint, "
     "response struct<content: string, reasoning: string, finish_reason: string, status: string, attempts: bigint, latency_s: double, usage: map<string, bigint>>, "
