@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.common import text_batches
+
 #: Fixed value: how byte-level vocabularies cut text into words.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
 #: A lone space between two words always starts a piece, so text may be cut before it.
@@ -210,6 +212,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: tu
     Rows stay as they are, repeated ones too; other columns are left out, so
     none can clash.  An empty table gives no rows.
     """
+    text_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(compile_tokenizer(tokenizer))  # bounded by the vocabulary
     rows = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)

@@ -18,6 +18,13 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdigris-"))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python no more than so many rows at once: texts may be long, and a batch has to fit memory twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows in reliable storage, without their lineage."""
     shared_dir(df.sparkSession)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import held_out
+from verdigris.llm.common import held_out, text_batches
 from verdigris.llm.words import slices, strings
 
 
@@ -38,8 +38,9 @@ def train(rows: DataFrame, fit: Callable[[list[pa.Array], np.ndarray], bytes]) -
         y = np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([fit([x[0] for x in got], y, ids)], pa.binary())], ["model"])
 
+    text_batches(rows.sparkSession)
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()
-    return bytes(found[0][0])
+    return bytes(found[0][0]) if found else fit([], np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
 def with_scores(df: DataFrame, score: Callable[[pa.Array], np.ndarray], text: str = "text", out: str = "score") -> DataFrame:
@@ -48,6 +49,7 @@ def with_scores(df: DataFrame, score: Callable[[pa.Array], np.ndarray], text: st
     A null text counts as empty.  Batches are cut to a few MB before scoring, so
     long texts do not add up.
     """
+    text_batches(df.sparkSession)
     kept = [c for c in df.columns if c != out]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, "double")

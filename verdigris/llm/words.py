@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers, and those of its inverse."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for k, base in enumerate((_BASE, _BACK)):
             out = np.empty(size, U)
             out[0] = 1
@@ -45,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes at the most, one row at the least."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0]
     at = 0
