@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions.stats import token_estimate
-from verdigris.operators import reasoning
+from verdigris.operators import modes, reasoning
+from verdigris.plans.datasets import PLANS
 from verdigris.plans.registry import fixture, query, table
 
 
@@ -101,3 +102,40 @@ def interaction_relevance(spark: SparkSession, d: str) -> DataFrame:
     rows = fixture(spark, d, "items").groupBy("item").agg(v.alias("v"))
     out = reasoning.interaction(rows.withColumn("n", F.least(F.size("v"), F.lit(4))), "v", "n").drop("v", "n")
     return out.withColumn("irrelevant_actions", F.col("irrelevant_actions").cast("double")).withColumn("relevance_rate", F.round("relevance_rate", 9))
+
+
+@query(
+    """WITH d AS (SELECT * FROM (VALUES ('a', 'single', 'static', true), ('b', 'multi', 'static', true), ('c', 'none', 'static', false), ('d', 'none', 'interactive', false)) t(dataset_id, cardinality, delivery, objective)),
+  g AS (SELECT d.*, p, s FROM d, unnest(['io', 'cot', 'self-consistency', 'n/a']) x(p), unnest(['SCS', 'MCS', 'BOV', 'n/a']) y(s)
+    WHERE (p = 'n/a') = (delivery <> 'static') AND (s = 'n/a') = (delivery <> 'static' OR cardinality = 'none'))
+SELECT dataset_id, p AS prompt_mode, s AS selection_mode, NOT ((p = 'self-consistency' AND NOT objective) OR (s = 'SCS' AND cardinality = 'multi') OR (s = 'MCS' AND cardinality = 'single') OR (s = 'BOV' AND p = 'self-consistency')) AS accepted FROM g"""
+)
+def mode_admission(spark: SparkSession, d: str) -> DataFrame:
+    sets = spark.createDataFrame([("a", "single", "static", True), ("b", "multi", "static", True), ("c", "none", "static", False), ("d", "none", "interactive", False)], "dataset_id string, cardinality string, delivery string, objective boolean")
+    return modes.mode_grid(sets).select("dataset_id", "prompt_mode", "selection_mode", F.col("skip_reason").isNull().alias("accepted"))
+
+
+@query(
+    """WITH r AS (SELECT lang, upper(chr((65 + quality)::INTEGER)) = 'B' AS ok FROM documents JOIN labels USING (doc_id))
+SELECT 'accuracy' AS metric, round(avg(ok::INT), 9) AS value, count(*) AS n FROM r UNION ALL SELECT 'accuracy_' || lang, round(avg(ok::INT), 9), count(*) FROM r GROUP BY lang"""
+)
+def dataset_selection(spark: SparkSession, d: str) -> DataFrame:
+    """A selection dataset with language strata: answers read from replies, scored, averaged as a sparse map."""
+    rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    replies = rows.select("lang", F.concat(F.lit("I weigh A and B. Answer: ("), F.char(F.col("quality") + 65), F.lit(")")).alias("content"), F.lit("B").alias("gold"))
+    plan = PLANS["xcopa"]
+    return plan.aggregate(plan.score(replies)).withColumn("value", F.round("value", 9))
+
+
+@query(
+    """WITH r AS (SELECT dataset_id, prompt_mode, least(1, greatest(0, size / 40.0)) AS v FROM [grid] g WHERE id % 4 > 0),
+  m AS (SELECT dataset_id, 'explanation_judged' AS metric, avg(v) AS value, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT dataset_id, 'explanation_judged_' || CASE prompt_mode WHEN 'cot' THEN 'head' ELSE 'longtail' END, avg(v), count(*) FROM r GROUP BY 1, 2)
+SELECT dataset_id, metric, round(value, 9) AS value, n FROM m UNION ALL SELECT dataset_id, 'popularity_gap', round(max(value) FILTER (metric = 'explanation_judged_head') - max(value) FILTER (metric = 'explanation_judged_longtail'), 9), sum(n) FILTER (metric <> 'explanation_judged')::BIGINT FROM m GROUP BY 1"""
+)
+def dataset_judged(spark: SparkSession, d: str) -> DataFrame:
+    """A judged dataset with strata and their gap: items without a verdict have no metric."""
+    g = fixture(spark, d, "grid")
+    said = F.col("id") % 4 > 0
+    rows = g.select("dataset_id", F.lit("an answer").alias("content"), F.when(F.col("prompt_mode") == "cot", "head").otherwise("longtail").alias("popularity"), F.lit(None).cast("string").alias("verdict_label"), F.when(said, F.col("size") / 40.0).alias("verdict_score"))
+    plan = PLANS["commonwhy"]
+    return plan.aggregate(plan.score(rows), ("dataset_id",)).withColumn("value", F.round("value", 9))
