@@ -69,7 +69,7 @@ def judged(metric: str) -> Callable[[Column], tuple[Column, Column, Column]]:
     def score(c: Column) -> tuple[Column, Column, Column]:
         span = extract.answer_span(c, prefix="Answer:")
         said = F.col("verdict_label").isNotNull() | F.col("verdict_score").isNotNull()
-        value = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "verdict_score")), extract.positive(F.col("verdict_label"), F.col("verdict_score")).cast("double"))
+        value = F.coalesce(F.when(F.col("verdict_score").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "verdict_score"))), extract.positive(F.col("verdict_label"), F.col("verdict_score")).cast("double"))
         return _map(**{metric: F.when(said, value)}), span, span != ""
 
     return score
