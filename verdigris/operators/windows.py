@@ -92,3 +92,20 @@ def over_limit(df: DataFrame, keys: list[str], turn: str, limit: int) -> DataFra
 def running_cost(df: DataFrame, keys: list[str], turn: str, cost: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("cost", cost).withColumn("spent", F.sum("cost").over(w))
+
+
+def bootstrap_gap(df: DataFrame, keys: list[str], a: str, b: str, id_col: str, reps: int = 2000, seed: int = 0) -> DataFrame:
+    """95 % percentile interval of mean(b) - mean(a) over paired rows: low, high.
+
+    Each replicate weighs rows by Poisson(1) counts drawn from a hash of seed,
+    replicate and id, so it is a sum that tasks pre-aggregate, and reruns agree.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("__rep"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    weight, total, mass = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(9):
+        total += mass
+        weight = weight + (u >= total).cast("int")
+        mass /= k + 1
+    rows = df.withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("__w", weight)
+    per = rows.groupBy(*keys, "__rep").agg((F.sum(F.col("__w") * (F.col(b) - F.col(a))) / F.nullif(F.sum("__w"), F.lit(0))).alias("gap"))
+    return per.groupBy(*keys).agg(F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"))
