@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import cut
+from verdigris.llm.common import cut, text_batches
 from verdigris.llm.components import components
 from verdigris.llm.words import Texts, U, join_hashes, mix, slices, strings
 
@@ -31,10 +31,11 @@ from verdigris.llm.words import Texts, U, join_hashes, mix, slices, strings
 COUNTERS, PIECES = 1 << 18, 64
 #: Hash ranges of the suffix filter.
 CELLS = 16
-#: Ids that are broadcast to pick texts for verification at the most; beyond, texts are joined by a shuffle.
-FEW_IDS = 500_000
-#: Rounds of one-hub verification before the full join.
-HUB_ROUNDS = 2
+PACKED = tuple(f"h{k}" for k in range(CELLS // 8))
+#: Pairs that are broadcast to fetch texts for verification at the most; beyond, texts are joined by a shuffle.
+FEW_PAIRS = 150_000
+#: Rows with an equal in the table that are broadcast to leave them out at the most.
+FEW_EQUALS = 150_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -105,24 +106,29 @@ def _prefixes(texts: DataFrame, sketch: np.ndarray, size: int, percent: int) ->
             column = strings(batch.column(1))
             for a, b in slices(column):
                 sets = shingle_sets(column.slice(a, b - a), size)
-                first, second, prefix, cells = [], [], [], []
+                first, second, prefix, cells, last = [], [], [], [], []
                 for s in sets:
                     first.append(np.sum(mix(s ^ U(0xA5A5A5A5A5A5A5A5))).view(np.int64))
                     second.append(np.sum(mix(s + U(0x0F0F0F0F0F0F0F0F))).view(np.int64))
                     n = len(s)
                     take = n - -(-percent * n // 100) + 1 if n else 0
                     key = rank[(s & U(COUNTERS - 1)).astype(np.int64)] | s >> U(16)
-                    prefix.append(s[np.argsort(key, kind="stable")[:take]].view(np.int64))
-                    cells.append(np.bincount((s >> U(60)).astype(np.int64), minlength=CELLS))
+                    order = np.argsort(key, kind="stable")[:take]
+                    prefix.append(s[order].view(np.int64))
+                    last.append(int(key[order[-1]]) >> 32 if n else 0)
+                    # counts stand modulo 256: their distance round the circle is never more than the true one
+                    cells.append(np.bincount((s >> U(60)).astype(np.int64), minlength=CELLS).astype(np.uint8).view("<i8"))
+                packed = np.array(cells, np.int64).reshape(-1, len(PACKED))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                        pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32())),
+                        pa.array(prefix, pa.list_(pa.int64())), pa.array(last, pa.int64()),
+                        *[pa.array(packed[:, k]) for k in range(len(PACKED))],
                     ],
-                    ["id", "n", "f1", "f2", "prefix", "cells"],
+                    ["id", "n", "f1", "f2", "prefix", "last", *PACKED],
                 )
 
-    return texts.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, cells array<int>")
+    return texts.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, last bigint" + "".join(f", {c} bigint" for c in PACKED))
 
 
 def _least_overlap(percent: int) -> Column:
@@ -135,15 +141,44 @@ def _may_link(percent: int) -> Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
+def _most_overlap(a: str, b: str) -> Column:
+    """Which of two bounds on the overlap holds, by where the prefixes end.
+
+    All of a prefix that ends first lies within the other's prefix or nowhere
+    in the other set, so the bound that comes from that prefix holds.
+    """
+    return F.when(F.col("la") < F.col("lb"), F.col(a)).when(F.col("lb") < F.col("la"), F.col(b)).otherwise(F.greatest(a, b))
+
+
+def _may_overlap(percent: int) -> Column:
+    """Position filter on a shared shingle: prefix shingles that no other prefix has are not shared."""
+    return _most_overlap("oa", "ob") >= _least_overlap(percent)
+
+
+def _suffix_may(percent: int) -> Column:
+    """Suffix filter: what differs in the counts per hash range differs in the sets."""
+    apart = F.lit(0)
+    for c in PACKED:
+        for shift in range(0, 64, 8):
+            x, y = (F.shiftright(F.col(f"{c}{side}"), shift).bitwiseAND(F.lit(255)) for side in "ab")
+            apart = apart + F.least(F.abs(x - y), 256 - F.abs(x - y))
+    return F.col("na") + F.col("nb") - apart >= 2 * _least_overlap(percent)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, from their texts."""
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    n = ids.count()
+    pairs = cut(pairs.select("a", "b"))
+    n = pairs.count()
     if n == 0:
-        return pairs.select("a", "b")
-    wanted = texts.join(F.broadcast(ids) if n <= FEW_IDS else ids, "id", "left_semi")
-    both = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        return pairs
+    if n <= FEW_PAIRS:
+        one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(F.broadcast(pairs), "a")
+        two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        both = one.join(two, "b").select("a", "b", "ta", "tb")
+    else:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = texts.join(ids, "id", "left_semi")
+        both = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,14 +202,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _suffix_filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the counts per cell allow: what differs there differs in the sets."""
-    cells = sets.select("id", "cells")
-    left = pairs.join(cells.select(F.col("id").alias("a"), F.col("cells").alias("ca")), "a").join(cells.select(F.col("id").alias("b"), F.col("cells").alias("cb")), "b")
-    apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return left.where(F.col("na") + F.col("nb") - apart >= 2 * _least_overlap(percent)).select("a", "b")
-
-
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Each row's set size and component: id_col, n_shingles, component_id.
 
@@ -187,45 +214,54 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     links of each count for all of them.  Other columns are left out; an empty
     table gives no rows.  Shingles are compared by 64-bit hashes.
     """
+    text_batches(df.sparkSession)
     texts = _texts(df, id_col, text)
     sketch = frequency_sketch(texts, size)
     sets = cut(_prefixes(texts, sketch, size, percent))
     some = sets.where("n > 0")
     classes = cut(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rid")))
-    stands = classes.where("rid IS NOT NULL").withColumnRenamed("rid", "id")
-    heads = cut(some.join(stands, ["id", "f1", "f2", "n"], "left_semi"))
+    # one row stands for each class; the others are few enough to be sent, or meet their class by a shuffle
+    equals = some.groupBy("f1", "f2", "n").agg(F.count("*").alias("__many")).where("__many > 1").select("f1", "f2", "n")
+    others = cut(some.select("id", "f1", "f2", "n").join(equals, ["f1", "f2", "n"]).join(classes, ["f1", "f2", "n"]).where(~F.col("id").eqNullSafe(F.col("rid"))).select("id", "f1", "f2").distinct())
+    heads = some.where("id IS NOT NULL").join(F.broadcast(others) if others.count() <= FEW_EQUALS else others, ["id", "f1", "f2"], "left_anti")
 
-    posted = heads.select("id", "n", F.size("prefix").alias("m"), F.explode("prefix").alias("token"))
+    posted = heads.select("id", F.explode("prefix").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("__many")).where("__many > 1").select("token")
-    posted = cut(posted.join(often, "token", "left_semi").withColumn("band", F.floor(F.log("n") / -np.log(percent / 100)) if percent < 100 else F.col("n")))
-
-    links = None
-    found = posted.select("id").distinct().select("id", F.col("id").alias("component")).limit(0)
-    for turn in range(HUB_ROUNDS):
-        # members of a prefix group, kept apart by length, against one of them
-        known = posted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        draw = F.struct(F.xxhash64(F.lit(turn), F.col("component")), "component", "id", "n", "m")
-        hubs = known.groupBy("token", "band").agg(F.min(draw).alias("hub"), F.count("*").alias("__many")).where("__many > 1")
-        near = known.join(hubs, ["token", "band"]).where("component <> hub.component")
-        near = near.groupBy("id", F.col("hub.id").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb")).agg(F.count("*").alias("c")).where(_may_link(percent))
-        best = near.groupBy("id").agg(F.max(F.struct("c", "b", "na", "nb")).alias("x")).select(F.col("id").alias("a"), "x.*")
-        good = _verified(_suffix_filtered(best, heads, percent), texts, size, percent)
-        links = cut(good if links is None else links.unionByName(good))
-        found = cut(components(links).withColumnRenamed("node", "id"))
+    posted = cut(posted.join(often, "token", "left_semi"))
+    # o: what is left of the set without the prefix shingles that no other prefix has
+    m = F.size("prefix")
+    shared = posted.groupBy("id").agg(F.count("*").alias("s"))
+    about = heads.join(shared, "id").select("id", "n", (F.col("n") - m).alias("rest"), (F.col("n") - m + F.col("s")).alias("o"), "last", *PACKED, (F.col("s") / m).alias("central"))
+    band = F.floor(F.log("n") / -np.log(percent / 100)) if percent < 100 else F.col("n")
+    posted = cut(posted.join(about, "id").withColumn("band", band))
+    names = (("n", "n"), ("rest", "r"), ("o", "o"), ("last", "l"), *[(c, c) for c in PACKED])
+    sides = lambda x: [F.col(c).alias(f"{short}{x}") for c, short in names]
+    may = _may_link(percent) & _may_overlap(percent) & _suffix_may(percent)
+
+    # members of a prefix group, kept apart by length, against the one of them that shares most
+    draw = F.struct("central", (-F.col("id")).alias("low"), "id", *[c for c, _ in names])
+    hubs = posted.groupBy("token", "band").agg(F.max(draw).alias("hub"), F.count("*").alias("__many")).where("__many > 1")
+    hubs = hubs.select("token", "band", F.col("hub.id").alias("b"), *[F.col(f"hub.{c}").alias(f"{short}b") for c, short in names])
+    near = posted.select("token", "band", F.col("id").alias("a"), *sides("a")).join(hubs, ["token", "band"]).where((F.col("a") != F.col("b")) & may)
+    best = near.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
+    links = cut(_verified(best, texts, size, percent))
+    found = cut(components(links).withColumnRenamed("node", "id"))
 
     # all pairs of a prefix group whose components differ: its commonest component is held only against the others
     known = posted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = known.groupBy("token", "component").agg(F.count("*").alias("__many"))
     mixed = counts.groupBy("token").agg(F.max(F.struct("__many", "component")).alias("top"), F.count("*").alias("__kinds")).where("__kinds > 1").select("token", F.col("top.component").alias("main"))
-    known = cut(known.join(mixed, "token").withColumn("minor", F.col("component") != F.col("main")).select("token", "id", "n", "m", "component", "minor"))
-    one = known.where("minor").select("token", F.col("id").alias("x"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("kx"))
-    two = known.select("token", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("component").alias("ky"), "minor")
-    pairs = one.join(two, "token").where((F.col("kx") != F.col("ky")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & _may_link(percent))
-    swap = F.col("x") > F.col("y")
-    pairs = pairs.select(*[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(name) for p, q, name in (("x", "y", "a"), ("na", "nb", "na"), ("ma", "mb", "ma"))], *[F.when(swap, F.col(p)).otherwise(F.col(q)).alias(name) for p, q, name in (("x", "y", "b"), ("na", "nb", "nb"), ("ma", "mb", "mb"))])
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max(F.greatest(F.col("na") - F.col("ma"), F.col("nb") - F.col("mb"))).alias("rest"))
-    pairs = pairs.where(F.col("c") + F.col("rest") >= _least_overlap(percent))
-    good = _verified(_suffix_filtered(pairs, heads, percent), texts, size, percent)
+    known = cut(known.join(mixed, "token").withColumn("minor", F.col("component") != F.col("main")).select("token", "id", *[c for c, _ in names], "component", "minor"))
+    one = known.where("minor").select("token", F.col("id").alias("a"), *sides("a"), F.col("component").alias("ka"))
+    two = known.select("token", F.col("id").alias("b"), *sides("b"), F.col("component").alias("kb"), "minor")
+    pairs = one.join(two, "token").where((F.col("ka") != F.col("kb")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & may)
+    # a pair stands the same way round in each of its groups
+    least, most = F.struct(F.col("a").alias("id"), *[F.col(f"{c}a").alias(c) for c in "nrl"]), F.struct(F.col("b").alias("id"), *[F.col(f"{c}b").alias(c) for c in "nrl"])
+    pairs = pairs.select(F.least(least, most).alias("x"), F.greatest(least, most).alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *[F.col(f"{v}.{c}").alias(f"{c}{w}") for v, w in (("x", "a"), ("y", "b")) for c in "nrl"], "c")
+    # the shingles shared in the prefixes, and all that may follow
+    pairs = pairs.where(F.col("c") + _most_overlap("ra", "rb") >= _least_overlap(percent))
+    good = _verified(pairs, texts, size, percent)
     found = components(links.unionByName(good)).withColumnRenamed("node", "rid")
 
     classes = classes.join(found, "rid", "left").select("f1", "f2", "n", F.coalesce("component", "rid").alias("component_id"))
