@@ -85,6 +85,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_bpe_round_trip, op2_chat_perspectives, op3_exact_dedup, op4_source_mix, op5_ngram_join, op6_licences, op7_toxicity, op8_quality, op9_line_dedup, op10_exact_topk)
 }
 ORACLES: dict[str, str] = {
+    "op5_ngram_join": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')]
+                  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+     n AS (SELECT doc_id, len(s) AS n FROM s),
+     e AS (SELECT doc_id, unnest(s) AS e FROM s),
+     i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM e x JOIN e y ON x.e = y.e AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+     l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 90 * (p.n + q.n - i)),
+     r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT doc_id, n AS n_shingles, min(reached) AS component_id FROM r JOIN n USING (doc_id) GROUP BY 1, 2
+""",
     "op2_chat_perspectives": """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<\\|im_') AS text FROM conversations WHERE conv_id IS NOT NULL),
      s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
