@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import cut, text_batches
@@ -136,6 +136,11 @@ def _least_overlap(percent: int) -> Column:
     return F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
 
 
+def _rest(n: str, percent: int) -> Column:
+    """What of a set of n shingles lies after its prefix."""
+    return F.ceil(F.col(n) * percent / 100) - 1
+
+
 def _may_link(percent: int) -> Column:
     """Length filter."""
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -227,22 +232,22 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     posted = heads.select("id", F.explode("prefix").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("__many")).where("__many > 1").select("token")
-    posted = cut(posted.join(often, "token", "left_semi"))
+    posted = posted.join(often, "token", "left_semi").withColumn("s", F.count("*").over(Window.partitionBy("id")))
     # o: what is left of the set without the prefix shingles that no other prefix has
-    m = F.size("prefix")
-    shared = posted.groupBy("id").agg(F.count("*").alias("s"))
-    about = heads.join(shared, "id").select("id", "n", (F.col("n") - m).alias("rest"), (F.col("n") - m + F.col("s")).alias("o"), "last", *PACKED, (F.col("s") / m).alias("central"))
+    about = heads.select("id", "n", "last", *PACKED)
+    posted = cut(posted.join(about, "id").select("token", "id", "n", (_rest("n", percent) + F.col("s")).alias("o"), "last", *PACKED))
     band = F.floor(F.log("n") / -np.log(percent / 100)) if percent < 100 else F.col("n")
-    posted = cut(posted.join(about, "id").withColumn("band", band))
-    names = (("n", "n"), ("rest", "r"), ("o", "o"), ("last", "l"), *[(c, c) for c in PACKED])
+    central = F.col("o") - _rest("n", percent)
+    names = (("n", "n"), ("o", "o"), ("last", "l"), *[(c, c) for c in PACKED])
     sides = lambda x: [F.col(c).alias(f"{short}{x}") for c, short in names]
     may = _may_link(percent) & _may_overlap(percent) & _suffix_may(percent)
 
     # members of a prefix group, kept apart by length, against the one of them that shares most
-    draw = F.struct("central", (-F.col("id")).alias("low"), "id", *[c for c, _ in names])
-    hubs = posted.groupBy("token", "band").agg(F.max(draw).alias("hub"), F.count("*").alias("__many")).where("__many > 1")
+    draw = F.struct(central.alias("central"), (-F.col("id")).alias("low"), "id", *[c for c, _ in names])
+    banded = posted.withColumn("band", band)
+    hubs = banded.groupBy("token", "band").agg(F.max(draw).alias("hub"), F.count("*").alias("__many")).where("__many > 1")
     hubs = hubs.select("token", "band", F.col("hub.id").alias("b"), *[F.col(f"hub.{c}").alias(f"{short}b") for c, short in names])
-    near = posted.select("token", "band", F.col("id").alias("a"), *sides("a")).join(hubs, ["token", "band"]).where((F.col("a") != F.col("b")) & may)
+    near = banded.select("token", "band", F.col("id").alias("a"), *sides("a")).join(hubs, ["token", "band"]).where((F.col("a") != F.col("b")) & may)
     best = near.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
     links = cut(_verified(best, texts, size, percent))
     found = cut(components(links).withColumnRenamed("node", "id"))
@@ -256,11 +261,11 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     two = known.select("token", F.col("id").alias("b"), *sides("b"), F.col("component").alias("kb"), "minor")
     pairs = one.join(two, "token").where((F.col("ka") != F.col("kb")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & may)
     # a pair stands the same way round in each of its groups
-    least, most = F.struct(F.col("a").alias("id"), *[F.col(f"{c}a").alias(c) for c in "nrl"]), F.struct(F.col("b").alias("id"), *[F.col(f"{c}b").alias(c) for c in "nrl"])
+    least, most = F.struct(F.col("a").alias("id"), *[F.col(f"{c}a").alias(c) for c in "nl"]), F.struct(F.col("b").alias("id"), *[F.col(f"{c}b").alias(c) for c in "nl"])
     pairs = pairs.select(F.least(least, most).alias("x"), F.greatest(least, most).alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *[F.col(f"{v}.{c}").alias(f"{c}{w}") for v, w in (("x", "a"), ("y", "b")) for c in "nrl"], "c")
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *[F.col(f"{v}.{c}").alias(f"{c}{w}") for v, w in (("x", "a"), ("y", "b")) for c in "nl"], "c")
     # the shingles shared in the prefixes, and all that may follow
-    pairs = pairs.where(F.col("c") + _most_overlap("ra", "rb") >= _least_overlap(percent))
+    pairs = pairs.withColumn("ra", _rest("na", percent)).withColumn("rb", _rest("nb", percent)).where(F.col("c") + _most_overlap("ra", "rb") >= _least_overlap(percent))
     good = _verified(pairs, texts, size, percent)
     found = components(links.unionByName(good)).withColumnRenamed("node", "rid")
 
