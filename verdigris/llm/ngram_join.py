@@ -32,6 +32,10 @@ COUNTERS, PIECES = 1 << 18, 64
 #: Hash ranges of the suffix filter.
 CELLS = 16
 PACKED = tuple(f"h{k}" for k in range(CELLS // 8))
+#: Columns with the parity of the counts in 256 finer ranges, a bit each.
+PARITY = tuple(f"p{k}" for k in range(4))
+#: Similarity in percent from which the coarser ranges do.
+FINE = 90
 #: Pairs that are broadcast to fetch texts for verification at the most; beyond, texts are joined by a shuffle.
 FEW_PAIRS = 150_000
 #: Rows with an equal in the table that are broadcast to leave them out at the most.
@@ -106,7 +110,7 @@ def _prefixes(texts: DataFrame, sketch: np.ndarray, size: int, percent: int) ->
             column = strings(batch.column(1))
             for a, b in slices(column):
                 sets = shingle_sets(column.slice(a, b - a), size)
-                first, second, prefix, cells, last = [], [], [], [], []
+                first, second, prefix, cells, odd, last = [], [], [], [], [], []
                 for s in sets:
                     first.append(np.sum(mix(s ^ U(0xA5A5A5A5A5A5A5A5))).view(np.int64))
                     second.append(np.sum(mix(s + U(0x0F0F0F0F0F0F0F0F))).view(np.int64))
@@ -118,17 +122,19 @@ def _prefixes(texts: DataFrame, sketch: np.ndarray, size: int, percent: int) ->
                     last.append(int(key[order[-1]]) >> 32 if n else 0)
                     # counts stand modulo 256: their distance round the circle is never more than the true one
                     cells.append(np.bincount((s >> U(60)).astype(np.int64), minlength=CELLS).astype(np.uint8).view("<i8"))
+                    odd.append(np.packbits(np.bincount((s >> U(56)).astype(np.int64), minlength=64 * len(PARITY)).astype(np.uint8) & 1).view("<i8"))
                 packed = np.array(cells, np.int64).reshape(-1, len(PACKED))
+                parity = np.array(odd, np.int64).reshape(-1, len(PARITY))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
                         pa.array(prefix, pa.list_(pa.int64())), pa.array(last, pa.int64()),
-                        *[pa.array(packed[:, k]) for k in range(len(PACKED))],
+                        *[pa.array(packed[:, k]) for k in range(len(PACKED))], *[pa.array(parity[:, k]) for k in range(len(PARITY))],
                     ],
-                    ["id", "n", "f1", "f2", "prefix", "last", *PACKED],
+                    ["id", "n", "f1", "f2", "prefix", "last", *PACKED, *PARITY],
                 )
 
-    return texts.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, last bigint" + "".join(f", {c} bigint" for c in PACKED))
+    return texts.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, last bigint" + "".join(f", {c} bigint" for c in (*PACKED, *PARITY)))
 
 
 def _least_overlap(percent: int) -> Column:
@@ -170,6 +176,14 @@ def _suffix_may(percent: int) -> Column:
     return F.col("na") + F.col("nb") - apart >= 2 * _least_overlap(percent)
 
 
+def _parity_may(percent: int) -> Column:
+    """The same from finer ranges: where parities differ, counts differ by one at the least."""
+    apart = F.lit(0)
+    for c in PARITY:
+        apart = apart + F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b")))
+    return F.col("na") + F.col("nb") - apart >= 2 * _least_overlap(percent)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, from their texts."""
     pairs = cut(pairs.select("a", "b"))
@@ -222,7 +236,9 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     text_batches(df.sparkSession)
     texts = _texts(df, id_col, text)
     sketch = frequency_sketch(texts, size)
-    sets = cut(_prefixes(texts, sketch, size, percent))
+    # the less alike sets may be, the finer the ranges that tell them apart
+    finer = percent < FINE
+    sets = cut(_prefixes(texts, sketch, size, percent).drop(*() if finer else PARITY))
     some = sets.where("n > 0")
     classes = cut(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rid")))
     # one row stands for each class; the others are few enough to be sent, or meet their class by a shuffle
@@ -253,12 +269,18 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = cut(components(links).withColumnRenamed("node", "id"))
 
     # all pairs of a prefix group whose components differ: its commonest component is held only against the others
-    known = posted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if finer:
+        names = (("n", "n"), ("o", "o"), ("last", "l"), *[(c, c) for c in PARITY])
+        may = _may_link(percent) & _may_overlap(percent) & _parity_may(percent)
+        known = posted.select("token", "id", "n", "o", "last").join(heads.select("id", *PARITY).join(found, "id", "left"), "id")
+    else:
+        known = posted.join(found, "id", "left")
+    known = known.withColumn("component", F.coalesce("component", "id"))
     counts = known.groupBy("token", "component").agg(F.count("*").alias("__many"))
     mixed = counts.groupBy("token").agg(F.max(F.struct("__many", "component")).alias("top"), F.count("*").alias("__kinds")).where("__kinds > 1").select("token", F.col("top.component").alias("main"))
     known = cut(known.join(mixed, "token").withColumn("minor", F.col("component") != F.col("main")).select("token", "id", *[c for c, _ in names], "component", "minor"))
-    one = known.where("minor").select("token", F.col("id").alias("a"), *sides("a"), F.col("component").alias("ka"))
-    two = known.select("token", F.col("id").alias("b"), *sides("b"), F.col("component").alias("kb"), "minor")
+    one = known.where("minor").select("token", F.col("id").alias("a"), *[F.col(c).alias(f"{short}a") for c, short in names], F.col("component").alias("ka"))
+    two = known.select("token", F.col("id").alias("b"), *[F.col(c).alias(f"{short}b") for c, short in names], F.col("component").alias("kb"), "minor")
     pairs = one.join(two, "token").where((F.col("ka") != F.col("kb")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & may)
     # a pair stands the same way round in each of its groups
     least, most = F.struct(F.col("a").alias("id"), *[F.col(f"{c}a").alias(c) for c in "nl"]), F.struct(F.col("b").alias("id"), *[F.col(f"{c}b").alias(c) for c in "nl"])
