@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,16 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(cells) >> U(64 - BITS)).astype(np.int64)
 
 
+def _sets(columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each slice of the rows, the rows' distinct buckets in one array, and where each row's begin."""
+    for column in columns:
+        for a, b in slices(column):
+            part = Texts(column.slice(a, b - a), ~LETTER)
+            row, cell = features(part)
+            key = np.unique(row << BITS | cell)
+            yield (key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key >> BITS, np.arange(part.n + 1))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
@@ -39,16 +51,16 @@ def fit(columns: list[pa.Array], labels: np.ndarray, ids: np.ndarray, alpha: flo
     Returns the weights that L1 left, as (bucket, weight) pairs; bucket 2**BITS is the bias.
     Without rows the bias alone is left, at 0.
     """
+    # buckets are counted before any set is kept, so only what training uses takes memory
+    rows = np.zeros(1 << BITS, np.int64)
+    for buckets, _ in _sets(columns):
+        rows += np.bincount(buckets, minlength=1 << BITS)
     sets: list[np.ndarray] = []
-    for column in columns:
-        for a, b in slices(column):
-            part = Texts(column.slice(a, b - a), ~LETTER)
-            row, cell = features(part)
-            key = np.unique(row << BITS | cell)
-            ends = np.searchsorted(key >> BITS, np.arange(part.n + 1))
-            sets += [(key[ends[k] : ends[k + 1]] & ((1 << BITS) - 1)).astype(np.int32) for k in range(part.n)]
-    rows = np.bincount(np.concatenate(sets), minlength=1 << BITS) if sets else np.zeros(1 << BITS)
-    sets = [s[rows[s] >= LEAST_ROWS] for s in sets]
+    for buckets, at in _sets(columns):
+        keep = rows[buckets] >= LEAST_ROWS
+        at = np.concatenate([[0], np.cumsum(keep)])[at]
+        buckets = buckets[keep]
+        sets += [buckets[at[k] : at[k + 1]] for k in range(len(at) - 1)]
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     order = np.argsort(ids * 2654435761 % (1 << 32), kind="stable")
     bias = np.array([1 << BITS], np.int32)
