@@ -285,6 +285,28 @@ def test_line_dedup(spark, real):
     assert got[7_001]["n_deleted"] == 3 and got[7_003]["text"] == "x" and got[7_004]["n_deleted"] == 0
 
 
+def test_line_passages_whose_lines_also_stand_alone(spark):
+    """Every line of the passage stands earlier in a document of its own, among other lines."""
+    passage = [" ".join(f"q{k}_{j}" for j in range(22)) for k in range(3)]
+    alone = [(k + 1, f"before {k}\n{x}\nafter {k}") for k, x in enumerate(passage)]
+    mixed = [(4, "\n".join([passage[2], "x y", passage[0], passage[1]])), (5, "\n".join([passage[1], passage[2]]))]
+    short = [" ".join(f"r{j}" for j in range(60)), "tail of it"]
+    rows = [*alone, *mixed, (10, "\n".join(["a", *passage, "b"])), (11, "\n".join([passage[1], "c", *passage, "d"])), (12, "\n".join([*short, "e"])), (13, "\n".join(["f", *short]))]
+    want = deleted_lines(rows)
+    got = {r["doc_id"]: r["n_deleted"] for r in line_dedup.line_dedup(docs(spark, *[(i, t, "s") for i, t in rows])).collect()}
+    assert got == {i: len(x) for i, x in want.items()} and got[11] == 3 and got[13] == 2
+
+
+def test_line_runs_as_by_every_place(spark):
+    """Few lines in many orders."""
+    rng = np.random.default_rng(9)
+    lines = [" ".join(f"l{k}_{j}" for j in range(n)) for k, n in enumerate([1, 2, 7, 12, 16, 20, 25, 30, 48, 49, 50, 75])] + [""]
+    rows = [(k, "\n".join(rng.choice(lines, int(rng.integers(0, 30))))) for k in range(150)]
+    want = deleted_lines(rows)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, *[(i, t, "s") for i, t in rows])).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
+
+
 def test_line_edges(spark):
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(edge(spark)).collect()}
     assert len(got) == 8 and got[2]["text"] is None and got[4]["text"] == " \n\t" and all(r["n_deleted"] == 0 for r in got.values())

@@ -1,57 +1,57 @@
-"""Line dedup by winnowing over line hashes.  DataFrame functions only.
+"""Line dedup by hashes of stretches of lines.  DataFrame functions only.
 
-A window slides over each document's line hashes and its least hash becomes a
-fingerprint, so any run of WINDOW lines that two documents share has one in
-common; a line that is long enough to count alone is always one.  Each
-fingerprint is joined to its first place in the corpus, the match is extended
-both ways along the diagonal of the two documents, and the later of two equal
-runs is deleted if it has MIN_WORDS words.
+A stretch is the least number of lines, counted on from a line or back from it,
+that has MIN_WORDS words.  Where a stretch begins and ends depends on its own
+lines only, so a run that is repeated is a run of repeated stretches: each of
+its lines is in one that begins or ends inside the run and lies in it whole.
+Each stretch meets the first place in the corpus of the same stretch, however
+many places its single lines have, and is deleted if that is another place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import WORD, cut
 
-WINDOW, MIN_WORDS = 2, 50
+MIN_WORDS = 50
+#: Lines that are looked at together for the end of a stretch.
+STEP = 8
 
 
 def _hashed(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, and of the lines that are not blank the hashes, words and places in the text."""
+    """id, and of the lines that are not blank two hashes, words and places in the text."""
     lines = F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "\n", -1)
-    seen = F.filter(F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"), i.alias("r"))), lambda s: s["w"] > 0)
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), seen.alias("s")).where("id IS NOT NULL")
-    return rows.select("id", F.col("s.h").alias("h"), F.col("s.w").alias("w"), F.col("s.r").alias("r"))
+    row = lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w"), i.alias("r"))
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.filter(F.transform(lines, row), lambda s: s["w"] > 0).alias("s")).where("id IS NOT NULL")
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, line: the places (from 0) of lines in later repeated runs."""
-    docs = cut(_hashed(df, id_col, text).where(F.size("h") > 0).dropDuplicates(["id"]))
-    last = F.greatest(F.size("h") - window, F.lit(0))
-    least = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_min(F.slice("h", i + 1, window)))
-    picked = F.filter(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("p"), F.element_at("w", i + 1).alias("w"))), lambda s: (s["w"] >= min_words) | F.exists(F.slice(F.col("__least"), F.greatest(s["p"] - window + 2, F.lit(1)), window), lambda m: m == s["h"]))
-    prints = docs.withColumn("__least", least).select("id", F.inline(picked))
-    # within a document each line meets the one before it, across documents its first place the corpus's first
-    order = Window.partitionBy("id", "h").orderBy("p")
-    prints = prints.withColumn("before", F.lag("p").over(order))
-    heads = prints.where("before IS NULL")
-    first = heads.groupBy("h").agg(F.min(F.struct("id", "p")).alias("first"), F.count("*").alias("__many")).where("__many > 1")
-    apart = heads.join(first, "h").where(F.col("id") != F.col("first.id")).select("id", F.col("first.id").alias("other"), (F.col("p") - F.col("first.p")).alias("shift"))
-    within = prints.where("before IS NOT NULL").select("id", F.col("id").alias("other"), (F.col("p") - F.col("before")).alias("shift"))
-    diagonals = apart.unionByName(within).distinct()
+def _stretches(s: str, min_words: int, way: int) -> Column:
+    """Of each line of the array the stretch that goes on from it: 128 bits of hash (h, g), words w, lines; the array's order is `way`."""
+    state = lambda w, h, g, n: F.struct(w.alias("w"), h.alias("h"), g.alias("g"), n.alias("n"))
+    add = lambda a, x: F.when(a["w"] >= min_words, a).otherwise(state(a["w"] + x["w"], F.xxhash64(a["h"], x["h"]), F.xxhash64(a["g"], x["g"]), a["n"] + 1))
+    start = state(F.lit(0), F.lit(way).cast("long"), F.lit(way).cast("long"), F.lit(0))
+    # every line has a word
+    steps = F.sequence(F.lit(0), F.lit(max(min_words - 1, 0) // STEP))
+    from_line = lambda i: F.aggregate(steps, start, lambda a, k: F.when(a["w"] >= min_words, a).otherwise(F.aggregate(F.slice(s, i + 1 + STEP * k, STEP), a, add)))
+    ends = F.transform(s, lambda x, i: F.struct(from_line(i).alias("a"), x["w"].alias("w"), i.alias("i")))
+    whole = F.filter(ends, lambda x: (x["a"]["w"] >= min_words) & ((F.lit(way) > 0) | (x["a"]["w"] - x["w"] >= min_words)))
+    return F.transform(whole, lambda x: F.struct(x["a"]["h"].alias("h"), x["a"]["g"].alias("g"), F.transform(F.slice(s, x["i"] + 1, x["a"]["n"]), lambda y: y["r"]).alias("lines")))
+
 
-    pairs = diagonals.join(docs.select("id", "h", "w", "r"), "id").join(docs.select(F.col("id").alias("other"), F.col("h").alias("g")), "other")
-    begin, end = F.greatest(F.lit(0), "shift"), F.least(F.size("h"), F.size("g") + F.col("shift"))
-    same = F.filter(F.sequence(begin, end - 1), lambda i: F.element_at("h", i + 1) == F.element_at("g", i - F.col("shift") + 1))
-    places = pairs.select("id", "other", "shift", F.posexplode(same).alias("k", "p"), "w", "r").select("id", "other", "shift", (F.col("p") - F.col("k")).alias("run"), F.element_at("r", F.col("p") + 1).alias("line"), F.element_at("w", F.col("p") + 1).alias("w"))
-    # a run's lines are no more than its document's
-    runs = places.groupBy("id", "other", "shift", "run").agg(F.collect_list("line").alias("lines"), F.sum("w").alias("words")).where(F.col("words") >= min_words)
-    return runs.select("id", F.explode("lines").alias("line")).distinct()
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """id, line: the places (from 0) of lines in later repeated runs."""
+    docs = _hashed(df, id_col, text).where(F.size("s") > 0).dropDuplicates(["id"]).withColumn("b", F.reverse("s"))
+    # counted back, those that are no less when counted on, as the others are the same stretches
+    found = cut(docs.select("id", F.concat(_stretches("s", min_words, 1), _stretches("b", min_words, -1)).alias("s")).where(F.size("s") > 0))
+    places = found.select("id", F.inline("s")).withColumn("at", F.struct("id", F.array_min("lines").alias("line")))
+    first = places.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("__many")).where("__many > 1").drop("__many")
+    later = places.join(first, ["h", "g"]).where(F.col("at") != F.col("first"))
+    return later.select("id", F.explode("lines").alias("line")).distinct()
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows with later repeated runs of lines deleted from `text`, and n_lines, n_deleted.
 
     Of equal runs the one at the smallest (id, line) stays; a run has at least
@@ -61,7 +61,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window
     lines.  Columns named n_lines or n_deleted are replaced.  An empty table
     gives no rows.
     """
-    gone = repeated_lines(df, id_col, text, window, min_words).groupBy(F.col("id").alias("__id")).agg(F.collect_list("line").alias("__gone"))
+    gone = repeated_lines(df, id_col, text, min_words).groupBy(F.col("id").alias("__id")).agg(F.collect_list("line").alias("__gone"))
     kept = df.drop("n_lines", "n_deleted")
     rows = kept.join(gone, kept[id_col] == gone["__id"], "left")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
