@@ -110,6 +110,14 @@ def test_exact_edges(spark):
     assert exact_dedup.exact_groups(docs(spark)).count() == 0
 
 
+def test_drop_copies_by_id_and_text(spark):
+    rows = [(None, "lost", "a"), (None, "found", "a"), (None, "found", "b"), (None, "has one", "a"), (1, "has one", "a"), (2, "p", "a"), (2, "q", "a"), (3, "q", "a"), (2, "r", "a"), (4, None, "a"), (4, "", "a")]
+    for keep, q in (("min", 2), ("max", 3)):
+        got = exact_dedup.drop_copies(docs(spark, *rows), keep=keep).collect()
+        want = [(None, "lost"), (None, "found"), (1, "has one"), (2, "p"), (q, "q"), (2, "r"), (4, "")]
+        assert sorted(((r["doc_id"], r["text"] or "") for r in got), key=repr) == sorted(want, key=repr)
+
+
 # ------------------------------------------------------------------ 4
 
 

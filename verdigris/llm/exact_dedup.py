@@ -46,7 +46,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat an id and a text, one stays."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    stays = exact_groups(df, id_col, text, keep).where("kept").select(key.alias("__key")).distinct()
-    return df.withColumn("__key", key).join(stays, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    """The rows that stay, with all their columns; of rows that repeat an id and a text, one stays.
+
+    Rows meet their verdict by id and text, so a repeated or null id says
+    nothing about its other texts.
+    """
+    stays = exact_groups(df, id_col, text, keep).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
+    rows = df.withColumn("__sha256", F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
+    return rows.join(stays, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha256") == F.col("__kept")), "left_semi").dropDuplicates([id_col, "__sha256"]).drop("__sha256")
