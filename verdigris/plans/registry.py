@@ -80,4 +80,8 @@ SELECT event_id AS id, user_id AS item, event_type AS kind, CASE WHEN event_id %
 FROM {events}""",
     "ascii_pairs": """
 SELECT d.doc_id AS id, d.text AS p, b.text AS r FROM {documents} d JOIN {benchmark} b ON d.doc_id % 40 = b.item_id WHERE bit_length(d.text) = 8 * length(d.text)""",
+    # every document with an item, whatever their number
+    "pairs": """
+SELECT d.doc_id AS id, d.text AS p, b.text AS r FROM {documents} d CROSS JOIN (SELECT count(*) AS n FROM {benchmark}) c
+JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k FROM {benchmark}) b ON (d.doc_id % c.n + c.n) % c.n = b.k""",
 }

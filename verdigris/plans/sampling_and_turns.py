@@ -178,6 +178,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 7))
 
 
+@query()
+def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents count and can be found, whatever their characters."""
+    out = retrieval.bm25_topk(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", "text", 3)
+    return out.withColumn("score", F.round("score", 7))
+
+
 @query()
 def evidence_topk(spark: SparkSession, d: str) -> DataFrame:
     """Findings of each brand that a request names; ranks ties by key."""

@@ -38,6 +38,20 @@ def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.size("w") > 0).select("id", F.md5(F.array_join("w", " ")).alias("norm"), F.size("w").cast("bigint").alias("n"))
 
 
+@query()
+def normalize_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, folded by the table; DuckDB has no such table, so there is no SQL for it."""
+    n = text.normalize_text(F.col("p"))
+    return fixture(spark, d, "pairs").select("id", F.md5(n).alias("norm"), F.length(n).cast("bigint").alias("n"))
+
+
+@query()
+def normalize_answer_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, folded by the table; one without a word has an empty answer."""
+    w = text.tokens(F.col("p"))
+    return fixture(spark, d, "pairs").select("id", F.md5(F.array_join(w, " ")).alias("norm"), F.size(w).cast("bigint").alias("n"))
+
+
 @query()
 def normalize_text_folded(spark: SparkSession, d: str) -> DataFrame:
     """The full form over all documents; marks are folded in an Arrow function, so there is no SQL for it."""
@@ -70,9 +84,19 @@ SELECT id, CASE WHEN np = 0 OR nr = 0 THEN (np = nr)::DOUBLE WHEN o = 0 THEN 0.0
     )
 )
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
+    return _token_f1(fixture(spark, d, "ascii_pairs"), ascii_only=True)
+
+
+@query()
+def token_f1_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, folded by the table; a pair without a word on either side scores 1."""
+    q = fixture(spark, d, "pairs")
+    return q.select("id").join(_token_f1(q, ascii_only=False), "id", "left").fillna(1.0)
+
+
+def _token_f1(q: DataFrame, ascii_only: bool) -> DataFrame:
     """For long texts counts are summed by word, so a text never meets another word by word."""
-    q = fixture(spark, d, "ascii_pairs")
-    side = lambda c, a, b: q.select("id", F.explode(text.tokens(F.col(c), True)).alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    side = lambda c, a, b: q.select("id", F.explode(text.tokens(F.col(c), ascii_only)).alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"))
     counts = side("p", 1, 0).unionByName(side("r", 0, 1)).groupBy("id", "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     per = counts.groupBy("id").agg(F.sum(F.least("a", "b")).alias("o"), F.sum("a").alias("np"), F.sum("b").alias("nr"))
     prf = text.prf_of_counts(F.col("o"), F.col("np"), F.col("nr"))
