@@ -186,8 +186,11 @@ def linked(rows, size, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
-def test_ngram_components(spark, real, size, percent):
+@pytest.mark.parametrize(("size", "percent", "limits"), [(3, 90, {}), (5, 80, {}), (5, 80, {"FEW_PAIRS": 0, "FEW_EQUALS": 0, "WORK": 0, "PAIR_BYTES": 1})])
+def test_ngram_components(spark, real, size, percent, limits, monkeypatch):
+    """With each limit on either side of what is there."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(size)
     base = (real[0][1] or "").split(" ")[:300]
     rows = list(real)
@@ -201,6 +204,46 @@ def test_ngram_components(spark, real, size, percent):
     assert got == linked(rows, size, percent)
 
 
+def thue_morse(n):
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_ngram_words_that_fool_polynomials(spark):
+    one, two = thue_morse(2048)
+    rows = [(1, one), (2, two), (3, f"{one} x y z"), (4, f"{two} x y z"), (5, " ".join([one, two] * 9)), (6, " ".join([two, one] * 9))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs(spark, *[(i, t, "s") for i, t in rows]), size=3, percent=90).collect()}
+    assert got == linked(rows, 3, 90)
+    sets = ngram_join.exact_sets(pa.array([one, two, "A b", "a  B", "a", "", f"{one} {two} {one} {two}"]), 3)
+    assert len({s.tobytes() for s in sets}) == 6 and sets[2].tolist() == sets[3].tolist() and [len(s) for s in sets] == [1, 1, 1, 1, 1, 0, 2]
+
+
+def test_ngram_candidates_grow_in_proportion(spark, monkeypatch):
+    """Near copies of one text that are too far apart to link: few of their pairs are verified."""
+    counted = []
+    verify = ngram_join._verified
+
+    def counting(pairs, *rest):
+        counted.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counting)
+    rng, made = np.random.default_rng(8), {}
+    base = [f"b{k}" for k in range(400)]
+    for many in (60, 300):
+        rows = []
+        for k in range(many):
+            words = list(base)
+            for at in rng.choice(400, 10, replace=False):
+                words[at] = f"n{k}_{at}"
+            rows.append((k, " ".join(words)))
+        counted.clear()
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs(spark, *[(i, t, "s") for i, t in rows]), size=3, percent=90).collect()}
+        assert got == linked(rows, 3, 90)
+        made[many] = sum(counted)
+    assert made[300] <= 5 * max(made[60], 60)
+
+
 def test_ngram_edges(spark):
     twice = edge(spark).unionByName(edge(spark))
     got = ngram_join.ngram_components(twice).collect()

@@ -2,14 +2,15 @@
 
 Each document's set is ordered by how often its shingles occur in the corpus,
 rarest first.  Two sets with a high Jaccard similarity must share a shingle in
-their prefixes, so prefixes are joined; pairs are then filtered by length, by
-position (the shingles shared in the prefixes plus all that may follow), and by
-suffix (a Hamming bound from counts per hash range), and each pair that is left
-is verified once, exactly, from the two texts.
+their prefixes (the smaller one in its shorter prefix), so prefixes are joined;
+the join itself filters by length, by position (what may follow a first shared
+shingle there) and by suffix (a Hamming bound from parities per hash range),
+and each pair that is left is verified once, exactly, from the two texts.
 
 Equal sets form a class and one member stands for it.  A prefix group does not
-emit all its pairs: its members are first held against one hub each, and pairs
-that are already known to be in one component are left out of the full join.
+emit all its pairs: its members are first held against one hub each, again with
+other hubs while many pairs would be left, and pairs that are already known to
+be in one component take no part in the full join.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,25 +31,34 @@ from verdigris.llm.words import Texts, U, join_hashes, mix, slices, strings
 
 #: Counters of the corpus-wide frequency sketch, and pieces that it is summed in.
 COUNTERS, PIECES = 1 << 18, 64
-#: Hash ranges of the suffix filter.
-CELLS = 16
-PACKED = tuple(f"h{k}" for k in range(CELLS // 8))
-#: Columns with the parity of the counts in 256 finer ranges, a bit each.
-PARITY = tuple(f"p{k}" for k in range(4))
-#: Similarity in percent from which the coarser ranges do.
-FINE = 90
+#: Columns of the suffix filter: the parity of the shingle counts in 64 hash ranges each, a bit a range.
+PARITY = tuple(f"p{k}" for k in range(8))
 #: Pairs that are broadcast to fetch texts for verification at the most; beyond, texts are joined by a shuffle.
 FEW_PAIRS = 150_000
 #: Rows with an equal in the table that are broadcast to leave them out at the most.
 FEW_EQUALS = 150_000
+#: Comparisons to a posted row that the join of all pairs may cost; while it would cost more, groups are held against another hub.
+WORK = 16
+#: Bytes and pairs of texts that are verified together (one pair at the least).
+PAIR_BYTES, PAIRS = 1 << 22, 64
+
+
+def _grams(t: Texts, size: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and of each `size` words in sequence."""
+    words = t.word_hashes(salt)
+    return words, join_hashes(*[words[k : len(words) - size + 1 + k] for k in range(size)]) if len(words) >= size else words[:0]
+
+
+def _short(words: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with few words."""
+    return mix(join_hashes(*[words[k : k + 1] for k in range(len(words))]) + U(len(words)))
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than size make one shingle, none make none."""
     t = Texts(column)
-    words, out = t.hashes(), []
-    if len(words) >= size:
-        grams = join_hashes(*[words[k : len(words) - size + 1 + k] for k in range(size)])
+    words, grams = _grams(t, size, 0)
+    out = []
     for k in range(t.n):
         a, b = t.first[k], t.first[k + 1]
         if b - a >= size:
@@ -55,10 +66,49 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
             keep = np.ones(len(got), bool)
             keep[1:] = got[1:] != got[:-1]
             out.append(got[keep])
+        else:
+            out.append(_short(words[a:b]) if b > a else words[:0])
+    return out
+
+
+def shingle_sets_twice(column: pa.Array, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same with a second hash of each shingle, in the order of the first."""
+    t = Texts(column)
+    (words, grams), (words2, grams2) = _grams(t, size, 0), _grams(t, size, 1)
+    out = []
+    for k in range(t.n):
+        a, b = t.first[k], t.first[k + 1]
+        if b - a >= size:
+            got = grams[a : b - size + 1]
+            order = np.argsort(got)
+            got = got[order]
+            keep = np.ones(len(got), bool)
+            keep[1:] = got[1:] != got[:-1]
+            out.append((got[keep], grams2[a + order[keep]]))
         elif b > a:
-            out.append(mix(join_hashes(*[words[j : j + 1] for j in range(a, b)]) + U(b - a)))
+            out.append((_short(words[a:b]), _short(words2[a:b])))
         else:
-            out.append(np.zeros(0, U))
+            out.append((words[:0], words[:0]))
+    return out
+
+
+def exact_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text as numbers that are equal, within this column, only for equal words."""
+    t = Texts(column)
+    words = t.word_numbers()
+    n, kinds = len(words), int(words.max(initial=0)) + 1
+    grams = words[: max(n - size + 1, 0)]
+    for k in range(1, size if len(grams) else 0):
+        # numbered anew after each word, so that they stay below the number of words
+        grams = pa.array(grams * kinds + words[k : n - size + 1 + k]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    short: dict[tuple, int] = {}
+    out = []
+    for k in range(t.n):
+        a, b = t.first[k], t.first[k + 1]
+        if b - a >= size:
+            out.append(np.unique(grams[a : b - size + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(tuple(words[a:b].tolist()), len(short))] if b > a else [], np.int64))
     return out
 
 
@@ -100,41 +150,38 @@ def frequency_sketch(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Each document's set in short: its size, a 128-bit fingerprint, its prefix in rare-first order, counts per cell."""
+    """Each document's set in short: its size, a 128-bit fingerprint, its prefix in rare-first order, parities."""
     # 16 bits of a float keep the order of any count; below them stands the hash itself
     sent = texts.sparkSession.sparkContext.broadcast((sketch.astype(np.float32).view(np.uint32) >> 16).astype(np.uint16))
+    bits = 64 * len(PARITY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value.astype(U) << U(48)
         for batch in batches:
             column = strings(batch.column(1))
             for a, b in slices(column):
-                sets = shingle_sets(column.slice(a, b - a), size)
-                first, second, prefix, cells, odd, last = [], [], [], [], [], []
-                for s in sets:
+                sets = shingle_sets_twice(column.slice(a, b - a), size)
+                first, second, prefix, odd, last = [], [], [], [], []
+                for s, s2 in sets:
                     first.append(np.sum(mix(s ^ U(0xA5A5A5A5A5A5A5A5))).view(np.int64))
-                    second.append(np.sum(mix(s + U(0x0F0F0F0F0F0F0F0F))).view(np.int64))
+                    second.append(np.sum(mix(s2 + U(0x0F0F0F0F0F0F0F0F))).view(np.int64))
                     n = len(s)
                     take = n - -(-percent * n // 100) + 1 if n else 0
                     key = rank[(s & U(COUNTERS - 1)).astype(np.int64)] | s >> U(16)
                     order = np.argsort(key, kind="stable")[:take]
                     prefix.append(s[order].view(np.int64))
                     last.append(int(key[order[-1]]) >> 32 if n else 0)
-                    # counts stand modulo 256: their distance round the circle is never more than the true one
-                    cells.append(np.bincount((s >> U(60)).astype(np.int64), minlength=CELLS).astype(np.uint8).view("<i8"))
-                    odd.append(np.packbits(np.bincount((s >> U(56)).astype(np.int64), minlength=64 * len(PARITY)).astype(np.uint8) & 1).view("<i8"))
-                packed = np.array(cells, np.int64).reshape(-1, len(PACKED))
+                    odd.append(np.packbits(np.bincount((s >> U(55)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view("<i8"))
                 parity = np.array(odd, np.int64).reshape(-1, len(PARITY))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                        pa.array(prefix, pa.list_(pa.int64())), pa.array(last, pa.int64()),
-                        *[pa.array(packed[:, k]) for k in range(len(PACKED))], *[pa.array(parity[:, k]) for k in range(len(PARITY))],
+                        batch.column(0).slice(a, b - a), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
+                        pa.array(prefix, pa.list_(pa.int64())), pa.array(last, pa.int64()), *[pa.array(parity[:, k]) for k in range(len(PARITY))],
                     ],
-                    ["id", "n", "f1", "f2", "prefix", "last", *PACKED, *PARITY],
+                    ["id", "n", "f1", "f2", "prefix", "last", *PARITY],
                 )
 
-    return texts.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, last bigint" + "".join(f", {c} bigint" for c in (*PACKED, *PARITY)))
+    return texts.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, last bigint" + "".join(f", {c} bigint" for c in PARITY))
 
 
 def _least_overlap(percent: int) -> Column:
@@ -142,9 +189,14 @@ def _least_overlap(percent: int) -> Column:
     return F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
 
 
-def _rest(n: str, percent: int) -> Column:
+def _rest(percent: int) -> Column:
     """What of a set of n shingles lies after its prefix."""
-    return F.ceil(F.col(n) * percent / 100) - 1
+    return F.ceil(F.col("n") * percent / 100) - 1
+
+
+def _short_prefix(percent: int) -> Column:
+    """As much of a set's prefix as it must share with a set that is no smaller."""
+    return F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
 
 
 def _may_link(percent: int) -> Column:
@@ -152,32 +204,21 @@ def _may_link(percent: int) -> Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
-def _most_overlap(a: str, b: str) -> Column:
-    """Which of two bounds on the overlap holds, by where the prefixes end.
+def _may_overlap(percent: int) -> Column:
+    """Position filter on the first shingle that two sets share in rare-first order.
 
-    All of a prefix that ends first lies within the other's prefix or nowhere
-    in the other set, so the bound that comes from that prefix holds.
+    o counts what of a set may follow from there: the rest after the prefix,
+    and the prefix shingles from this place on that some other prefix has.  All
+    of a prefix that ends first lies within the other's prefix or nowhere in the
+    other set, so the bound that comes from that prefix holds.  At a later
+    shared shingle the bound may fail; at the first it holds for all that link.
     """
-    return F.when(F.col("la") < F.col("lb"), F.col(a)).when(F.col("lb") < F.col("la"), F.col(b)).otherwise(F.greatest(a, b))
-
-
-def _may_overlap(percent: int) -> Column:
-    """Position filter on a shared shingle: prefix shingles that no other prefix has are not shared."""
-    return _most_overlap("oa", "ob") >= _least_overlap(percent)
+    bound = F.when(F.col("la") < F.col("lb"), F.col("oa")).when(F.col("lb") < F.col("la"), F.col("ob")).otherwise(F.greatest("oa", "ob"))
+    return bound >= _least_overlap(percent)
 
 
 def _suffix_may(percent: int) -> Column:
-    """Suffix filter: what differs in the counts per hash range differs in the sets."""
-    apart = F.lit(0)
-    for c in PACKED:
-        for shift in range(0, 64, 8):
-            x, y = (F.shiftright(F.col(f"{c}{side}"), shift).bitwiseAND(F.lit(255)) for side in "ab")
-            apart = apart + F.least(F.abs(x - y), 256 - F.abs(x - y))
-    return F.col("na") + F.col("nb") - apart >= 2 * _least_overlap(percent)
-
-
-def _parity_may(percent: int) -> Column:
-    """The same from finer ranges: where parities differ, counts differ by one at the least."""
+    """Suffix filter: where parities of counts differ, the sets differ by one shingle at the least."""
     apart = F.lit(0)
     for c in PARITY:
         apart = apart + F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b")))
@@ -185,7 +226,7 @@ def _parity_may(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, from their texts."""
+    """The pairs (a, b) whose sets reach the similarity, from the words of their texts."""
     pairs = cut(pairs.select("a", "b"))
     n = pairs.count()
     if n == 0:
@@ -201,26 +242,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+            weight = np.cumsum(sum(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)))
+            at = 0
+            while at < batch.num_rows:
+                before = weight[at - 1] if at else 0
+                end = min(at + PAIRS, max(at + 1, int(np.searchsorted(weight, before + PAIR_BYTES, "right"))))
+                part = batch.slice(at, end - at)
                 one, two = part.column(2).to_pylist(), part.column(3).to_pylist()
-                known = {t: None for t in [*one, *two]}
-                column = pa.array(list(known), pa.string())
-                sets = [s for x, y in slices(column) for s in shingle_sets(column.slice(x, y - x), size)]
-                known = dict(zip(known, sets, strict=True))
+                known = dict.fromkeys([*one, *two])
+                known = dict(zip(known, exact_sets(pa.array(list(known), pa.string()), size), strict=True))
                 keep = []
-                for k in range(len(a)):
-                    x, y = known[one[k]], known[two[k]]
+                for x, y in zip(one, two, strict=True):
+                    x, y = known[x], known[y]
                     shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
-                        keep.append(k)
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+                    keep.append(bool(len(x)) and 100 * shared >= percent * (len(x) + len(y) - shared))
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+                at = end
 
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _against_hubs(posted: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Of each row of prefix groups the pair (a, b) that shares most with a hub of its groups, if filters let it pass.
+
+    Members of a group are kept apart by length; the hub of each part is the
+    member with the largest share of prefix shingles that others have too.
+    """
+    band = F.floor(F.log("n") / -np.log(percent / 100)) if percent < 100 else F.col("n")
+    names = (("n", "n"), ("o", "o"), ("last", "l"), ("component", "k"))
+    banded = posted.withColumn("band", band)
+    draw = F.struct((F.col("all") / F.col("n")).alias("share"), (-F.col("id")).alias("low"), "id", *[c for c, _ in names])
+    hubs = banded.groupBy("token", "band").agg(F.max(draw).alias("hub"), F.count("*").alias("__many")).where("__many > 1")
+    hubs = hubs.select("token", "band", F.col("hub.id").alias("b"), *[F.col(f"hub.{c}").alias(f"{short}b") for c, short in names])
+    near = banded.select("token", "band", F.col("id").alias("a"), *[F.col(c).alias(f"{short}a") for c, short in names]).join(hubs, ["token", "band"])
+    near = near.where((F.col("ka") != F.col("kb")) & _may_link(percent)).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max(_may_overlap(percent)).alias("may"))
+    best = near.where("may").groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("x")).select("a", "x.b", "x.na", "x.nb")
+    odd = lambda x: heads.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in PARITY])
+    return best.join(odd("a"), "a").join(odd("b"), "b").where(_suffix_may(percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Each row's set size and component: id_col, n_shingles, component_id.
 
@@ -231,14 +291,14 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     smallest id that links reach, the row's own included.  Rows with a null id
     link only with their equals.  Ids are keys: where rows repeat an id, the
     links of each count for all of them.  Other columns are left out; an empty
-    table gives no rows.  Shingles are compared by 64-bit hashes.
+    table gives no rows.  Pairs are verified by the bytes of their words; equal
+sets are found by 128-bit fingerprints, and a set's shingles are counted by
+64-bit hashes.
     """
     text_batches(df.sparkSession)
     texts = _texts(df, id_col, text)
     sketch = frequency_sketch(texts, size)
-    # the less alike sets may be, the finer the ranges that tell them apart
-    finer = percent < FINE
-    sets = cut(_prefixes(texts, sketch, size, percent).drop(*() if finer else PARITY))
+    sets = cut(_prefixes(texts, sketch, size, percent))
     some = sets.where("n > 0")
     classes = cut(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rid")))
     # one row stands for each class; the others are few enough to be sent, or meet their class by a shuffle
@@ -246,48 +306,39 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     others = cut(some.select("id", "f1", "f2", "n").join(equals, ["f1", "f2", "n"]).join(classes, ["f1", "f2", "n"]).where(~F.col("id").eqNullSafe(F.col("rid"))).select("id", "f1", "f2").distinct())
     heads = some.where("id IS NOT NULL").join(F.broadcast(others) if others.count() <= FEW_EQUALS else others, ["id", "f1", "f2"], "left_anti")
 
-    posted = heads.select("id", F.explode("prefix").alias("token"))
+    posted = heads.select("id", F.posexplode("prefix").alias("pos", "token"))
     often = posted.groupBy("token").agg(F.count("*").alias("__many")).where("__many > 1").select("token")
-    posted = posted.join(often, "token", "left_semi").withColumn("s", F.count("*").over(Window.partitionBy("id")))
-    # o: what is left of the set without the prefix shingles that no other prefix has
-    about = heads.select("id", "n", "last", *PACKED)
-    posted = cut(posted.join(about, "id").select("token", "id", "n", (_rest("n", percent) + F.col("s")).alias("o"), "last", *PACKED))
-    band = F.floor(F.log("n") / -np.log(percent / 100)) if percent < 100 else F.col("n")
-    central = F.col("o") - _rest("n", percent)
-    names = (("n", "n"), ("o", "o"), ("last", "l"), *[(c, c) for c in PACKED])
-    sides = lambda x: [F.col(c).alias(f"{short}{x}") for c, short in names]
-    may = _may_link(percent) & _may_overlap(percent) & _suffix_may(percent)
-
-    # members of a prefix group, kept apart by length, against the one of them that shares most
-    draw = F.struct(central.alias("central"), (-F.col("id")).alias("low"), "id", *[c for c, _ in names])
-    banded = posted.withColumn("band", band)
-    hubs = banded.groupBy("token", "band").agg(F.max(draw).alias("hub"), F.count("*").alias("__many")).where("__many > 1")
-    hubs = hubs.select("token", "band", F.col("hub.id").alias("b"), *[F.col(f"hub.{c}").alias(f"{short}b") for c, short in names])
-    near = banded.select("token", "band", F.col("id").alias("a"), *sides("a")).join(hubs, ["token", "band"]).where((F.col("a") != F.col("b")) & may)
-    best = near.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
-    links = cut(_verified(best, texts, size, percent))
-    found = cut(components(links).withColumnRenamed("node", "id"))
+    posted = posted.join(often, "token", "left_semi")
+    posted = posted.withColumn("all", F.count("*").over(Window.partitionBy("id"))).withColumn("s", F.count("*").over(Window.partitionBy("id").orderBy(F.desc("pos"))))
+    posted = posted.join(heads.select("id", "n", "last"), "id")
+    posted = cut(posted.select("token", "id", "n", (_rest(percent) + F.col("s")).alias("o"), "last", "all", (F.col("pos") < _short_prefix(percent)).alias("short")))
+
+    # groups against hubs, as often as new links make the join of all pairs cheaper
+    links = found = None
+    rows = posted.count()
+    while True:
+        known = posted.withColumn("component", F.col("id")) if found is None else posted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        counts = known.groupBy("token", "component").agg(F.count("*").alias("__many"), F.max("short").alias("short"))
+        mixed = counts.groupBy("token").agg(F.max(F.struct("__many", "component")).alias("top"), F.sum("__many").alias("__all"), F.count("*").alias("__kinds"), F.max("short").alias("short")).where("__kinds > 1 AND short")
+        mixed = cut(mixed.select("token", F.col("top.component").alias("main"), ((F.col("__all") - F.col("top.__many")) * F.col("__all")).alias("work")))
+        known = known.join(mixed.drop("work"), "token").withColumn("main", F.col("component") == F.col("main"))
+        work = mixed.agg(F.sum("work")).first()[0] or 0
+        if found is not None and (work <= WORK * rows or not new):
+            break
+        better = cut(_verified(_against_hubs(known if found is None else known.where("NOT main"), heads, percent), texts, size, percent))
+        new = better.count()
+        links = better if links is None else links.unionByName(better)
+        found = cut(components(links).withColumnRenamed("node", "id"))
 
     # all pairs of a prefix group whose components differ: its commonest component is held only against the others
-    if finer:
-        names = (("n", "n"), ("o", "o"), ("last", "l"), *[(c, c) for c in PARITY])
-        may = _may_link(percent) & _may_overlap(percent) & _parity_may(percent)
-        known = posted.select("token", "id", "n", "o", "last").join(heads.select("id", *PARITY).join(found, "id", "left"), "id")
-    else:
-        known = posted.join(found, "id", "left")
-    known = known.withColumn("component", F.coalesce("component", "id"))
-    counts = known.groupBy("token", "component").agg(F.count("*").alias("__many"))
-    mixed = counts.groupBy("token").agg(F.max(F.struct("__many", "component")).alias("top"), F.count("*").alias("__kinds")).where("__kinds > 1").select("token", F.col("top.component").alias("main"))
-    known = cut(known.join(mixed, "token").withColumn("minor", F.col("component") != F.col("main")).select("token", "id", *[c for c, _ in names], "component", "minor"))
-    one = known.where("minor").select("token", F.col("id").alias("a"), *[F.col(c).alias(f"{short}a") for c, short in names], F.col("component").alias("ka"))
-    two = known.select("token", F.col("id").alias("b"), *[F.col(c).alias(f"{short}b") for c, short in names], F.col("component").alias("kb"), "minor")
-    pairs = one.join(two, "token").where((F.col("ka") != F.col("kb")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & may)
-    # a pair stands the same way round in each of its groups
-    least, most = F.struct(F.col("a").alias("id"), *[F.col(f"{c}a").alias(c) for c in "nl"]), F.struct(F.col("b").alias("id"), *[F.col(f"{c}b").alias(c) for c in "nl"])
-    pairs = pairs.select(F.least(least, most).alias("x"), F.greatest(least, most).alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *[F.col(f"{v}.{c}").alias(f"{c}{w}") for v, w in (("x", "a"), ("y", "b")) for c in "nl"], "c")
-    # the shingles shared in the prefixes, and all that may follow
-    pairs = pairs.withColumn("ra", _rest("na", percent)).withColumn("rb", _rest("nb", percent)).where(F.col("c") + _most_overlap("ra", "rb") >= _least_overlap(percent))
+    names = (("n", "n"), ("o", "o"), ("last", "l"), *[(c, c) for c in PARITY])
+    known = cut(known.join(heads.select("id", *PARITY), "id").select("token", "id", "short", *[c for c, _ in names], "component", "main"))
+    sides = lambda x: [F.col(c).alias(f"{short}{x}") for c, short in (("id", ""), ("component", "k"), ("short", "short"), *names)]
+    one, two = known.where("NOT main").select("token", *sides("a")), known.select("token", *sides("b"), "main")
+    smaller = F.when(F.struct("na", "a") < F.struct("nb", "b"), F.col("shorta")).otherwise(F.col("shortb"))
+    once = F.col("main") | (F.col("a") < F.col("b"))
+    pairs = one.join(two, "token").where((F.col("ka") != F.col("kb")) & once & smaller & _may_link(percent) & _may_overlap(percent) & _suffix_may(percent))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     good = _verified(pairs, texts, size, percent)
     found = components(links.unionByName(good)).withColumnRenamed("node", "rid")
 

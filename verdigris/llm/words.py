@@ -45,6 +45,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+#: (place, byte) pairs whose numbers stand in a table; those of places further on are worked out.
+_PLACES = 64 << 8
+_tables: dict[int, np.ndarray] = {}
+
+
+def _place_values(at: np.ndarray, salt: int) -> np.ndarray:
+    return mix(mix(at * U(0x9E3779B97F4A7C15) + U(salt)) + at)
+
+
+def _places(salt: int) -> np.ndarray:
+    if salt not in _tables:
+        _tables[salt] = _place_values(np.arange(_PLACES).astype(U), salt)
+    return _tables[salt]
+
+
 def slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes at the most, one row at the least."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0]
@@ -74,6 +89,7 @@ class Texts:
             last = self.offsets[1:][self.offsets[:-1] < self.offsets[1:]] - 1
             start[first], end[last] = inside[first], inside[last]
         self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
+        self.inside = inside
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
         # rows without text share an offset with the next row; the last of them holds the word
         self.first = np.searchsorted(self.doc, np.arange(n + 1))
@@ -86,6 +102,34 @@ class Texts:
         return mix(found ^ ((self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
+    def word_hashes(self, salt: int) -> np.ndarray:
+        """A hash of each word: the sum of a random number for each of its (place, byte).
+
+        The numbers of two places have nothing to do with each other, so no
+        rearrangement of bytes leaves the sum as it is, as in a polynomial.
+        """
+        if not len(self.start):
+            return np.zeros(0, U)
+        lengths = self.end - self.start
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+        at = place << 8 | self.data[self.inside]
+        values = _places(salt)[np.minimum(at, _PLACES - 1)]
+        far = np.flatnonzero(at >= _PLACES)
+        if len(far):
+            values[far] = _place_values(at[far].astype(U), salt)
+        return mix(np.add.reduceat(values, first) ^ lengths.astype(U) * U(0xD6E8FEB86659FD93))
+
+    def word_numbers(self) -> np.ndarray:
+        """A number for each word: two have the same only if their bytes are the same."""
+        lengths = self.end - self.start
+        offsets = np.zeros(len(lengths) + 1, np.int64)
+        np.cumsum(lengths, out=offsets[1:])
+        data = pa.py_buffer(np.ascontiguousarray(self.data[self.inside]))
+        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), data])
+        return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def join_hashes(*parts: np.ndarray) -> np.ndarray:
     """One hash of a sequence of hashes."""
     out = np.full(len(parts[0]), 0x51_7CC1B727220A95, U)
