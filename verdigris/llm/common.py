@@ -12,10 +12,26 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's shared folder, or in tests one of our own."""
+    """Make checkpoint() usable: in the folder that the session names.
+
+    Where it names none, executors of a cluster still share the warehouse; only
+    a local session, whose executor is the driver, takes a temporary folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdigris-"))
+        own = tempfile.mkdtemp(prefix="verdigris-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table is called so (case apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -38,7 +54,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids that training never sees."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

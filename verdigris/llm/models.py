@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import held_out, text_batches
+from verdigris.llm.common import held_out, text_batches, unused
 from verdigris.llm.words import slices, strings
 
 
@@ -25,8 +25,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample_rows: i
     rate = min(1.0, sample_rows / max(1, total))
     drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) < int(rate * (1 << 30)))
     # at most about sample_rows pairs of numbers, so a broadcast is safe at any size of the corpus
-    small = F.broadcast(drawn.withColumnRenamed("doc_id", "__id"))
-    return docs.join(small, docs["doc_id"] == small["__id"]).select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), "__label", "__id")
+    small = F.broadcast(drawn)
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(small, "doc_id").select("text", "__label", "doc_id")
 
 
 def train(rows: DataFrame, fit: Callable[[list[pa.Array], np.ndarray], bytes]) -> bytes:
@@ -51,7 +51,7 @@ def with_scores(df: DataFrame, score: Callable[[pa.Array], np.ndarray], text: st
     """
     text_batches(df.sparkSession)
     kept = [c for c in df.columns if c != out]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(*unused(df, "__text")))
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
