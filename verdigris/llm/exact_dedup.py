@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import cut
+from verdigris.llm.common import cut, unused
 
-#: Hash values with several texts that are broadcast at the most; more of them are joined by a shuffle.
-FEW = 10_000
+#: Hash values with several rows that are broadcast at the most; with more, every text is grouped.
+FEW = 500_000
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min", content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
@@ -23,24 +23,30 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep
     stays if its text has another; a group of null ids alone has keep_id null
     and stays.  Other columns are left out.  An empty table gives no rows.
 
-    Texts are grouped by (hash, text): partial aggregation leaves each text once
-    to a map task, however many copies it holds, and the grouping compares
-    bytes.  The ids then meet their group by the 128-bit hash alone, unless a
-    hash has several texts; those few rows meet it by hash and text.
+    Rows are grouped by the 128-bit hash first.  Only a hash with several rows
+    has its texts compared: they are grouped by (hash, text), where partial
+    aggregation leaves each text once to a map task, however many copies it
+    holds, and the grouping compares bytes.  The ids then meet their group by
+    the hash alone, unless it has several texts; those few rows meet it by hash
+    and text.  Very long texts are hashed whole, and move only if their hash
+    has several rows.
     """
     first = F.min if keep == "min" else F.max
     rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")).withColumn("__hash", content_hash(F.col("__text")))
-    texts = rows.groupBy("__hash", "__text").agg(first("__id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = cut(texts.groupBy("__hash").agg(F.count("*").alias("__texts"), first("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
-
     ids = rows.select("__id", "__hash", F.sha2("__text", 256).alias("text_sha256"))
-    found = ids.join(groups.where("__texts = 1").drop("__texts"), "__hash")
-    several = groups.where("__texts > 1").select("__hash")
-    n = several.count()
-    if n:
-        several = F.broadcast(several) if n <= FEW else several
-        doubtful = rows.join(several, "__hash", "left_semi")
+    hashes = cut(rows.groupBy("__hash").agg(first("__id").alias("keep_id"), F.count("*").alias("group_size")))
+    several = hashes.where("group_size > 1").select("__hash")
+    compared = rows.join(F.broadcast(several), "__hash", "left_semi") if several.count() <= FEW else rows
+    texts = compared.select("__hash", "__text").distinct().groupBy("__hash").agg(F.count("*").alias("__texts"))
+    clashes = cut(texts.where("__texts > 1").select("__hash"))
+    n = clashes.count()
+    if not n:
+        found = ids.join(hashes, "__hash")
+    else:
+        clashes = F.broadcast(clashes) if n <= FEW else clashes
+        doubtful = rows.join(clashes, "__hash", "left_semi")
         apart = doubtful.groupBy("__hash", "__text").agg(first("__id").alias("keep_id"), F.count("*").alias("group_size"))
+        found = ids.join(hashes.join(clashes, "__hash", "left_anti"), "__hash")
         found = found.unionByName(doubtful.join(apart, ["__hash", "__text"]).withColumn("text_sha256", F.sha2("__text", 256)).drop("__text"))
     return found.select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
@@ -51,6 +57,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep:
     Rows meet their verdict by id and text, so a repeated or null id says
     nothing about its other texts.
     """
-    stays = exact_groups(df, id_col, text, keep).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
-    rows = df.withColumn("__sha256", F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
-    return rows.join(stays, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha256") == F.col("__kept")), "left_semi").dropDuplicates([id_col, "__sha256"]).drop("__sha256")
+    sha, own, other = unused(df, "__sha256", "__id", "__kept")
+    stays = exact_groups(df, id_col, text, keep).where("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(other)).distinct()
+    rows = df.withColumn(sha, F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
+    return rows.join(stays, rows[id_col].eqNullSafe(F.col(own)) & (F.col(sha) == F.col(other)), "left_semi").dropDuplicates([id_col, sha]).drop(sha)
