@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WORD, cut
+from verdigris.llm.common import WORD, cut, unused
 
 #: Slots of the whole schedule, about; and blocks of a source at the least, if it has as many words.
 SLOTS, LEAST_BLOCKS = 1 << 17, 1 << 11
@@ -88,7 +88,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     n_rows, n_slots, n_sources = (int(x or 0) for x in wanted.agg(F.sum("__rows"), F.ceil(F.sum("__slots")), F.count("*")).first())
     if n_sources <= FEW_SOURCES:
         wanted = F.broadcast(wanted)
-    taken = _blocks_taken(wanted, n_slots)
+    taken = _blocks_taken(wanted, n_slots, max(1, n_sources))
     placed = _placed(rows, wanted, n_rows)
 
     # the blocks that a document's words lie in: words first .. last of the source, both within 0 .. source_size - 1
@@ -118,13 +118,17 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def _blocks_taken(wanted: DataFrame, n_slots: int) -> DataFrame:
+def _blocks_taken(wanted: DataFrame, n_slots: int, n_cells: int) -> DataFrame:
     """How often the schedule takes each block: __n, __b, __times."""
     spark = wanted.sparkSession
     shares = wanted.select("__n", "__blocks", F.coalesce(F.lag("__till").over(Window.orderBy("__n")), F.lit(0.0)).alias("__since"), "__till", F.max("__till").over(Window.partitionBy()).alias("__all")).where("__till > __since")
     slots = spark.range(n_slots).withColumn("__point", (F.col("id") * GOLDEN) % 1.0)
     point = F.col("__point") * F.col("__all")
-    slots = slots.join(shares, (point >= F.col("__since")) & (point < F.col("__till"))).withColumn("__step", _div(F.col("id"), F.lit(STEP * 4)))
+    # a share lies in each cell that it reaches into, a point in one: with a cell a source, a point meets two shares or so
+    cell = lambda x: F.least(F.floor(x / F.col("__all") * n_cells), F.lit(n_cells - 1))
+    lies = shares.withColumn("__cell", F.explode(F.sequence(cell(F.col("__since")), cell(F.col("__till")))))
+    slots = slots.crossJoin(F.broadcast(shares.select("__all").limit(1))).withColumn("__cell", cell(point)).drop("__all").join(lies, "__cell")
+    slots = slots.where((point >= F.col("__since")) & (point < F.col("__till"))).select("id", "__n", "__blocks", _div(F.col("id"), F.lit(STEP * 4)).alias("__step"))
     per = slots.groupBy("__n", "__step").agg(F.count("*").alias("__many"))
     per = per.withColumn("__past", F.coalesce(F.sum("__many").over(Window.partitionBy("__n").orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("__n", "__step").orderBy("id")) - 1
@@ -156,6 +160,7 @@ def mixed(df: DataFrame, **options) -> DataFrame:
     the document at that part's end is ever rounded.
     """
     id_col = options.get("id_col", "doc_id")
-    often = mix(df, **options).where("size > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__often"))
-    often = often.where("__often > 0")
-    return df.join(often, df[id_col].eqNullSafe(often["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__often"))).select(*[df[c] for c in df.columns])
+    own, times, copy = unused(df, "__id", "__often", "__copy")
+    often = mix(df, **options).where("size > 0").groupBy(F.col(id_col).alias(own)).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    often = often.where(F.col(times) > 0)
+    return df.join(often, df[id_col].eqNullSafe(often[own])).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[df[c] for c in df.columns])
