@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WORD, cut
+from verdigris.llm.common import WORD, cut, unused
 
 MIN_WORDS = 50
 #: Lines that are looked at together for the end of a stretch.
@@ -21,10 +21,10 @@ STEP = 8
 
 
 def _hashed(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, and of the lines that are not blank two hashes, words and places in the text."""
+    """id, a hash of the text, and of the lines that are not blank two hashes, words and places in the text."""
     lines = F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "\n", -1)
     row = lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w"), i.alias("r"))
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.filter(F.transform(lines, row), lambda s: s["w"] > 0).alias("s")).where("id IS NOT NULL")
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("t"), F.filter(F.transform(lines, row), lambda s: s["w"] > 0).alias("s")).where("id IS NOT NULL")
 
 
 def _stretches(s: str, min_words: int, way: int) -> Column:
@@ -41,14 +41,14 @@ def _stretches(s: str, min_words: int, way: int) -> Column:
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """id, line: the places (from 0) of lines in later repeated runs."""
-    docs = _hashed(df, id_col, text).where(F.size("s") > 0).dropDuplicates(["id"]).withColumn("b", F.reverse("s"))
+    """id, t, line: the places (from 0) of lines in later repeated runs of the text with the hash t."""
+    docs = _hashed(df, id_col, text).where(F.size("s") > 0).dropDuplicates(["id", "t"]).withColumn("b", F.reverse("s"))
     # counted back, those that are no less when counted on, as the others are the same stretches
-    found = cut(docs.select("id", F.concat(_stretches("s", min_words, 1), _stretches("b", min_words, -1)).alias("s")).where(F.size("s") > 0))
-    places = found.select("id", F.inline("s")).withColumn("at", F.struct("id", F.array_min("lines").alias("line")))
+    found = cut(docs.select("id", "t", F.concat(_stretches("s", min_words, 1), _stretches("b", min_words, -1)).alias("s")).where(F.size("s") > 0))
+    places = found.select("id", "t", F.inline("s")).withColumn("at", F.struct("id", "t", F.array_min("lines").alias("line")))
     first = places.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("__many")).where("__many > 1").drop("__many")
     later = places.join(first, ["h", "g"]).where(F.col("at") != F.col("first"))
-    return later.select("id", F.explode("lines").alias("line")).distinct()
+    return later.select("id", "t", F.explode("lines").alias("line")).distinct()
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -57,16 +57,17 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
     Of equal runs the one at the smallest (id, line) stays; a run has at least
     min_words words.  Lines are equal when their bytes are; blank lines neither
     make nor break a run, and stay.  A null or empty text, and a row with a null
-    id, stays as it is.  Ids are keys: rows that repeat an id lose the same
-    lines.  Columns named n_lines or n_deleted are replaced.  An empty table
-    gives no rows.
+    id, stays as it is.  Rows that repeat an id and a text lose the same lines;
+    texts that share an id go by their hash.  Columns named n_lines or n_deleted
+    are replaced.  An empty table gives no rows.
     """
-    gone = repeated_lines(df, id_col, text, min_words).groupBy(F.col("id").alias("__id")).agg(F.collect_list("line").alias("__gone"))
     kept = df.drop("n_lines", "n_deleted")
-    rows = kept.join(gone, kept[id_col] == gone["__id"], "left")
+    own, its, gone_lines = unused(kept, "__id", "__t", "__gone")
+    gone = repeated_lines(df, id_col, text, min_words).groupBy(F.col("id").alias(own), F.col("t").alias(its)).agg(F.collect_list("line").alias(gone_lines))
+    rows = kept.join(gone, (kept[id_col] == gone[own]) & (F.xxhash64(kept[text].cast("string")) == gone[its]), "left")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone_lines, i)), "\n")
     n = F.coalesce(F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(WORD)))), F.lit(0))
-    rows = rows.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(n).cast("long")).withColumn("n_deleted", F.coalesce(F.size(F.when(F.col("__gone").isNotNull(), F.col("__gone"))), F.lit(0)).cast("long"))
-    rows = rows.withColumn(text, F.when(F.col("__gone").isNotNull(), left).otherwise(F.col(text)))
+    rows = rows.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(n).cast("long")).withColumn("n_deleted", F.coalesce(F.size(F.when(F.col(gone_lines).isNotNull(), F.col(gone_lines))), F.lit(0)).cast("long"))
+    rows = rows.withColumn(text, F.when(F.col(gone_lines).isNotNull(), left).otherwise(F.col(text)))
     return rows.select(*kept.columns, "n_lines", "n_deleted")
