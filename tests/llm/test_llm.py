@@ -85,9 +85,10 @@ def test_perspectives(spark):
 # ------------------------------------------------------------------ 3
 
 
-@pytest.mark.parametrize("weak", [False, True])
-def test_exact_groups(spark, real, weak):
-    """Also where hashes collide: a hash of two bits leaves it to the comparison of bytes."""
+@pytest.mark.parametrize(("weak", "few"), [(False, 500_000), (True, 500_000), (False, 0), (True, 0)])
+def test_exact_groups(spark, real, weak, few, monkeypatch):
+    """Also where hashes collide: a hash of four bits leaves it to the comparison of bytes."""
+    monkeypatch.setattr(exact_dedup, "FEW", few)
     rows = [(i, t, "s") for i, t in real] + [(10_000 + k, t, "s") for k, (_, t) in enumerate(real[:50])] + [(20_000, None, "s"), (20_001, "", "s")]
     extra = {"content_hash": lambda c: F.substring(F.md5(c), 1, 1)} if weak else {}
     got = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs(spark, *rows), keep="max", **extra).collect()}
@@ -118,6 +119,22 @@ def test_drop_copies_by_id_and_text(spark):
         assert sorted(((r["doc_id"], r["text"] or "") for r in got), key=repr) == sorted(want, key=repr)
 
 
+OWN = ["__id", "__text", "__hash", "__sha256", "__kept", "__gone", "__t", "__often", "__copy", "__label"]
+
+
+def test_columns_named_like_the_operators_own(spark):
+    """A table may hold any name that an operator uses inside."""
+    df = edge(spark)
+    for c in OWN:
+        df = df.withColumn(c, F.lit(f"user's {c}"))
+    y = spark.createDataFrame([(1, 0, 1), (6, 1, 0), (5, 1, 1)], "doc_id long, toxic int, quality int").withColumn("__id", F.lit(3)).withColumn("__label", F.lit(3))
+    found = [exact_dedup.drop_copies(df), line_dedup.line_dedup(df), mixing.mixed(df), toxicity.score_toxicity(df, toxicity.learn(df, y)), quality.score_quality(df, quality.learn(df, y))]
+    for got in found:
+        rows = got.collect()
+        assert rows and all(r[c] == f"user's {c}" for r in rows for c in OWN)
+    assert exact_dedup.exact_groups(df).count() == mixing.mix(df).count() == ngram_join.ngram_components(df).count() == 8
+
+
 # ------------------------------------------------------------------ 4
 
 
@@ -151,6 +168,13 @@ def test_mix(spark):
     assert {(r["doc_id"], r["taken"]) for r in got} == {(r["doc_id"], r["taken"]) for r in again}
 
 
+def test_mix_many_sources(spark):
+    """More sources than slots of a cell: each still gets near its target."""
+    rows = [(k, " ".join(["w"] * (3 + k % 7)), f"s{k % 300:03}") for k in range(1500)]
+    got = mixing.mix(docs(spark, *rows)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 300 and all(abs(r["taken"] - r["target"]) <= 3 for r in got)
+
+
 def test_mix_edges(spark):
     got = {r["doc_id"]: r for r in mixing.mix(edge(spark)).collect()}
     assert len(got) == 8 and got[2]["taken"] == got[4]["taken"] == 0 and all(r["taken"] <= 3 * r["size"] for r in got.values())
@@ -358,6 +382,13 @@ def test_line_runs_as_by_every_place(spark):
     assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
 
 
+def test_line_texts_that_share_an_id(spark):
+    passage = [" ".join(f"s{k}_{j}" for j in range(26)) for k in range(2)]
+    rows = [(1, "\n".join(["a", *passage])), (2, "\n".join([*passage, "b"])), (2, "\n".join(["only here", "c", *passage])), (2, "\n".join(["only here", "c", *passage]))]
+    got = sorted(tuple(r) for r in line_dedup.line_dedup(docs(spark, *[(i, t, "s") for i, t in rows])).select("doc_id", "text", "n_deleted").collect())
+    assert got == [(1, rows[0][1], 0), (2, "b", 2), (2, "only here\nc", 2), (2, "only here\nc", 2)]
+
+
 def test_line_edges(spark):
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(edge(spark)).collect()}
     assert len(got) == 8 and got[2]["text"] is None and got[4]["text"] == " \n\t" and all(r["n_deleted"] == 0 for r in got.values())
