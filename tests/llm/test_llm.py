@@ -53,11 +53,24 @@ def test_bpe_as_the_library(automaton, library, real):
     odd = ["", " ", "a  b", "\n \n x", "it's I'LL 've", "aaaaaaaa" * 9, "<|endoftext|>x<|endoftext|>", "日本語 テスト", "🙂👩‍👩‍👧", "é    x", "\x1c\x1d a", "12 345.6", " lead", "trail ", "\u0085b"]
     rng = np.random.default_rng(3)
     odd += ["".join(rng.choice(list("ab\n 'st\té.1"), 30)) for _ in range(300)]
-    for text in [*odd, *[t or "" for _, t in real]]:
-        ids = automaton.encode(text)
+    odd += ["".join(rng.choice(list("ab \u3000é\t日<"), 30)) for _ in range(300)] + ["a" * 9000, "\n", "x ", " x", "a\u3000 b", "a \u3000b"]
+    texts = [*odd, *[t or "" for _, t in real]]
+    ids, first = automaton.encode_all(pa.array(texts))
+    back = automaton.decode_all(ids, first).to_pylist()
+    for k, text in enumerate(texts):
         want = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want
-        assert automaton.decode(ids) == library.decode(want, skip_special_tokens=False) == text
+        assert ids[first[k] : first[k + 1]].tolist() == want == automaton.encode(text).tolist()
+        assert back[k] == automaton.decode(np.array(want, "<u4")) == library.decode(want, skip_special_tokens=False) == text
+    broken = np.array([library.encode("é").ids[0], *library.encode("日").ids], "<u4")[[0, -1]]
+    assert automaton.decode_all(broken, np.array([0, 1, 2])).to_pylist() == [automaton.decode(broken[:1]), automaton.decode(broken[1:])]
+
+
+def test_bpe_tables_that_fill_up(automaton, library, real, monkeypatch):
+    """With little room tables start anew, and nothing else changes."""
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    small = bpe.compile_tokenizer(queries.tokenizer_path())
+    for _, text in real[:20]:
+        assert small.encode(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
 def test_bpe_edges(spark):

@@ -5,9 +5,15 @@ automaton whose arcs are tokens and whose state is the token just read.  The
 gadget of merge (u, v) -> w adds the arc w and cuts the arc v after u for as
 long as both are free, that is until a later merge takes u into the token on
 its left or v into the token on its right.  The paths that survive all cuts
-are exactly the canonical tokenizations, so each string has one path, and a
-walk over byte transitions that only takes uncut arcs finds it.  Decoding
-emits the labels of the arcs.
+are exactly the canonical tokenizations, so each string, and each prefix of one,
+has one path.
+
+For reading bytes that automaton is determinised: a state holds the arcs that
+are being read, each with the token before it, and the one token that ends
+here.  A transition is worked out when it is first needed and from then on
+taken from the table, as the states for all words have no useful bound.  The
+token that ends at each byte gives the path, from the end back; nothing is ever
+tried twice.  Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import text_batches
+from verdigris.llm.words import slices, strings
 
 #: Fixed value: how byte-level vocabularies cut text into words.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
@@ -31,6 +38,9 @@ LONE_SPACE = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
 #: A space next to other white space, on either side.
 WIDE = re.compile(r" \s"), re.compile("[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 NEVER = 1 << 60
+NONE = np.zeros(0, "<u4")
+#: Tokens whose labels are looked up together.
+LOOKS = 1 << 20
 #: Entries kept in each of a worker's tables.
 MEMO = 400_000
 
@@ -92,7 +102,7 @@ class Automaton:
             i, j = i + (till_u <= till_v), j + (till_v <= till_u)
 
     def _transitions(self, live: set[int]) -> None:
-        """Byte transitions from the start of an arc: (node << 8 | byte) -> node; and the arc that ends at a node."""
+        """Bytes of the arcs: (node << 8 | byte) -> node; the arc that ends at a node; which nodes go on."""
         self.step: dict[int, int] = {}
         self.arc: list[int] = [-1]
         for k in sorted(live):
@@ -104,94 +114,151 @@ class Automaton:
                     node = self.step[key] = len(self.arc)
                     self.arc.append(-1)
             self.arc[node] = k
+        self.goes_on = {key >> 8 for key in self.step}
+        self.sizes = np.array([len(x) for x in self.labels], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.labels), np.uint8)
 
     def _fresh(self) -> None:
+        self._pieces: dict[bytes, np.ndarray] = {}
+        self._words: dict[str, np.ndarray] = {}
         self._open: dict[int, bool] = {}
-        self._words: dict[str, bytes] = {}
-        self._spaced: dict[str, bytes] = {}
+        self._states()
+
+    def _states(self) -> None:
+        self._next: dict[int, int] = {}
+        self._arcs: list[tuple] = [((-1, 0),)]
+        self._ends: list[int] = [-1]
+        self._known = {self._arcs[0]: 0}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_open", "_words", "_spaced")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_pieces", "_words", "_open", "_next", "_arcs", "_ends", "_known")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._fresh()
 
-    def _allowed(self, key: int) -> bool:
-        if len(self._open) >= 5 * MEMO:
-            self._open.clear()
-        got = self._open[key] = self._cut_at(key >> 20, key & 0xFFFFF) == NEVER
+    def _allowed(self, before: int, token: int) -> bool:
+        got = self._open.get(key := before << 20 | token)
+        if got is None:
+            if len(self._open) >= 5 * MEMO:
+                self._open.clear()
+            got = self._open[key] = self._cut_at(before, token) == NEVER
         return got
 
+    def _transition(self, state: int, byte: int) -> int:
+        """Add the transition of a state on a byte to the table."""
+        arcs, end = [], -1
+        for before, node in self._arcs[state]:
+            node = self.step.get(node << 8 | byte)
+            if node is not None:
+                token = self.arc[node]
+                if token >= 0 and end < 0 and (before < 0 or self._allowed(before, token)):
+                    end = token
+                if node in self.goes_on:
+                    arcs.append((before, node))
+        arcs.append((end, 0))
+        key = tuple(arcs)
+        to = self._known.get(key)
+        if to is None:
+            to = self._known[key] = len(self._arcs)
+            self._arcs.append(key)
+            self._ends.append(end)
+        self._next[state << 8 | byte] = to
+        return to
+
     def encode_word(self, word: bytes) -> list[int]:
-        """The one path of uncut arcs over a word: longest arc first, a dead end is left and not tried again."""
-        step, arc, known, longest = self.step, self.arc, self._open, self.longest
-        size, at, before, path = len(word), 0, -1, []
-        arcs, left = None, []
-        dead = set()
-        while at < size:
-            if arcs is None:
-                arcs, node, end = [], 0, at
-                for b in word[at : at + longest]:
-                    node = step.get(node << 8 | b)
-                    if node is None:
-                        break
-                    end += 1
-                    if (token := arc[node]) >= 0:
-                        arcs.append((end, token))
-            while arcs:
-                end, token = arcs.pop()
-                if before >= 0:
-                    ok = known.get(key := before << 20 | token)
-                    if ok is None:
-                        ok = self._allowed(key)
-                    if not ok or dead and (end, token) in dead:
-                        continue
-                path.append(token)
-                left.append((at, before, arcs))
-                at, before, arcs = end, token, None
-                break
-            else:
-                dead.add((at, path.pop()))
-                at, before, arcs = left.pop()
-        return path
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a pre-split word as little-endian 32-bit numbers; kept for the next time."""
-        got = np.array(self.encode_word(word.encode("utf-8", "replace")), "<u4").tobytes()
+        """The one path of uncut arcs over a word."""
+        if len(self._arcs) > MEMO:
+            self._states()
+        known, ends, state, last = self._next, self._ends, 0, []
+        for b in word:
+            to = known.get(state << 8 | b)
+            state = self._transition(state, b) if to is None else to
+            last.append(ends[state])
+        path, at = [], len(word)
+        while at:
+            path.append(last[at - 1])
+            at -= len(self.labels[path[-1]])
+        return path[::-1]
+
+    def _word(self, word: str) -> np.ndarray:
+        """Ids of a pre-split word; kept for the next time."""
+        got = np.array(self.encode_word(word.encode("utf-8", "replace")), "<u4")
         if len(word) <= 64:
             if len(self._words) >= MEMO:
                 self._words.clear()
             self._words[word] = got
         return got
 
-    def _piece(self, piece: str) -> bytes:
-        get = self._words.get
-        return b"".join([get(w) or self._word(w) for w in SPLIT.findall(piece)])
-
-    def _part(self, part: str) -> bytes:
-        """Ids of a space and what follows up to the next cut."""
-        got = self._word(" " + part) if part.isalpha() else self._piece(" " + part)
-        if len(part) <= 64:
-            if len(self._spaced) >= MEMO:
-                self._spaced.clear()
-            self._spaced[part] = got
+    def _split(self, piece: str) -> np.ndarray:
+        found = [self._words[w] if w in self._words else self._word(w) for w in SPLIT.findall(piece)]
+        return found[0] if len(found) == 1 else np.concatenate([NONE, *found])
+
+    def _piece(self, piece: bytes) -> np.ndarray:
+        """Ids of a space and what follows up to the next one."""
+        got = self._split(piece.decode())
+        if len(piece) <= 64:
+            if len(self._pieces) >= MEMO:
+                self._pieces.clear()
+            self._pieces[piece] = got
         return got
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text of any kind."""
         for name, k in self.specials.items():
             if name in text:
-                mark = np.array([k], "<u4").tobytes()
-                return mark.join([self.encode(part) for part in text.split(name)])
-        # Splitting at each space is right unless white space meets; the pattern finds the lone spaces then.
-        first, *parts = LONE_SPACE.split(text) if any(w.search(text) for w in WIDE) else text.split(" ")
-        get, miss = self._spaced.get, self._part
-        return self._piece(first) + b"".join([get(p) or miss(p) for p in parts])
-
-    def decode(self, ids: bytes) -> str:
-        labels = self.labels
-        return b"".join([labels[k] for k in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+                parts = [self.encode(part) for part in text.split(name)]
+                return np.concatenate([parts[0], *[x for part in parts[1:] for x in (np.array([k], "<u4"), part)]])
+        # text may be cut before each lone space
+        return np.concatenate([NONE, *[self._split(" " * (n > 0) + part) for n, part in enumerate(LONE_SPACE.split(text)) if n or part]])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a string column without nulls) in sequence, and where each text's begin; each distinct piece is looked up once."""
+        plain, odd = [], {}
+        for n, text in enumerate(texts.to_pylist()):
+            if any(name in text for name in self.specials) or any(w.search(text) for w in WIDE):
+                odd[n] = self.encode(text)
+            plain.append(b"" if n in odd else text.encode())
+        raw = np.frombuffer(b"".join(plain), np.uint8)
+        sizes = np.array([len(x) for x in plain], np.int64)
+        row = np.cumsum(sizes) - sizes
+        # no white space meets in these, so each space begins a piece
+        begins = np.union1d(np.flatnonzero(raw == 32), row[sizes > 0])
+        offsets = np.append(begins, len(raw)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        get, at = self._pieces.get, pieces.indices.to_numpy()
+        kinds = [x if (x := get(p)) is not None else self._piece(p) for p in pieces.dictionary.to_pylist()]
+        lengths = np.array([len(x) for x in kinds], np.int64)
+        ids = np.concatenate([NONE, *kinds])[spans((np.cumsum(lengths) - lengths)[at], lengths[at])]
+        ends = np.concatenate([[0], np.cumsum(lengths[at])])
+        first = ends[np.searchsorted(begins, np.append(row, len(raw)))]
+        if not odd:
+            return ids, first
+        parts = [odd[n] if n in odd else ids[first[n] : first[n + 1]] for n in range(len(plain))]
+        return np.concatenate([NONE, *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.letters[spans(self.starts[ids], self.sizes[ids])].tobytes().decode("utf-8", "replace")
+
+    def decode_all(self, ids: np.ndarray, first: np.ndarray) -> pa.Array:
+        """The texts whose ids begin where `first` says."""
+        parts = (ids[k : k + LOOKS] for k in range(0, len(ids), LOOKS))
+        letters = np.concatenate([np.zeros(0, np.uint8), *[self.letters[spans(self.starts[x], self.sizes[x])] for x in parts]])
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])[first]
+        try:
+            letters.tobytes().decode()
+            whole = not ((letters[at[at < len(letters)]] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if whole:
+            return pa.Array.from_buffers(pa.string(), len(first) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(letters)])
+        return pa.array([letters[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)], pa.string())
+
+
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on for each length, in sequence."""
+    return np.arange(int(length.sum())) + np.repeat(start - np.cumsum(length) + length, length)
 
 
 def compile_tokenizer(path: str) -> Automaton:
@@ -210,7 +277,8 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: tu
     32-bit) and, if asked for, decoded.  A null text counts as empty: no ids and
     an empty text.  A special token's string in a text becomes that token.
     Rows stay as they are, repeated ones too; other columns are left out, so
-    none can clash.  An empty table gives no rows.
+    none can clash.  A very long text is encoded whole, by itself.  An empty
+    table gives no rows.
     """
     text_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(compile_tokenizer(tokenizer))  # bounded by the vocabulary
@@ -220,13 +288,14 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [automaton.encode(t) for t in part.column(len(keep)).to_pylist()]
-                out = [*part.columns[: len(keep)], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            texts = strings(batch.column(len(keep)))
+            for a, b in slices(texts, 1 << 22):
+                ids, first = automaton.encode_all(texts.slice(a, b - a))
+                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                out = [*[c.slice(a, b - a) for c in batch.columns[: len(keep)]], pa.array(np.diff(first), pa.int64()), packed]
                 names = [*keep, "n_tokens", "ids"]
                 if decoded:
-                    out.append(pa.array([automaton.decode(x) for x in ids], pa.string()))
+                    out.append(automaton.decode_all(ids, first))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(out, names)
 
