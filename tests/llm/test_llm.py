@@ -53,7 +53,7 @@ def test_bpe_as_the_library(automaton, library, real):
     odd = ["", " ", "a  b", "\n \n x", "it's I'LL 've", "aaaaaaaa" * 9, "<|endoftext|>x<|endoftext|>", "日本語 テスト", "🙂👩‍👩‍👧", "é    x", "\x1c\x1d a", "12 345.6", " lead", "trail ", "\u0085b"]
     rng = np.random.default_rng(3)
     odd += ["".join(rng.choice(list("ab\n 'st\té.1"), 30)) for _ in range(300)]
-    odd += ["".join(rng.choice(list("ab \u3000é\t日<"), 30)) for _ in range(300)] + ["a" * 9000, "\n", "x ", " x", "a\u3000 b", "a \u3000b"]
+    odd += ["".join(rng.choice(list("ab \u3000é\t日<"), 30)) for _ in range(300)] + ["a" * 9000, "\n", "x ", " x", "a\u3000 b", "a \u3000b", "x\n\n", "y\n\n\nz\t\tq", "\n\n\n", "\n\nk", "l\r\n\r\n"]
     texts = [*odd, *[t or "" for _, t in real]]
     ids, first = automaton.encode_all(pa.array(texts))
     back = automaton.decode_all(ids, first).to_pylist()

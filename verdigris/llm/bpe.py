@@ -38,11 +38,21 @@ LONE_SPACE = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
 #: A space next to other white space, on either side.
 WIDE = re.compile(r" \s"), re.compile("[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 NEVER = 1 << 60
-NONE = np.zeros(0, "<u4")
+NODE_BITS = 24
+NODE = (1 << NODE_BITS) - 1
+#: How the pattern sees the bytes of a piece: white space, letters, digits, what needs the pattern itself, and all else.
+GAP, WORDY, DIGIT, UNSURE, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[*range(9, 14), *range(28, 33)]] = GAP
+KIND[[*range(65, 91), *range(97, 123)]] = WORDY
+KIND[48:58] = DIGIT
+KIND[[39, *range(28, 32), *range(128, 256)]] = UNSURE
 #: Tokens whose labels are looked up together.
 LOOKS = 1 << 20
-#: Entries kept in each of a worker's tables.
-MEMO = 400_000
+#: Bytes of the words that are read together; longer ones are read by themselves.
+TOGETHER = 48
+#: States kept in a worker's table, about.
+MEMO = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,6 +71,7 @@ class Automaton:
         for name, k in vocab.items():
             self.labels[k] = bytes(letters[c] for c in name)
         self.specials = specials
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")" if specials else "$^")
         for name, k in specials.items():
             self.labels[k] = name.encode()
         self.cuts: dict[tuple[int, int], int] = {}
@@ -120,19 +131,21 @@ class Automaton:
         self.letters = np.frombuffer(b"".join(self.labels), np.uint8)
 
     def _fresh(self) -> None:
-        self._pieces: dict[bytes, np.ndarray] = {}
-        self._words: dict[str, np.ndarray] = {}
         self._open: dict[int, bool] = {}
         self._states()
 
     def _states(self) -> None:
+        """Start the table anew: state 0 has read nothing."""
         self._next: dict[int, int] = {}
-        self._arcs: list[tuple] = [((-1, 0),)]
-        self._ends: list[int] = [-1]
+        # an arc that is being read: the token before it, plus one, and the node reached
+        self._arcs: list[tuple[int, ...]] = [(0,)]
         self._known = {self._arcs[0]: 0}
+        self._ends: list[int] = [-1]
+        self._new: list[int] = []
+        self._keys, self._to, self._end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.array(self._ends, np.int64)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_pieces", "_words", "_open", "_next", "_arcs", "_ends", "_known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_open", "_next", "_arcs", "_known", "_ends", "_new", "_keys", "_to", "_end")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -149,15 +162,15 @@ class Automaton:
     def _transition(self, state: int, byte: int) -> int:
         """Add the transition of a state on a byte to the table."""
         arcs, end = [], -1
-        for before, node in self._arcs[state]:
-            node = self.step.get(node << 8 | byte)
+        for packed in self._arcs[state]:
+            node = self.step.get((packed & NODE) << 8 | byte)
             if node is not None:
-                token = self.arc[node]
+                before, token = (packed >> NODE_BITS) - 1, self.arc[node]
                 if token >= 0 and end < 0 and (before < 0 or self._allowed(before, token)):
                     end = token
                 if node in self.goes_on:
-                    arcs.append((before, node))
-        arcs.append((end, 0))
+                    arcs.append(packed & ~NODE | node)
+        arcs.append(end + 1 << NODE_BITS)
         key = tuple(arcs)
         to = self._known.get(key)
         if to is None:
@@ -165,12 +178,28 @@ class Automaton:
             self._arcs.append(key)
             self._ends.append(end)
         self._next[state << 8 | byte] = to
+        self._new.append(state << 8 | byte)
         return to
 
+    def _look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The next states of (state << 8 | byte)."""
+        at = np.searchsorted(self._keys, keys)
+        missing = keys[np.append(self._keys, -1)[at] != keys]
+        if not len(missing):
+            return self._to[at]
+        for key in np.unique(missing).tolist():
+            if key not in self._next:
+                self._transition(key >> 8, key & 255)
+        new = np.sort(np.array(self._new, np.int64))
+        at = np.searchsorted(self._keys, new)
+        self._to = np.insert(self._to, at, [self._next[k] for k in new.tolist()])
+        self._keys = np.insert(self._keys, at, new)
+        self._end = np.append(self._end, np.array(self._ends[len(self._end) :], np.int64))
+        self._new.clear()
+        return self._to[np.searchsorted(self._keys, keys)]
+
     def encode_word(self, word: bytes) -> list[int]:
         """The one path of uncut arcs over a word."""
-        if len(self._arcs) > MEMO:
-            self._states()
         known, ends, state, last = self._next, self._ends, 0, []
         for b in word:
             to = known.get(state << 8 | b)
@@ -182,61 +211,85 @@ class Automaton:
             at -= len(self.labels[path[-1]])
         return path[::-1]
 
-    def _word(self, word: str) -> np.ndarray:
-        """Ids of a pre-split word; kept for the next time."""
-        got = np.array(self.encode_word(word.encode("utf-8", "replace")), "<u4")
-        if len(word) <= 64:
-            if len(self._words) >= MEMO:
-                self._words.clear()
-            self._words[word] = got
-        return got
-
-    def _split(self, piece: str) -> np.ndarray:
-        found = [self._words[w] if w in self._words else self._word(w) for w in SPLIT.findall(piece)]
-        return found[0] if len(found) == 1 else np.concatenate([NONE, *found])
-
-    def _piece(self, piece: bytes) -> np.ndarray:
-        """Ids of a space and what follows up to the next one."""
-        got = self._split(piece.decode())
-        if len(piece) <= 64:
-            if len(self._pieces) >= MEMO:
-                self._pieces.clear()
-            self._pieces[piece] = got
-        return got
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text of any kind."""
-        for name, k in self.specials.items():
-            if name in text:
-                parts = [self.encode(part) for part in text.split(name)]
-                return np.concatenate([parts[0], *[x for part in parts[1:] for x in (np.array([k], "<u4"), part)]])
-        # text may be cut before each lone space
-        return np.concatenate([NONE, *[self._split(" " * (n > 0) + part) for n, part in enumerate(LONE_SPACE.split(text)) if n or part]])
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The paths over all words, one after another, and their lengths: all words read a byte at a time, together."""
+        if len(self._arcs) > MEMO:
+            self._states()
+        raw, begin = _bytes_of(words)
+        begin, size = begin[:-1], np.diff(begin)
+        far = np.flatnonzero(size > TOGETHER)
+        order = np.argsort(-np.where(size > TOGETHER, 0, size), kind="stable")
+        length, at, state = size[order], begin[order], np.zeros(len(words), np.int64)
+        length[size[order] > TOGETHER] = 0
+        last = np.zeros(len(raw), np.int64)
+        for k in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -k))
+            state[:n] = self._look_up(state[:n] << 8 | raw[at[:n] + k].astype(np.int64))
+            last[at[:n] + k] = self._end[state[:n]]
+        # back from the end of each word
+        left, end = order[: np.searchsorted(-length, 0)], None
+        end, steps = begin[left] + size[left], []
+        while len(left):
+            token = last[end - 1]
+            steps.append((left, token))
+            end = end - self.sizes[token]
+            on = end > begin[left]
+            left, end = left[on], end[on]
+        paths = {int(k): self.encode_word(raw[begin[k] : begin[k] + size[k]].tobytes()) for k in far}
+        count = np.zeros(len(words), np.int64)
+        for who, _ in steps:
+            count[who] += 1
+        count[far] = [len(paths[k]) for k in far.tolist()]
+        first = np.cumsum(count) - count
+        ids = np.zeros(int(count.sum()), "<u4")
+        for k, (who, token) in enumerate(steps):
+            ids[first[who] + count[who] - 1 - k] = token
+        for k, path in paths.items():
+            ids[first[k] : first[k] + len(path)] = path
+        return ids, count
+
+    def _words_of(self, text: str) -> list[bytes]:
+        """The words of a text without special tokens, which may be cut before each lone space."""
+        return [w.encode() for n, part in enumerate(LONE_SPACE.split(text)) if n or part for w in SPLIT.findall(" " * (n > 0) + part)]
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (a string column without nulls) in sequence, and where each text's begin; each distinct piece is looked up once."""
-        plain, odd = [], {}
+        """Ids of all texts (a string column without nulls) in sequence, and where each text's begin; each distinct word is read once."""
+        special = {name: -1 - k for k, name in enumerate(self.specials)}
+        plain, odd, loose = [], {}, []
         for n, text in enumerate(texts.to_pylist()):
-            if any(name in text for name in self.specials) or any(w.search(text) for w in WIDE):
-                odd[n] = self.encode(text)
+            marked = any(name in text for name in special)
+            if marked or any(w.search(text) for w in WIDE):
+                odd[n] = []
+                for part in self.marks.split(text) if marked else [text]:
+                    found = [] if part in special else self._words_of(part)
+                    odd[n] += [special[part]] if part in special else range(len(loose), len(loose) + len(found))
+                    loose += found
             plain.append(b"" if n in odd else text.encode())
         raw = np.frombuffer(b"".join(plain), np.uint8)
         sizes = np.array([len(x) for x in plain], np.int64)
         row = np.cumsum(sizes) - sizes
         # no white space meets in these, so each space begins a piece
         begins = np.union1d(np.flatnonzero(raw == 32), row[sizes > 0])
-        offsets = np.append(begins, len(raw)).astype(np.int32)
-        pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        get, at = self._pieces.get, pieces.indices.to_numpy()
-        kinds = [x if (x := get(p)) is not None else self._piece(p) for p in pieces.dictionary.to_pylist()]
-        lengths = np.array([len(x) for x in kinds], np.int64)
-        ids = np.concatenate([NONE, *kinds])[spans((np.cumsum(lengths) - lengths)[at], lengths[at])]
-        ends = np.concatenate([[0], np.cumsum(lengths[at])])
-        first = ends[np.searchsorted(begins, np.append(row, len(raw)))]
-        if not odd:
-            return ids, first
-        parts = [odd[n] if n in odd else ids[first[n] : first[n + 1]] for n in range(len(plain))]
-        return np.concatenate([NONE, *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        pieces = _binary(raw, np.append(begins, len(raw))).dictionary_encode()
+        at, (cut, many) = pieces.indices.to_numpy(), _words_of_pieces(pieces.dictionary)
+        kinds = pa.concat_arrays([cut, pa.array(loose, pa.binary())]).dictionary_encode()
+        number = kinds.indices.to_numpy().astype(np.int64)
+        words = number[spans((np.cumsum(many) - many)[at], many[at])]
+        past = np.concatenate([[0], np.cumsum(many[at])])
+        first = past[np.searchsorted(begins, np.append(row, len(raw)))]
+        if odd:
+            own = lambda x: np.where(x < 0, x, np.append(number, 0)[np.where(x < 0, 0, x + len(cut))])
+            parts = [own(np.array(odd[n], np.int64)) if n in odd else words[first[n] : first[n + 1]] for n in range(len(plain))]
+            words, first = np.concatenate([words[:0], *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        ids, count = self.encode_words(kinds.dictionary)
+        # special tokens stand behind the words, the last one first
+        ids, count = np.append(ids, list(self.specials.values())[::-1]).astype("<u4"), np.append(count, [1] * len(special)).astype(np.int64)
+        begin = np.cumsum(count) - count
+        past = np.concatenate([[0], np.cumsum(count[words])])
+        return ids[spans(begin[words], count[words])], past[first]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.letters[spans(self.starts[ids], self.sizes[ids])].tobytes().decode("utf-8", "replace")
@@ -256,6 +309,48 @@ class Automaton:
         return pa.array([letters[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)], pa.string())
 
 
+def _binary(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each row begins."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8), offsets - offsets[0]
+
+
+def _words_of_pieces(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of pieces that begin with their only space, if they have one; and how many each piece has.
+
+    Where a piece holds an apostrophe or other than ASCII, the pattern cuts it.
+    Elsewhere a word ends where the kind of byte changes, but for the space in
+    front; of white space before something else, the last byte stands alone.
+    """
+    raw, begin = _bytes_of(pieces)
+    if not len(raw):
+        return pa.array([], pa.binary()), np.zeros(0, np.int64)
+    kind = KIND[raw]
+    starts = np.zeros(len(raw) + 1, bool)
+    starts[1:-1] = (kind[1:] != kind[:-1]) & (raw[:-1] != 32)
+    last = np.zeros(len(raw), bool)
+    last[begin[1:] - 1] = True
+    starts[:-1][(kind == GAP) & (raw != 32) & ~last & np.append(kind[1:] != GAP, False)] = True
+    starts[begin] = True
+    unsure = np.unique(np.searchsorted(begin, np.flatnonzero(kind == UNSURE), "right") - 1)
+    inside = spans(begin[unsure], np.diff(begin)[unsure])
+    starts[inside] = False
+    for k in unsure.tolist():
+        at = begin[k]
+        for w in SPLIT.findall(raw[begin[k] : begin[k + 1]].tobytes().decode()):
+            starts[at] = True
+            at += len(w.encode())
+    at = np.flatnonzero(starts)
+    return _binary(raw, at), np.diff(np.searchsorted(at, begin))
+
+
 def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start, start + 1 and so on for each length, in sequence."""
     return np.arange(int(length.sum())) + np.repeat(start - np.cumsum(length) + length, length)
