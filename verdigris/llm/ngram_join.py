@@ -38,7 +38,7 @@ FEW_PAIRS = 150_000
 #: Rows with an equal in the table that are broadcast to leave them out at the most.
 FEW_EQUALS = 150_000
 #: Comparisons to a posted row that the join of all pairs may cost; while it would cost more, groups are held against another hub.
-WORK = 16
+WORK = 64
 #: Bytes and pairs of texts that are verified together (one pair at the least).
 PAIR_BYTES, PAIRS = 1 << 22, 64
 
@@ -313,8 +313,8 @@ sets are found by 128-bit fingerprints, and a set's shingles are counted by
     posted = posted.join(heads.select("id", "n", "last"), "id")
     posted = cut(posted.select("token", "id", "n", (_rest(percent) + F.col("s")).alias("o"), "last", "all", (F.col("pos") < _short_prefix(percent)).alias("short")))
 
-    # groups against hubs, as often as new links make the join of all pairs cheaper
-    links = found = None
+    # groups against hubs, for as long as that halves the cost of the join of all pairs
+    links = found = before = None
     rows = posted.count()
     while True:
         known = posted.withColumn("component", F.col("id")) if found is None else posted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -323,10 +323,10 @@ sets are found by 128-bit fingerprints, and a set's shingles are counted by
         mixed = cut(mixed.select("token", F.col("top.component").alias("main"), ((F.col("__all") - F.col("top.__many")) * F.col("__all")).alias("work")))
         known = known.join(mixed.drop("work"), "token").withColumn("main", F.col("component") == F.col("main"))
         work = mixed.agg(F.sum("work")).first()[0] or 0
-        if found is not None and (work <= WORK * rows or not new):
+        if found is not None and (work <= WORK * rows or 2 * work > before):
             break
+        before = work
         better = cut(_verified(_against_hubs(known if found is None else known.where("NOT main"), heads, percent), texts, size, percent))
-        new = better.count()
         links = better if links is None else links.unionByName(better)
         found = cut(components(links).withColumnRenamed("node", "id"))
 
