@@ -13,6 +13,11 @@ def test_upsert_keeps_the_last(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["k"], r["v"]) for r in sink.read(spark).collect()) == [("a", "z"), ("b", "y")]
+    # another driver goes on from what is there, and a batch that is run twice changes nothing
+    again = Upsert(str(tmp_path / "t"), ["k"], "seq")
+    for _ in range(2):
+        again(spark.createDataFrame([("c", 4, "new")], "k string, seq int, v string"), 2)
+    assert sorted((r["k"], r["v"]) for r in again.read(spark).collect()) == [("a", "z"), ("b", "y"), ("c", "new")]
 
 
 def test_episodes_end_at_the_limit(spark, small, tmp_path):

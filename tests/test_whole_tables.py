@@ -34,8 +34,8 @@ def words(x):
 
 def test_normalised(spark, few):
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    assert {tuple(r) for r in QUERIES["normalize_text_all"](spark, few).collect()} == {(i, md5(norm(t)), len(norm(t))) for i, t in DOCS}
-    assert {tuple(r) for r in QUERIES["normalize_answer_all"](spark, few).collect()} == {(i, md5(" ".join(words(t))), len(words(t))) for i, t in DOCS}
+    assert {tuple(r) for r in QUERIES["normalize_text"](spark, few).collect()} == {(i, md5(norm(t)), len(norm(t))) for i, t in DOCS}
+    assert {tuple(r) for r in QUERIES["normalize_answer"](spark, few).collect()} == {(i, md5(" ".join(words(t))), len(words(t))) for i, t in DOCS}
 
 
 def test_token_f1(spark, few):
@@ -44,7 +44,7 @@ def test_token_f1(spark, few):
         p, r = words(t), words(ITEMS[i % len(ITEMS)][1])
         both = sum((Counter(p) & Counter(r)).values())
         want[i] = (float(p == r),) * 3 if not p or not r else (both / len(p), both / len(r), 2 * both / (len(p) + len(r)))
-    got = {r["id"]: (r["precision"], r["recall"], r["f1"]) for r in QUERIES["token_f1_all"](spark, few).collect()}
+    got = {r["id"]: (r["precision"], r["recall"], r["f1"]) for r in QUERIES["token_f1"](spark, few).collect()}
     assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-8) for i in want)
 
 
@@ -59,10 +59,10 @@ def test_bm25(spark, few):
         known = [t for t in set(terms(text)) if t in idf]
         hits = [(-round(sum(idf[t] * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / avg)) for t in known) / sum(idf[t] for t in known), 7), i) for i, c in docs.items() if any(t in c for t in known)]
         want |= {(item, i, -s, k + 1) for k, (s, i) in enumerate(sorted(hits)[:3])}
-    got = {tuple(r) for r in QUERIES["bm25_topk_all"](spark, few).collect()}
+    got = {tuple(r) for r in QUERIES["bm25_topk"](spark, few).collect()}
     assert got == want and any(not dict(DOCS)[i].isascii() for _, i, _, _ in got)
 
 
-@pytest.mark.parametrize("name", ["normalize_text_all", "normalize_answer_all", "token_f1_all"])
+@pytest.mark.parametrize("name", ["normalize_text", "normalize_answer", "token_f1"])
 def test_every_document(spark, small, name):
     assert QUERIES[name](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 ACTION = StructType([StructField("action", StringType()), StructField("query", StringType()), StructField("parsed", BooleanType())])
+CALL = StructType([StructField("action", StringType()), StructField("query", StringType())])
 # The fields that replies use for an action and for what it asks.
 NAMES, ASKS = ("action", "action_type"), ("query", "action_text", "content")
 
@@ -34,34 +35,48 @@ def json_objects(values: pd.Series) -> pd.Series:
     return values.map(lambda s: _objects(s or ""))
 
 
-def _read(text: str | None, actions: tuple[str, ...]) -> tuple[str, str | None, bool]:
-    body = re.sub(r"(?m)^```(?:json)?|```$", "", (text or "").strip()).strip()
-    if not body:
-        return "", None, False
-    for piece in (body, *_objects(body)):
-        try:
-            fields = json.loads(piece)
-        except ValueError:
-            continue
-        if isinstance(fields, dict):
-            name = next((str(fields[k]) for k in NAMES if fields.get(k)), "").strip().lower()
-            if name in actions:
-                asked = next((fields[k] for k in ASKS if fields.get(k)), "")
-                return name, asked if isinstance(asked, str) else json.dumps(asked, ensure_ascii=False), True
-    for name in actions:
-        if said := re.search(rf"\b{re.escape(name)}\b\W{{0,4}}(.*)", body.lower()):
-            return name, said[1].strip(), True
-    return "", body, False
+def _told(value: object) -> str:
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def parse_action(reply: Column, actions: tuple[str, ...]) -> Column:
-    """Struct of action, query, parsed: strict JSON, then JSON within the reply, then an action's name and the rest of its line."""
+def _fields(objects: str) -> dict | None:
+    try:
+        value = json.loads(objects)
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None
+
+
+@F.pandas_udf(CALL)
+def _json_call(bodies: pd.Series, known: pd.Series) -> pd.DataFrame:
+    """Of the objects that a body is or holds, the first that names a known action, and what it asks."""
+
+    def first(body: str, names: set[str]) -> tuple[str | None, str | None]:
+        for fields in filter(None, map(_fields, [body, *_objects(body)])):
+            filled = {k: v for k, v in fields.items() if v}
+            name = str(filled[min(filled.keys() & set(NAMES), key=NAMES.index)]).strip().lower() if filled.keys() & set(NAMES) else None
+            if name in names:
+                return name, next((_told(filled[k]) for k in ASKS if k in filled), "")
+        return None, None
 
-    @F.pandas_udf(ACTION)
-    def run(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_read(v, actions) for v in values], columns=ACTION.names)
+    return pd.DataFrame([first(b, set(k)) for b, k in zip(bodies, known, strict=True)], columns=CALL.names)
 
-    return run(reply)
+
+def parse_action(reply: Column, actions: tuple[str, ...]) -> Column:
+    """Struct of action, query, parsed: strict JSON, then JSON within the reply, then an action's name and the rest of its line.
+
+    Only the reading of JSON runs in Arrow batches; fences and names are expressions.
+    """
+    body = F.regexp_replace(F.regexp_replace(F.coalesce(reply, F.lit("")), "^\\s+|\\s+$", ""), "(?m)^```(?:json)?|```\\z", "")
+    body = F.regexp_replace(body, "^\\s+|\\s+$", "")
+    call = _json_call(body, F.array(*[F.lit(a) for a in actions]))
+    spoken = [F.regexp_extract(F.lower(body), f"\\b({re.escape(a)})\\b\\W{{0,4}}(.*)", 2) for a in actions]
+    named = F.lit(None).cast(ACTION)
+    for a, rest in list(zip(actions, spoken, strict=True))[::-1]:
+        named = F.when(F.rlike(F.lower(body), F.lit(f"\\b{re.escape(a)}\\b")), F.struct(F.lit(a).alias("action"), F.trim(rest).alias("query"), F.lit(True).alias("parsed"))).otherwise(named)
+    unread = F.struct(F.lit("").alias("action"), F.when(body != "", body).alias("query"), F.lit(False).alias("parsed"))
+    read = F.struct(call["action"].alias("action"), call["query"].alias("query"), F.lit(True).alias("parsed"))
+    return F.when(call["action"].isNotNull(), read).when((body != "") & named.isNotNull(), named).otherwise(unread)
 
 
 def findings(section: Column, least: int = 12) -> Column:
@@ -70,13 +85,17 @@ def findings(section: Column, least: int = 12) -> Column:
     return F.filter(parts, lambda s: F.length(s["text"]) >= least)
 
 
+# The headings of a topology.
+HEADINGS = ("Entities in the incident window:", "Call/dependency edges:")
+
+
 def topology_text(entities: Column, edges: Column, most_entities: int = 40, most_edges: int = 60) -> Column:
     """Entities (name, type) and edges (source, target) as two lists of lines; an empty list has no heading."""
     some = lambda c: F.coalesce(F.trim(c), F.lit(""))
     names = F.transform(F.filter(F.slice(entities, 1, most_entities), lambda e: some(e["name"]) != ""), lambda e: F.concat(F.lit("- "), F.trim(e["name"]), F.when(some(e["type"]) != "", F.concat(F.lit(" ("), F.trim(e["type"]), F.lit(")"))).otherwise("")))
     calls = F.transform(F.filter(F.slice(edges, 1, most_edges), lambda e: (some(e["source"]) != "") & (some(e["target"]) != "")), lambda e: F.concat(F.lit("- "), F.trim(e["source"]), F.lit(" -> "), F.trim(e["target"])))
     block = lambda head, x: F.when(F.size(x) > 0, F.concat(F.lit(head + "\n"), F.array_join(x, "\n")))
-    return F.concat_ws("\n\n", block("Entities in the incident window:", names), block("Call/dependency edges:", calls))
+    return F.concat_ws("\n\n", block(HEADINGS[0], names), block(HEADINGS[1], calls))
 
 
 def context_text(docs: Column, most: int = 5, chars: int = 400) -> Column:

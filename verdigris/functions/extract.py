@@ -11,6 +11,16 @@ from verdigris.functions.text import EMPTY_SELECTION
 
 # Words of a direct answer, and the tags of the reply format.
 YES, NO = ("yes", "true", "correct", "affirmative"), ("no", "false", "incorrect", "negative")
+AFFIRMED = ("yes", "true", "correct", "match", "1")
+# What bodies of failed calls say of a text that is too long, and of a tunnel that is down.
+TOO_LONG = ("maximum context length", "context_length_exceeded", "longer than the maximum", "reduce the length", "please reduce", "max_model_len", "token limit")
+NO_TUNNEL = (
+    "error code: 1033", "error code: 502", "error code: 504", "argo tunnel", "cloudflared", "tunnel error", "bad gateway", "gateway time-out", "gateway timeout", "no tunnel", "web server is down",
+)
+# Statuses that pass by themselves.
+PASSING = (408, 409, 425, 500, 502, 503, 504, 520, 521, 522, 523, 524, 530)
+# How a label is written at the head of an answer, after a word for choosing, and by itself.
+LABEL_HEAD, LABEL_SAID, LABEL_ALONE = "(?i)^\\(?\\[?({})\\)?\\]?\\s*[).:,-]?\\s*", "(?i)(?:answer|choice|option|label|select(?:ed)?)\\D{{0,20}}?\\b({})\\b", "(?<![A-Za-z0-9])\\(?({})\\)?(?![A-Za-z0-9])"
 TAGS = "(?i)</?\\s*(?:think|answer|reasoning_chain|reasoning_trace)\\s*>"
 NUMBER = "-?\\d[\\d,]*\\.?\\d*(?:[eE][-+]?\\d+)?"
 
@@ -54,19 +64,23 @@ def canonical_label(x: Column, labels: tuple[str, ...]) -> Column:
 def choice_label(text: Column, labels: tuple[str, ...], prefix: str | None = None) -> Column:
     """The single label chosen: at the head of the span or text, else the last 'answer is X', else the last that stands alone; null if none."""
     any_of = _alternatives(labels)
-    head = f"(?i)^\\(?\\[?({any_of})\\)?\\]?\\s*[).:,-]?\\s*"
+    head = LABEL_HEAD.format(any_of)
     span = answer_span(text, prefix=prefix)
     at_head = [F.nullif(F.regexp_extract(_strip(x), head, 1), F.lit("")) for x in (span, text)]
-    said = F.regexp_extract_all(text, F.lit(f"(?i)(?:answer|choice|option|label|select(?:ed)?)\\D{{0,20}}?\\b({any_of})\\b"), F.lit(1))
-    alone = F.regexp_extract_all(text, F.lit(f"(?<![A-Za-z0-9])\\(?({any_of})\\)?(?![A-Za-z0-9])"), F.lit(1))
+    said = F.regexp_extract_all(text, F.lit(LABEL_SAID.format(any_of)), F.lit(1))
+    alone = F.regexp_extract_all(text, F.lit(LABEL_ALONE.format(any_of)), F.lit(1))
     return canonical_label(F.coalesce(*at_head, F.try_element_at(said, F.lit(-1)), F.try_element_at(alone, F.lit(-1))), labels)
 
 
 def choice_labels(text: Column, labels: tuple[str, ...], prefix: str | None = None) -> Column:
-    """All labels of the answer line in order; an empty list for an explicit none, null if nothing can be read."""
-    any_of = _alternatives(labels)
+    """All labels of the answer line in order; an empty list for an explicit none, null if nothing can be read.
+
+    Where nothing follows the prefix, the last line that is not blank is read.
+    """
     span = answer_span(text, prefix=prefix)
-    found = F.regexp_extract_all(span, F.lit(f"(?i)(?<![A-Za-z0-9])\\(?({any_of})\\)?(?![A-Za-z0-9])"), F.lit(1))
+    last = F.try_element_at(F.filter(F.split(F.coalesce(text, F.lit("")), "\\r\\n|[\\n\\r]"), lambda x: _strip(x) != ""), F.lit(-1))
+    span = F.when(span == "", _strip(F.coalesce(last, F.lit("")))).otherwise(span)
+    found = F.regexp_extract_all(span, F.lit("(?i)" + LABEL_ALONE.format(_alternatives(labels))), F.lit(1))
     out = F.array_distinct(F.transform(found, lambda x: canonical_label(x, labels)))
     bare = F.lower(_strip(F.regexp_replace(span, "[^\\w\\s/-]", " ")))
     return F.when(F.size(out) > 0, out).when(bare.isin(*EMPTY_SELECTION), F.array().cast("array<string>"))
@@ -145,7 +159,7 @@ def verdict(text: Column, top: float = 1.0) -> Column:
 
 
 def positive(label: Column, score: Column) -> Column:
-    return F.when(score.isNotNull(), score >= 0.5).otherwise(F.coalesce(label.isin("yes", "true", "correct", "match", "positive", "equivalent"), F.lit(False)))
+    return F.when(score.isNotNull(), score >= 0.5).otherwise(F.coalesce(F.lower(_strip(label)).isin(*AFFIRMED), F.lit(False)))
 
 
 def turn_prediction(text: Column, most: int = 200) -> Column:
@@ -184,10 +198,13 @@ def known_keys(raw: Column, known: Column) -> Column:
 
 
 def error_class(status: Column, body: Column) -> Column:
-    """What an HTTP status and body mean for a retry."""
+    """What the HTTP status and body of a call mean for a retry; a status below 400 is ok.
+
+    The body decides only where the status doesn't: one that tells of a text
+    that is too long makes any other failure a context failure.
+    """
     low = F.lower(F.coalesce(body, F.lit("")))
-    too_long = F.contains(low, F.lit("context length")) | F.contains(low, F.lit("maximum context"))
-    return (
-        F.when(status.isin(401, 403), "auth").when(status == 429, "rate_limit").when((status == 400) & too_long, "context_overflow")
-        .when(status == 404, "not_found").when(status.isin(408, 504), "timeout").when(status >= 500, "server").when(status >= 400, "bad_request").otherwise("ok")
-    )
+    tells = lambda marks: F.rlike(low, F.lit("|".join(map(re.escape, marks))))
+    by_body = F.when(tells(TOO_LONG), "context_length").when(status.isin(400, 422), "invalid_request").when(status.isin(*PASSING) | tells(NO_TUNNEL), "transient").otherwise("unknown")
+    by_status = F.when(status < 400, "ok").when(status == 429, "rate_limit").when(status.isin(401, 403), "auth").when(status == 404, "invalid_request")
+    return by_status.otherwise(by_body)

@@ -100,8 +100,15 @@ def token_estimate(x: Column, per: float = 3.6) -> Column:
     return F.when(F.coalesce(F.length(x), F.lit(0)) == 0, 0).otherwise(F.floor(F.length(x) / per) + 1).cast("bigint")
 
 
-def backoff(attempt: Column, base: float = 1.0, factor: float = 2.0, cap: float = 60.0) -> Column:
-    return F.least(F.lit(cap), base * F.pow(F.lit(factor), attempt - 1))
+def backoff(attempt: Column, error: Column | None = None, draw: Column | None = None, base: float = 2.0, limited: float = 20.0, factor: float = 2.0, cap: float = 120.0, jitter: float = 0.3) -> Column:
+    """Seconds to wait after an attempt (from 1), longer from the start where the error is a rate limit.
+
+    `draw`, from 0 to 1, places the wait within jitter of itself on either side;
+    without one there is no jitter.
+    """
+    start = F.lit(base) if error is None else F.when(error == "rate_limit", limited).otherwise(base)
+    wait = F.least(F.lit(cap), start * F.pow(F.lit(factor), F.greatest(attempt - 1, F.lit(0))))
+    return wait if draw is None else F.greatest(F.lit(0.0), wait * (1 + jitter * (2 * draw - 1)))
 
 
 def clamp(x: Column, low: int = 64, high: int = 32_000) -> Column:

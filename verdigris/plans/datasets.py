@@ -49,6 +49,23 @@ def multi_selection(metric: str) -> Callable[[Column], tuple[Column, Column, Col
     return score
 
 
+def number_set(metric: str) -> Callable[[Column], tuple[Column, Column, Column]]:
+    """The whole numbers of the answer as a set against the gold ones: equal, F1, and as many."""
+
+    def score(c: Column) -> tuple[Column, Column, Column]:
+        span = extract.answer_span(c, prefix="Answer:")
+        found = F.array_distinct(F.transform(F.regexp_extract_all(span, F.lit("\\d+"), F.lit(0)), lambda x: x.cast("int")))
+        gold = F.array_distinct(F.transform("gold_labels", lambda x: x.cast("int")))
+        read = F.size(found) > 0
+        same = F.array_sort(found) == F.array_sort(gold)
+        count = F.when(read, (F.size(found) == F.size(gold)).cast("double"))
+        f1 = F.when(read, text.set_prf(found, gold)["f1"]).otherwise(0.0)
+        said = F.array_join(F.transform(F.array_sort(found), lambda x: x.cast("string")), " ")
+        return _map(**{metric: read & same, "premise_f1": f1, "premise_count_match": count}), F.when(read, said).otherwise(F.left(span, F.lit(200))), read
+
+    return score
+
+
 def free_text(metric: str) -> Callable[[Column], tuple[Column, Column, Column]]:
     """Match (equal to or containing the gold answer or an accepted one), exact match and token F1."""
 
@@ -174,7 +191,7 @@ PLANS: dict[str, Plan] = dict(
         _plan("synpat", "static", "none", True, "equation_equivalent", judged),
         _plan("true_detective", "static", "single", True, "accuracy", selection),
         _plan("uncommonsense", "static", "none", False, "proxy_closest_explanation_score", judged),
-        _plan("uniadilr_hgc", "static", "none", True, "premise_set_match", multi_selection),
+        _plan("uniadilr_hgc", "static", "none", True, "premise_set_match", number_set),
         _plan("vivabench", "interactive", "none", False, "diagnosis_judged", judged),
         _plan("xcopa", "static", "single", True, "accuracy", selection, strata=("lang",)),
     ]

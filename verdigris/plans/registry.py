@@ -78,8 +78,6 @@ FROM {part}""",
 SELECT event_id AS id, user_id AS item, event_type AS kind, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS v,
        value, event_id % 3 = 0 AS correct, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS turn
 FROM {events}""",
-    "ascii_pairs": """
-SELECT d.doc_id AS id, d.text AS p, b.text AS r FROM {documents} d JOIN {benchmark} b ON d.doc_id % 40 = b.item_id WHERE bit_length(d.text) = 8 * length(d.text)""",
     # every document with an item, whatever their number
     "pairs": """
 SELECT d.doc_id AS id, d.text AS p, b.text AS r FROM {documents} d CROSS JOIN (SELECT count(*) AS n FROM {benchmark}) c

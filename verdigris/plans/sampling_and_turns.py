@@ -159,7 +159,7 @@ def kill_switch(spark: SparkSession, d: str) -> DataFrame:
 
 
 BM25 = """
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE bit_length(text) = 8 * length(text)),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
   t AS (SELECT doc_id, unnest(w) AS t FROM d), l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY 1),
   n AS (SELECT count(*)::DOUBLE AS n FROM d), a AS (SELECT sum(len) / n AS avgdl FROM l, n GROUP BY n),
   f AS (SELECT t, doc_id, count(*) AS f FROM t GROUP BY 1, 2),
@@ -173,13 +173,6 @@ SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3"""
 
 @query(BM25)
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("bit_length(text) = 8 * length(text)")
-    out = retrieval.bm25_topk(table(spark, d, "benchmark"), docs, "item_id", "doc_id", "text", 3)
-    return out.withColumn("score", F.round("score", 7))
-
-
-@query()
-def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
     """All documents count and can be found, whatever their characters."""
     out = retrieval.bm25_topk(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", "text", 3)
     return out.withColumn("score", F.round("score", 7))

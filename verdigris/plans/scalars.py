@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import extract, stats, text, validators
 from verdigris.plans.registry import fixture, query, table
 
-NORM = r"trim(regexp_replace(regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+', ' ', 'g'))"
+NORM = r"trim(regexp_replace(regexp_replace(lower(strip_accents({x})), '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+', ' ', 'g'))"
 WORDS = "list_filter(string_split(" + NORM + ", ' '), lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))"
 
 
@@ -26,28 +26,16 @@ def _sql(template: str, **parts: str) -> str:
     return template
 
 
-@query(_sql("SELECT id, md5(<np>) AS norm, length(<np>) AS n FROM [ascii_pairs] q", np=norm("p")))
+@query(_sql("SELECT id, md5(<np>) AS norm, length(<np>) AS n FROM [pairs] q", np=norm("coalesce(p, '')")))
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    n = text.normalize_text(F.col("p"), ascii_only=True)
-    return fixture(spark, d, "ascii_pairs").select("id", F.md5(n).alias("norm"), F.length(n).cast("bigint").alias("n"))
-
-
-@query(_sql("SELECT id, md5(list_aggregate(<wp>, 'string_agg', ' ')) AS norm, len(<wp>) AS n FROM [ascii_pairs] q WHERE len(<wp>) > 0", wp=words("p")))
-def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, d, "ascii_pairs").select("id", text.tokens(F.col("p"), True).alias("w"))
-    return rows.where(F.size("w") > 0).select("id", F.md5(F.array_join("w", " ")).alias("norm"), F.size("w").cast("bigint").alias("n"))
-
-
-@query()
-def normalize_text_all(spark: SparkSession, d: str) -> DataFrame:
-    """All documents, folded by the table; DuckDB has no such table, so there is no SQL for it."""
+    """All documents, marks folded."""
     n = text.normalize_text(F.col("p"))
     return fixture(spark, d, "pairs").select("id", F.md5(n).alias("norm"), F.length(n).cast("bigint").alias("n"))
 
 
-@query()
-def normalize_answer_all(spark: SparkSession, d: str) -> DataFrame:
-    """All documents, folded by the table; one without a word has an empty answer."""
+@query(_sql("SELECT id, md5(coalesce(list_aggregate(<wp>, 'string_agg', ' '), '')) AS norm, len(<wp>) AS n FROM [pairs] q", wp=words("coalesce(p, '')")))
+def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, marks folded; one without a word has an empty answer."""
     w = text.tokens(F.col("p"))
     return fixture(spark, d, "pairs").select("id", F.md5(F.array_join(w, " ")).alias("norm"), F.size(w).cast("bigint").alias("n"))
 
@@ -73,23 +61,18 @@ def exact_and_contains_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _sql(
-        """WITH q AS (SELECT id, <wp> AS p, <wr> AS r FROM [ascii_pairs] q),
+        """WITH q AS (SELECT id, <wp> AS p, <wr> AS r FROM [pairs] q),
      c AS (SELECT id, t, sum(a) AS a, sum(b) AS b FROM (SELECT id, unnest(p) AS t, 1 AS a, 0 AS b FROM q UNION ALL SELECT id, unnest(r), 0, 1 FROM q) GROUP BY id, t),
      o AS (SELECT id, sum(least(a, b))::DOUBLE AS o, sum(a)::DOUBLE AS np, sum(b)::DOUBLE AS nr FROM c GROUP BY id)
-SELECT id, CASE WHEN np = 0 OR nr = 0 THEN (np = nr)::DOUBLE WHEN o = 0 THEN 0.0 ELSE round(o / np, 9) END AS "precision",
-       CASE WHEN np = 0 OR nr = 0 THEN (np = nr)::DOUBLE WHEN o = 0 THEN 0.0 ELSE round(o / nr, 9) END AS recall,
-       CASE WHEN np = 0 OR nr = 0 THEN (np = nr)::DOUBLE WHEN o = 0 THEN 0.0 ELSE round(2 * (o / np) * (o / nr) / (o / np + o / nr), 9) END AS f1 FROM o""",
-        wp=words("p"),
-        wr=words("r"),
+SELECT id, CASE WHEN o IS NULL THEN 1.0 WHEN np = 0 OR nr = 0 THEN (np = nr)::DOUBLE WHEN o = 0 THEN 0.0 ELSE round(o / np, 9) END AS "precision",
+       CASE WHEN o IS NULL THEN 1.0 WHEN np = 0 OR nr = 0 THEN (np = nr)::DOUBLE WHEN o = 0 THEN 0.0 ELSE round(o / nr, 9) END AS recall,
+       CASE WHEN o IS NULL THEN 1.0 WHEN np = 0 OR nr = 0 THEN (np = nr)::DOUBLE WHEN o = 0 THEN 0.0 ELSE round(2 * (o / np) * (o / nr) / (o / np + o / nr), 9) END AS f1 FROM q LEFT JOIN o USING (id)""",
+        wp=words("coalesce(p, '')"),
+        wr=words("coalesce(r, '')"),
     )
 )
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
-    return _token_f1(fixture(spark, d, "ascii_pairs"), ascii_only=True)
-
-
-@query()
-def token_f1_all(spark: SparkSession, d: str) -> DataFrame:
-    """All documents, folded by the table; a pair without a word on either side scores 1."""
+    """All documents, marks folded; a pair without a word on either side scores 1."""
     q = fixture(spark, d, "pairs")
     return q.select("id").join(_token_f1(q, ascii_only=False), "id", "left").fillna(1.0)
 
@@ -264,25 +247,26 @@ def list_contracts(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", *[validators.satisfies(F.col("v"), F.lit(contract), F.col("n")).alias(name) for name, contract in names.items()])
 
 
-@query("SELECT doc_id, array_to_string(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2), lambda w: left(w, 4))), ' ') IS NOT NULL AS ok, len(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2), lambda w: left(w, 4)))) AS n_tokens FROM documents WHERE strlen(text) = length(text)")
+@query("SELECT doc_id, array_to_string(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2), lambda w: left(w, 4))), ' ') IS NOT NULL AS ok, len(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2), lambda w: left(w, 4)))) AS n_tokens FROM documents")
 def evidence_tokens(spark: SparkSession, d: str) -> DataFrame:
     from verdigris.operators.retrieval import evidence_tokens as tokens
 
-    docs = table(spark, d, "documents").where(F.octet_length("text") == F.length("text"))
-    return docs.select("doc_id", F.lit(True).alias("ok"), F.size(tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
+    return table(spark, d, "documents").select("doc_id", F.lit(True).alias("ok"), F.size(tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
 
 
 @query(
-    """SELECT id, error_class FROM (SELECT id, CASE WHEN s IN (401, 403) THEN 'auth' WHEN s = 429 THEN 'rate_limit' WHEN s = 400 AND id % 2 = 0 THEN 'context_overflow' WHEN s = 404 THEN 'not_found'
-  WHEN s IN (408, 504) THEN 'timeout' WHEN s >= 500 THEN 'server' WHEN s >= 400 THEN 'bad_request' ELSE 'ok' END AS error_class
-FROM (SELECT id, list_value(200, 400, 401, 403, 404, 408, 429, 500, 504, 418)[1 + size % 10] AS s FROM [grid] g))"""
+    """SELECT id, CASE WHEN s = 200 THEN 'ok' WHEN s = 429 THEN 'rate_limit' WHEN s IN (401, 403) THEN 'auth' WHEN s = 404 THEN 'invalid_request' WHEN b = 0 THEN 'context_length' WHEN s IN (400, 422) THEN 'invalid_request'
+  WHEN s IN (408, 409, 425, 500, 504, 530) OR b = 1 THEN 'transient' ELSE 'unknown' END AS error_class
+FROM (SELECT id, id % 4 AS b, list_value(200, 400, 401, 403, 404, 408, 409, 418, 422, 425, 429, 500, 504, 530)[1 + size % 14] AS s FROM [grid] g) q"""
 )
 def error_classes(spark: SparkSession, d: str) -> DataFrame:
-    codes = F.array(*[F.lit(s) for s in (200, 400, 401, 403, 404, 408, 429, 500, 504, 418)])
-    g = fixture(spark, d, "grid").withColumn("s", F.element_at(codes, (F.col("size") % 10 + 1).cast("int")))
-    return g.select("id", extract.error_class(F.col("s"), F.when(F.col("id") % 2 == 0, F.lit("Maximum context exceeded"))).alias("error_class"))
+    codes = F.array(*[F.lit(s) for s in (200, 400, 401, 403, 404, 408, 409, 418, 422, 425, 429, 500, 504, 530)])
+    g = fixture(spark, d, "grid").withColumn("s", F.element_at(codes, (F.col("size") % 14 + 1).cast("int")))
+    body = F.when(F.col("id") % 4 == 0, F.lit("Please reduce the LENGTH")).when(F.col("id") % 4 == 1, F.lit("<h1>Bad Gateway</h1>")).when(F.col("id") % 4 == 2, F.lit("no"))
+    return g.select("id", extract.error_class(F.col("s"), body).alias("error_class"))
 
 
-@query("SELECT id, least(60.0, 1.0 * power(2, a - 1))::DOUBLE AS wait_s FROM (SELECT id, 1 + size % 8 AS a FROM [grid] g)")
+@query("SELECT id, round(least(120.0, CASE WHEN limited THEN 20.0 ELSE 2.0 END * power(2, a - 1)), 9)::DOUBLE AS wait_s, round(least(120.0, CASE WHEN limited THEN 20.0 ELSE 2.0 END * power(2, a - 1)) * (0.7 + 0.6 * draw), 9)::DOUBLE AS wait_with_jitter_s FROM (SELECT id, 1 + size % 8 AS a, id % 3 = 0 AS limited, (id % 11) / 10.0 AS draw FROM [grid] g) q")
 def backoff(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, d, "grid").select("id", stats.backoff(F.col("size") % 8 + 1).alias("wait_s"))
+    attempt, error = F.col("size") % 8 + 1, F.when(F.col("id") % 3 == 0, "rate_limit").otherwise("transient")
+    return fixture(spark, d, "grid").select("id", F.round(stats.backoff(attempt, error), 9).alias("wait_s"), F.round(stats.backoff(attempt, error, (F.col("id") % 11) / 10), 9).alias("wait_with_jitter_s"))

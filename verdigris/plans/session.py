@@ -16,6 +16,7 @@ def local_session(name: str = "verdigris", cpus: int | None = None, **extra: str
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     } | extra
     spark = SparkSession.builder.appName(name).config(map=conf).getOrCreate()

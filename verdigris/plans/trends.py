@@ -130,7 +130,7 @@ def dataset_selection(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH r AS (SELECT dataset_id, prompt_mode, least(1, greatest(0, size / 40.0)) AS v FROM [grid] g WHERE id % 4 > 0),
   m AS (SELECT dataset_id, 'explanation_judged' AS metric, avg(v) AS value, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT dataset_id, 'explanation_judged_' || CASE prompt_mode WHEN 'cot' THEN 'head' ELSE 'longtail' END, avg(v), count(*) FROM r GROUP BY 1, 2)
-SELECT dataset_id, metric, round(value, 9) AS value, n FROM m UNION ALL SELECT dataset_id, 'popularity_gap', round(max(value) FILTER (metric = 'explanation_judged_head') - max(value) FILTER (metric = 'explanation_judged_longtail'), 9), sum(n) FILTER (metric <> 'explanation_judged')::BIGINT FROM m GROUP BY 1"""
+SELECT dataset_id, metric, round(value, 9) AS value, n FROM m UNION ALL SELECT * FROM (SELECT dataset_id, 'popularity_gap' AS metric, round(max(value) FILTER (metric = 'explanation_judged_head') - max(value) FILTER (metric = 'explanation_judged_longtail'), 9) AS value, sum(n) FILTER (metric <> 'explanation_judged')::BIGINT AS n FROM m GROUP BY 1) g WHERE value IS NOT NULL"""
 )
 def dataset_judged(spark: SparkSession, d: str) -> DataFrame:
     """A judged dataset with strata and their gap: items without a verdict have no metric."""

@@ -15,22 +15,33 @@ from verdigris.operators.records import dedupe_last
 class Upsert:
     """A foreachBatch sink: the table keeps the row with the highest sequence of each key.
 
-    Each batch writes a new version and then a pointer is moved, so a batch that
-    is run again, after a failure, gives the same table.
+    Each batch writes a new version beside the others, and a version counts once
+    its write has committed.  So a batch that is run again, after a failure or
+    by another driver, replaces its own version and starts from the one before.
     """
 
     def __init__(self, path: str, keys: list[str], seq: str):
-        self.path, self.keys, self.seq, self.version = path, keys, seq, None
+        self.path, self.keys, self.seq = path, keys, seq
+
+    def _latest(self, spark: SparkSession, before: int | None = None) -> str | None:
+        """The newest committed version, or the newest that is older than a batch."""
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS"))
+        found = [int(x.getPath().getParent().getName()[1:]) for x in done or ()]
+        found = [v for v in found if before is None or v < before]
+        return f"{self.path}/v{max(found)}" if found else None
 
     def read(self, spark: SparkSession) -> DataFrame | None:
-        return None if self.version is None else spark.read.parquet(self.version)
+        latest = self._latest(spark)
+        return None if latest is None else spark.read.parquet(latest)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        now = self.read(batch.sparkSession)
+        latest = self._latest(batch.sparkSession, epoch)
+        now = None if latest is None else batch.sparkSession.read.parquet(latest)
         rows = batch if now is None else now.select(*batch.columns).unionByName(batch)
-        target = f"{self.path}/v{epoch}"
-        dedupe_last(rows, self.keys, self.seq).drop("first_seq").write.mode("overwrite").parquet(target)
-        self.version = target
+        dedupe_last(rows, self.keys, self.seq).drop("first_seq").write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
 
 
 def episodes(turns: DataFrame, max_turns: int = 20, keys: str = "conv_id") -> DataFrame:
