@@ -49,7 +49,7 @@ def option_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(sampling.shuffled_options(given, F.col("doc_id"), 7), "").alias("options"))
 
 
-@query()
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER () AS n, (SELECT count(DISTINCT event_type) FROM events) AS kinds FROM events) q WHERE n <= 1000 OR rn <= 1000 // kinds")
 def fair_row_cap(spark: SparkSession, d: str) -> DataFrame:
     """Rows of an event log, fairly by type; the shares come from a loop over a count for each type."""
     return sampling.fair_rows(table(spark, d, "events"), "event_type", ["event_id"], 1_000).select("event_type", "event_id")
@@ -178,7 +178,16 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 7))
 
 
-@query()
+EVIDENCE = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: length(w) > 2), lambda w: left(w, 4)))"
+
+
+@query(
+    f"""WITH q AS (SELECT dataset_id, replace(name, ' ', '_') || '_' || id AS key, kind AS value FROM [grid] g),
+  t AS (SELECT dataset_id, key, len(list_intersect(['red', 'widg', 'econ'], {EVIDENCE.format(x="regexp_replace(key, '[._]', ' ', 'g')")})) AS k, len(list_intersect(['red', 'widg', 'econ'], {EVIDENCE.format(x="value")})) AS v FROM q),
+  s AS (SELECT dataset_id, key, CASE WHEN k > 0 THEN k / 3.0 ELSE v / 3.0 END AS coverage, CASE WHEN k > 0 THEN 1.0 ELSE 0.5 END AS weight FROM t),
+  r AS (SELECT dataset_id, key, round((weight * coverage)::DOUBLE, 9) AS score, row_number() OVER (PARTITION BY dataset_id ORDER BY weight * coverage DESC, key)::INTEGER AS rank FROM s WHERE coverage >= 0.5)
+SELECT * FROM r WHERE rank <= 6"""
+)
 def evidence_topk(spark: SparkSession, d: str) -> DataFrame:
     """Findings of each brand that a request names; ranks ties by key."""
     g = fixture(spark, d, "grid").select("dataset_id", F.concat_ws("_", F.replace("name", F.lit(" "), F.lit("_")), "id").alias("key"), F.col("kind").alias("value"), F.lit("red widget economy").alias("query"))
