@@ -370,13 +370,13 @@ def accuracy_heat_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT kind, round(avg(value) FILTER (correct), 6) AS "right", round(avg(value) FILTER (NOT correct), 6) AS wrong, round(avg(value) FILTER (correct) - avg(value) FILTER (NOT correct), 6) AS gap,
+    """SELECT kind, round(avg(value) FILTER (correct), 3) AS "right", round(avg(value) FILTER (NOT correct), 3) AS wrong, round(avg(value) FILTER (correct) - avg(value) FILTER (NOT correct), 3) AS gap,
   round(avg(correct::INT), 9) AS accuracy, round(avg(turn), 9) AS turns FROM [log] l GROUP BY kind"""
 )
 def outcome_gap(spark: SparkSession, d: str) -> DataFrame:
     """Relevance where right and where wrong, beside accuracy and turns."""
     rows = fixture(spark, d, "log").withColumn("hit", F.col("correct").cast("int"))
-    gap = frames.outcome_gap(rows, "kind", "value", "correct").select("kind", *[F.round(c, 6).alias(c) for c in ("right", "wrong", "gap")])
+    gap = frames.outcome_gap(rows, "kind", "value", "correct").select("kind", *[F.round(c, 3).alias(c) for c in ("right", "wrong", "gap")])
     return gap.join(frames.efficiency(rows, "kind", accuracy="hit", turns="turn").select("kind", F.round("accuracy", 9).alias("accuracy"), F.round("turns", 9).alias("turns")), "kind")
 
 
