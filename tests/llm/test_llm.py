@@ -95,6 +95,13 @@ def test_perspectives(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_perspectives_of_very_long_turns(spark):
+    df = spark.createDataFrame([(1, 0, "ann", LONG), (1, 1, "bob", LONG + "!"), (1, 2, "ann", "x")], "conv_id int, turn int, role string, text string")
+    got = {r["speaker"]: r for r in chat.perspectives(df).collect()}
+    said = {who: [r["rendered"][m["begin"] : m["end"]] for m in r["masks"]] for who, r in got.items()}
+    assert said == {"ann": [LONG + "<|im_end|>", "x<|im_end|>"], "bob": [LONG + "!<|im_end|>"]}
+
+
 # ------------------------------------------------------------------ 3
 
 
@@ -312,6 +319,13 @@ def test_licences(spark):
     assert len(licences.licence_paragraphs(edge(spark), licences.learn(edge(spark))).collect()) == 8
 
 
+def test_licences_that_tie(spark):
+    """Under a model that knows nothing of families, the first one is named, and only its templates confirm."""
+    zero = {"weights": np.zeros((1 << licences.BITS, len(licences.FAMILIES)), np.float32), "bias": np.zeros(len(licences.FAMILIES)), "limit": 0.5, "templates": licences._templates()}
+    hits = licences.scan(pa.array(["Released under the MIT License.\nLicensed under the Mozilla Public License, version 2.0."]), zero)[0]
+    assert [(h["family"], h["confirmed"]) for h in hits] == [(licences.FAMILIES[1], True), (licences.FAMILIES[1], False)]
+
+
 # ------------------------------------------------------------------ 7, 8
 
 
@@ -344,6 +358,60 @@ def test_trees_are_walked_as_they_were_grown():
     assert ((scores > 0.5) == labels.astype(bool)).mean() > 0.97
 
 
+def plain_ftrl(texts, labels, ids, alpha, beta, l1, l2):
+    """FTRL-proximal a coordinate at a time, in dictionaries, over every bucket that enough rows have."""
+    part = toxicity.Texts(pa.array(texts), ~toxicity.LETTER)
+    row, cell = toxicity.features(part)
+    sets = [sorted(set(cell[row == k].tolist())) for k in range(len(texts))]
+    held = {}
+    for s in sets:
+        for b in s:
+            held[b] = held.get(b, 0) + 1
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def weight(b):
+        free = 0.0 if b == bias else l1
+        at = z.get(b, 0.0)
+        return 0.0 if abs(at) <= free else (np.sign(at) * free - at) / ((beta + np.sqrt(n.get(b, 0.0))) / alpha + l2)
+
+    for _ in range(toxicity.EPOCHS):
+        for k in sorted(range(len(texts)), key=lambda k: ids[k] * 2654435761 % (1 << 32)):
+            here = [b for b in sets[k] if held[b] >= toxicity.LEAST_ROWS] + [bias]
+            w = {b: weight(b) for b in here}
+            g = 1 / (1 + np.exp(-np.clip(sum(w.values()), -35, 35))) - labels[k]
+            for b in here:
+                z[b] = z.get(b, 0.0) + g - (np.sqrt(n.get(b, 0.0) + g * g) - np.sqrt(n.get(b, 0.0))) / alpha * w[b]
+                n[b] = n.get(b, 0.0) + g * g
+    return {b: w for b in z if (w := weight(b))}
+
+
+def test_toxicity_weights_are_those_of_plain_ftrl(real):
+    texts = [t or "" for _, t in real[:80]]
+    labels, ids = np.array([k % 3 == 0 for k in range(80)], np.int32), np.arange(80) * 7
+    for l1 in (4.0, 0.5):
+        model = toxicity.fit([pa.array(texts)], labels, ids, l1=l1)
+        size = len(model) // 8
+        got = dict(zip(np.frombuffer(model[: 4 * size], "<i4").tolist(), np.frombuffer(model[4 * size :], "<f4").tolist(), strict=True))
+        want = plain_ftrl(texts, labels, ids, 2.0, 1.0, l1, 0.01)
+        assert set(got) == set(want) and all(got[b] == pytest.approx(want[b], rel=1e-4, abs=1e-6) for b in want)
+
+
+def test_quality_scores_are_those_of_a_walk_by_hand(real):
+    texts = [t or "" for _, t in real[:150]]
+    labels, ids = np.array([len(t) > 1500 for t in texts], np.int32), np.arange(150)
+    model = quality.fit([pa.array(texts)], labels, ids)
+    spec, x = quality.json.loads(model), quality.statistics(pa.array(texts))
+    assert spec["trees"]
+    for row, got in zip(x, quality.scorer(model)(pa.array(texts)), strict=True):
+        margin = spec["base"]
+        for feature, limit, value in spec["trees"]:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > limit[node] else 1)
+            margin += value[node - len(feature)]
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -35, 35))), abs=1e-9)
+
+
 # ------------------------------------------------------------------ 9
 
 
