@@ -217,6 +217,12 @@ def _may_overlap(percent: int) -> Column:
     return bound >= _least_overlap(percent)
 
 
+def _may_be_first(percent: int) -> Column:
+    """Position filter on one row of a group: from its place on the set has what the group's smallest set (`least`) asks for."""
+    other = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    return F.col("n") - F.col("pos") >= F.ceil((F.col("n") + other) * percent / (100 + percent))
+
+
 def _suffix_may(percent: int) -> Column:
     """Suffix filter: where parities of counts differ, the sets differ by one shingle at the least."""
     apart = F.lit(0)
@@ -311,17 +317,17 @@ sets are found by 128-bit fingerprints, and a set's shingles are counted by
     posted = posted.join(often, "token", "left_semi")
     posted = posted.withColumn("all", F.count("*").over(Window.partitionBy("id"))).withColumn("s", F.count("*").over(Window.partitionBy("id").orderBy(F.desc("pos"))))
     posted = posted.join(heads.select("id", "n", "last"), "id")
-    posted = cut(posted.select("token", "id", "n", (_rest(percent) + F.col("s")).alias("o"), "last", "all", (F.col("pos") < _short_prefix(percent)).alias("short")))
+    posted = cut(posted.select("token", "id", "n", (_rest(percent) + F.col("s")).alias("o"), "last", "all", "pos", (F.col("pos") < _short_prefix(percent)).alias("short")))
 
     # groups against hubs, for as long as that halves the cost of the join of all pairs
     links = found = before = None
     rows = posted.count()
     while True:
         known = posted.withColumn("component", F.col("id")) if found is None else posted.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        counts = known.groupBy("token", "component").agg(F.count("*").alias("__many"), F.max("short").alias("short"))
-        mixed = counts.groupBy("token").agg(F.max(F.struct("__many", "component")).alias("top"), F.sum("__many").alias("__all"), F.count("*").alias("__kinds"), F.max("short").alias("short")).where("__kinds > 1 AND short")
-        mixed = cut(mixed.select("token", F.col("top.component").alias("main"), ((F.col("__all") - F.col("top.__many")) * F.col("__all")).alias("work")))
-        known = known.join(mixed.drop("work"), "token").withColumn("main", F.col("component") == F.col("main"))
+        counts = known.groupBy("token", "component").agg(F.count("*").alias("__many"), F.max("short").alias("short"), F.min("n").alias("least"))
+        mixed = counts.groupBy("token").agg(F.max(F.struct("__many", "component")).alias("top"), F.sum("__many").alias("__all"), F.count("*").alias("__kinds"), F.max("short").alias("short"), F.min("least").alias("least")).where("__kinds > 1 AND short")
+        mixed = cut(mixed.select("token", F.col("top.component").alias("main"), "least", ((F.col("__all") - F.col("top.__many")) * F.col("__all")).alias("work")))
+        known = known.join(mixed.drop("work"), "token").where(_may_be_first(percent)).withColumn("main", F.col("component") == F.col("main"))
         work = mixed.agg(F.sum("work")).first()[0] or 0
         if found is not None and (work <= WORK * rows or 2 * work > before):
             break
