@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions import text
+
 
 def vote(df: DataFrame, group: str = "group_id", position: str = "pos", prediction: str = "prediction", parsed: str = "parse_ok", score: str = "score") -> DataFrame:
     """Plurality over parsed predictions; ties keep the first seen; without any the first member stays.
@@ -48,3 +50,35 @@ def drop_members(df: DataFrame, group: str = "group_id", reduced: str = "reduced
     """Reduced rows, and rows whose group has none."""
     done = df.where(F.col(reduced)).select(group).where(F.col(group).isNotNull()).distinct()
     return df.where(F.col(reduced)).unionByName(df.where(~F.col(reduced)).join(done, group, "left_anti").select(*df.columns))
+
+
+def reduce_groups(df: DataFrame, prompt_mode: str, selection_mode: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One scored row for each item that was asked as several requests; other rows as they are.
+
+    df: sample_id, group_id, pos, prediction, parse_ok, score, and for options
+    yes, bov_index, bov_label, gold_labels; `carry` names columns that are equal
+    within a group.  Options are folded before votes, as their set is scored by
+    the scorer of sets: score is its exact match, and set_f1 and bov_yes_rate
+    stand beside it.  Out: sample_id, prediction, score, carry, reduced,
+    n_members, set_f1, bov_yes_rate.  An empty group_id is none.
+    """
+    grouped = F.coalesce(F.col("group_id") != "", F.lit(False))
+    plain = df.where(~grouped) if selection_mode == "BOV" or prompt_mode == "self-consistency" else df
+    none = F.lit(None).cast("double")
+    alone = plain.select("sample_id", F.col("prediction").cast("string").alias("prediction"), F.col("score").cast("double").alias("score"), *carry, F.lit(False).alias("reduced"), F.lit(1).cast("bigint").alias("n_members"), none.alias("set_f1"), none.alias("bov_yes_rate"))
+    members = df.where(grouped)
+    if selection_mode == "BOV":
+        shared = members.groupBy("group_id").agg(*[F.first(c).alias(c) for c in ("gold_labels", *carry)])
+        rows = selected_options(members).join(shared, "group_id")
+        prf = text.set_prf(F.col("selected"), F.col("gold_labels"))
+        same = F.array_sort(F.array_distinct("selected")) == F.array_sort(F.array_distinct("gold_labels"))
+        said = F.when(F.size("selected") > 0, F.array_join("selected", ", ")).otherwise("none")
+        folded = rows.select(F.col("group_id").alias("sample_id"), said.alias("prediction"), same.cast("double").alias("score"), *carry, F.lit(True).alias("reduced"), F.col("bov_questions").alias("n_members"), prf["f1"].alias("set_f1"), "bov_yes_rate")
+    elif prompt_mode == "self-consistency":
+        rows = vote(members)
+        if carry:
+            rows = rows.join(members.groupBy("group_id").agg(*[F.first(c).alias(c) for c in carry]), "group_id")
+        folded = rows.select(F.col("group_id").alias("sample_id"), F.col("prediction").cast("string").alias("prediction"), F.col("score").cast("double").alias("score"), *carry, F.lit(True).alias("reduced"), "n_members", none.alias("set_f1"), none.alias("bov_yes_rate"))
+    else:
+        return alone
+    return alone.unionByName(folded)

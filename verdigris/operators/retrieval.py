@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions.stem import stem_words
+
+# Function words, and the words that the items of a questionnaire share.
+STOP_WORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
+    what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for
+    with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any
+    both each few more most other some such no nor not only own same so than too very s t can will just don should now would could ever feel felt any anything""".split()
+)
+
 
 def terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Lower-cased runs of ASCII letters and digits without stop words; not stemmed."""
@@ -12,23 +22,29 @@ def terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
-def bm25_topk(queries: DataFrame, inventory: DataFrame, query_id: str, doc_id: str, text: str, k: int, threshold: float = 0.0, k1: float = 1.5, b: float = 0.75, stop: tuple[str, ...] = ()) -> DataFrame:
+def bm25_topk(queries: DataFrame, inventory: DataFrame, query_id: str, doc_id: str, text: str, k: int, threshold: float = 0.0, k1: float = 1.5, b: float = 0.75, stop: tuple[str, ...] = (), stem: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents by BM25 over distinct query terms, normalised by the query's ceiling.
 
     Statistics are those of the whole inventory.  Terms meet postings by a join
-    on the term; frequencies and lengths are summed before it.
+    on the term; frequencies and lengths are summed before it.  With `stem`,
+    terms are stemmed.  `allowed` (query_id, doc_id) says which documents a
+    query may find: those of one record, for instance.
     """
-    words = inventory.select(F.col(doc_id).alias("d"), F.explode(terms(F.col(text), stop)).alias("t"))
+    split = lambda c: stem_words(terms(c, stop)) if stem else terms(c, stop)
+    words = inventory.select(F.col(doc_id).alias("d"), F.explode(split(F.col(text))).alias("t"))
     size = words.groupBy("d").agg(F.count("*").alias("len"))
     stats = inventory.agg(F.count("*").alias("n")).crossJoin(size.agg(F.sum("len").alias("total"))).select("n", (F.col("total") / F.greatest(F.col("n"), F.lit(1))).alias("avg"))
     tf = words.groupBy("t", "d").agg(F.count("*").alias("f"))
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("t", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"), "avg")
-    asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(terms(F.col(text), stop))).alias("t"))
+    asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(split(F.col(text)))).alias("t"))
     known = asked.join(idf, "t")
     ceiling = known.groupBy("q").agg(F.sum("idf").alias("top"))
     norm = k1 * (1 - b + b * F.col("len") / F.col("avg"))
-    hits = known.join(tf, "t").join(size, "d").groupBy("q", "d").agg(F.sum(F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + norm)).alias("s"))
+    met = known.join(tf, "t")
+    if allowed is not None:
+        met = met.join(allowed.select(F.col(query_id).alias("q"), F.col(doc_id).alias("d")).distinct(), ["q", "d"], "left_semi")
+    hits = met.join(size, "d").groupBy("q", "d").agg(F.sum(F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + norm)).alias("s"))
     scored = hits.join(ceiling, "q").select("q", "d", (F.col("s") / F.col("top")).alias("score")).where(F.col("score") >= threshold)
     # rounded, so that the order of a sum doesn't decide between documents of equal score
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "d"))

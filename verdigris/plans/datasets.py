@@ -196,3 +196,55 @@ PLANS: dict[str, Plan] = dict(
         _plan("xcopa", "static", "single", True, "accuracy", selection, strata=("lang",)),
     ]
 )
+
+
+def _by_dataset(value: Callable[[Plan], object], kind: str) -> Column:
+    """A literal of each plan, looked up by the row's dataset_id."""
+    told = [x for name, p in PLANS.items() for x in (F.lit(name), F.array(*[F.lit(v) for v in value(p)]).cast(kind) if isinstance(value(p), tuple) else F.lit(value(p)).cast(kind))]
+    return F.try_element_at(F.create_map(*told), F.col("dataset_id"))
+
+
+#: Scorers whose figures do not depend on the primary metric's name, so that one expression serves all their datasets.
+NAMED_ONCE = (selection, number_set, judged, contained)
+
+
+def score_library(df: DataFrame) -> DataFrame:
+    """Replies of any datasets with metrics, prediction and parse_ok, each row by its dataset's plan.
+
+    df: dataset_id, the scorers' columns (see above) and `strata`, a map of the
+    names of strata to their labels.  One pass over the rows, whatever the
+    number of datasets; a row of an unknown dataset has no metrics.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for name, p in PLANS.items():
+        groups.setdefault((p.scorer, "primary" if p.scorer in NAMED_ONCE else p.primary), []).append(name)
+    out = F.when(F.lit(False), F.lit(None))
+    for (scorer, primary), names in groups.items():
+        metrics, prediction, ok = scorer(primary)(F.col("content"))
+        out = out.when(F.col("dataset_id").isin(*names), F.struct(metrics.alias("m"), prediction.alias("prediction"), ok.alias("ok")))
+    rows = df.withColumns({"__o": out, "__p": _by_dataset(lambda p: p.primary, "string"), "__s": _by_dataset(lambda p: p.strata, "array<string>")})
+    own = F.transform_keys("__o.m", lambda k, v: F.when((k == "primary") | (k == "primary_lenient"), F.replace(k, F.lit("primary"), F.col("__p"))).otherwise(k))
+    rows = rows.withColumns({"__m": own, "prediction": F.col("__o.prediction"), "parse_ok": F.col("__o.ok")})
+    value = F.try_element_at("__m", F.col("__p"))
+    labels = F.array_compact(F.transform("__s", lambda s: F.try_element_at("strata", s)))
+    named = F.array_distinct(F.transform(labels, lambda x: F.concat(F.col("__p"), F.lit("_"), F.regexp_replace(F.lower(x), "[^a-z0-9.]+", "_"))))
+    new = F.filter(named, lambda k: value.isNotNull() & ~F.map_contains_key("__m", k))
+    extra = F.map_from_arrays(new, F.transform(new, lambda k: value))
+    return rows.withColumn("metrics", F.map_concat("__m", F.coalesce(extra, F.create_map().cast("map<string,double>")))).drop("__o", "__m", "__p", "__s")
+
+
+def aggregate_library(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """dataset_id, keys, metric, value, n: means of all datasets' metrics, and the figures that their plans derive.
+
+    The means are few, so what is derived from them is a second small aggregate:
+    a gap sums its strata with their signs and stands only where both exist.
+    """
+    by = ["dataset_id", *keys]
+    means = sparse_mean(df, by)
+    role = lambda d, name, kind, metric, sign: F.struct(F.lit(d).alias("d"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(metric).alias("m"), F.lit(sign).alias("sign"))
+    gaps = [role(d, g, "gap", m, sign) for d, p in PLANS.items() for g, pair in p.gaps.items() for m, sign in zip(pair, (1.0, -1.0), strict=True)]
+    flat = [role(d, b, "mean", prefix, 1.0) for d, p in PLANS.items() for b, prefix in p.balanced.items()]
+    fits = lambda r: (r["d"] == F.col("dataset_id")) & F.when(r["kind"] == "gap", r["m"] == F.col("metric")).otherwise(F.startswith("metric", r["m"]))
+    parts = means.withColumn("__r", F.explode(F.filter(F.array(*gaps, *flat), fits))).groupBy(*by, "__r.name", "__r.kind")
+    derived = parts.agg(F.sum(F.col("__r.sign") * F.col("value")).alias("__s"), F.count("*").alias("__k"), F.sum("n").alias("n")).where("kind = 'mean' OR __k = 2")
+    return means.unionByName(derived.select(*by, F.col("name").alias("metric"), F.when(F.col("kind") == "gap", F.col("__s")).otherwise(F.col("__s") / F.col("__k")).alias("value"), "n"))

@@ -1,7 +1,4 @@
-"""Run configurations, read on the driver: layers that extend each other, placeholders, dotted overrides.
-
-Files are JSON, as there is no YAML reader here.
-"""
+"""Run configurations, read on the driver: layers that extend each other, placeholders, dotted overrides.  Files are JSON or YAML."""
 
 from __future__ import annotations
 
@@ -11,6 +8,7 @@ import re
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
+from verdigris.sources.documents import document
 from verdigris.sources.readers import deep_merge
 
 #: Words that stay text in an override, though other readers take them for truth values.
@@ -26,7 +24,7 @@ def load_layers(path: str | Path, above: tuple[Path, ...] = ()) -> dict:
     here = Path(path).resolve()
     if here in above:
         raise ConfigError(f"{here} extends itself through {[p.name for p in above]}")
-    own = json.loads(here.read_text(encoding="utf-8"))
+    own = document(here) or {}
     parents = own.pop("extends", None) or []
     layers = [load_layers(here.parent / p, (*above, here)) for p in ([parents] if isinstance(parents, str) else parents)]
     out: dict = {}
