@@ -79,6 +79,8 @@ def test_expansion(spark):
     assert sorted(r["sample_id"] for r in expand.repeats(df, 2).collect())[:2] == ["e#r0", "e#r1"]
     flat = expand.flatten_fields(table(spark, "id int, j string", (1, '{"a": {"b": "x", "c": null}, "d": ["p", "q"], "e": ""}')), "id", "j")
     assert sorted((r["key"], r["value"]) for r in flat.collect()) == [("a.b", "x"), ("d", "p, q")]
+    deep = expand.flatten_fields(table(spark, "id int, j string", (1, '{"a": {"b": {"c": {"d": {"e": 1.50}}}}, "f": [1, null, " ", {"g": true}]}'), (2, None), (3, "[1]"), (4, "{"), (5, "{}")), "id", "j")
+    assert [tuple(r) for r in deep.collect()] == [(1, "a.b.c.d.e", "1.50"), (1, "f", '1, {"g": true}')]
 
 
 def test_kendall_and_spearman(spark):
@@ -134,3 +136,13 @@ def test_readers_and_sinks(spark, tmp_path):
     merged = records.merge_update(table(spark, "k int, s double", (1, 0.5), (2, 0.5)), table(spark, "k int, s double", (2, 1.0)), "k", ["s"])
     assert sinks.update(merged, str(tmp_path / "v2")) == 1
     assert "| 1 | 0.5 |" in sinks.markdown(table(spark, "k int, s double", (1, 0.5)))
+
+
+def test_effects(spark):
+    df = table(spark, "g int, v double, ok boolean", *[(1, float(k), k % 2 == 0) for k in range(8)], (2, 1.0, True), (2, 1.0, False), (3, None, True), (3, float("nan"), False))
+    got = {r["g"]: (r["effect"], r["n"]) for r in windows.effect_size(df, ["g"], "v", "ok", least=1).collect()}
+    assert got[1] == (pytest.approx(-1 / 6**0.5), 8) and got[2] == (None, 2) and 3 not in got
+    few = windows.effect_size(df, ["g"], "v", "ok")
+    assert windows.effect_over_cells(few, []).first()["cells"] == 0
+    flips = windows.direction_flips(table(spark, "m string, auc double", ("a", 0.6), ("a", 0.4), ("b", 0.6), ("c", 0.9), ("c", None)), "m")
+    assert {(r["m"], r["direction_flips"]) for r in flips.collect()} == {("a", True), ("b", False), ("c", False)}

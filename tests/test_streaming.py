@@ -18,6 +18,13 @@ def test_upsert_keeps_the_last(spark, tmp_path):
     for _ in range(2):
         again(spark.createDataFrame([("c", 4, "new")], "k string, seq int, v string"), 2)
     assert sorted((r["k"], r["v"]) for r in again.read(spark).collect()) == [("a", "z"), ("b", "y"), ("c", "new")]
+    # a batch writes the buckets that it has rows for, and no others
+    assert len(list((tmp_path / "t" / "v2").glob("__bucket=*"))) == 1
+    again(spark.createDataFrame([], "k string, seq int, v string"), 3)
+    for epoch in (4, 5):
+        again(spark.createDataFrame([("c", epoch, "newer"), ("c", 1, "late")], "k string, seq int, v string"), epoch)
+    assert again.vacuum(spark) == 1 and sorted((r["k"], r["v"], r["seq"]) for r in again.read(spark).collect()) == [("a", "z", 3), ("b", "y", 2), ("c", "newer", 5)]
+    assert Upsert(str(tmp_path / "none"), ["k"], "seq").read(spark) is None
 
 
 def test_episodes_end_at_the_limit(spark, small, tmp_path):

@@ -65,10 +65,10 @@ def exact_match(a: Column, b: Column, ascii_only: bool = False) -> Column:
     return (normalize_answer(a, ascii_only) == normalize_answer(b, ascii_only)).cast("double")
 
 
-def any_exact_match(a: Column, many: Column, ascii_only: bool = True) -> Column:
+def any_exact_match(a: Column, many: Column, ascii_only: bool = False) -> Column:
     """1 if any of the references matches; an empty or null list gives 0."""
     own = normalize_answer(a, ascii_only)
-    return F.coalesce(F.exists(many, lambda r: normalize_answer(r, True) == own), F.lit(False)).cast("double")
+    return F.coalesce(F.exists(many, lambda r: normalize_answer(r, ascii_only) == own), F.lit(False)).cast("double")
 
 
 def contains_match(a: Column, b: Column, ascii_only: bool = False) -> Column:

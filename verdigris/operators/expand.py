@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+LEAVES = ArrayType(StructType([StructField("key", StringType()), StructField("value", StringType())]))
 
 
 def repeats(df: DataFrame, k: int) -> DataFrame:
@@ -36,16 +42,35 @@ def levels(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return df.unpivot([id_col], columns, "level", "text").where(F.trim("text") != "")
 
 
-def flatten_fields(df: DataFrame, id_col: str, json_col: str, depth: int = 3) -> DataFrame:
-    """id, key, value of the leaves of a JSON object by dotted key, to a depth; nulls and empties go, lists are joined by ', '."""
-    rows = df.select(F.col(id_col).alias("id"), F.lit("").alias("key"), F.col(json_col).alias("value"))
-    leaves = None
-    for level in range(depth + 1):
-        is_map = F.col("value").startswith("{") & (F.lit(level) < depth)
-        listed = F.from_json("value", "array<string>")
-        plain = F.when(F.col("value").startswith("["), F.array_join(F.filter(listed, lambda x: F.trim(x) != ""), ", ")).otherwise(F.col("value"))
-        here = rows.where(~is_map).select("id", "key", F.trim(plain).alias("value")).where("value IS NOT NULL AND value <> ''")
-        leaves = here if leaves is None else leaves.unionByName(here)
-        inner = F.explode(F.from_json("value", "map<string,string>"))
-        rows = rows.where(is_map).select("id", F.col("key").alias("__up"), inner.alias("__k", "value")).select("id", F.when(F.col("__up") == "", F.col("__k")).otherwise(F.concat_ws(".", "__up", "__k")).alias("key"), "value")
-    return leaves
+@F.pandas_udf(LEAVES)
+def _leaves(objects: pd.Series) -> pd.Series:
+    """Leaves of JSON objects, in order; numbers keep their digits."""
+
+    def told(value: object) -> str:
+        return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+    def of(text: str) -> list[dict]:
+        try:
+            todo, found = [("", json.loads(text, parse_int=str, parse_float=str))], []
+        except ValueError:
+            return []
+        while todo:
+            key, value = todo.pop()
+            if isinstance(value, dict):
+                todo += [(f"{key}.{k}" if key else k, v) for k, v in reversed(value.items())]
+                continue
+            said = ", ".join(told(v) for v in value if v is not None and told(v).strip()) if isinstance(value, list) else "" if value is None else told(value).strip()
+            if key and said:
+                found.append({"key": key, "value": said})
+        return found
+
+    return objects.map(of, na_action="ignore")
+
+
+def flatten_fields(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """id, key, value of the leaves of a JSON object by dotted key; nulls and empties go, lists are joined by ', '.
+
+    Objects nest to any depth, which no built-in follows, so they are walked in
+    Arrow batches.  What is no JSON object has no leaves.
+    """
+    return df.select(F.col(id_col).alias("id"), F.inline(_leaves(F.col(json_col))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import text
@@ -29,9 +29,10 @@ def selected_options(df: DataFrame, group: str = "group_id", index: str = "bov_i
 
 def best_of_n(df: DataFrame, item: str, primary: str, position: str, higher: bool = True) -> DataFrame:
     """Each item's repeat with the best primary metric, the first of equals; all its columns travel with it, items without the metric drop out."""
-    order = F.col(primary).desc() if higher else F.col(primary).asc()
-    rows = df.where(F.col(primary).isNotNull() & ~F.isnan(F.col(primary).cast("double")))
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(item).orderBy(order, position))).where("__rn = 1").drop("__rn")
+    value = F.col(primary).cast("double")
+    rows = df.where(value.isNotNull() & ~F.isnan(value))
+    first = F.min_by(F.struct(*[f"`{c}`" for c in df.columns]), F.struct(-value if higher else value, F.col(position)))
+    return rows.groupBy(F.col(item).alias("__item")).agg(first.alias("__best")).select("__best.*")
 
 
 def repeat_statistics(df: DataFrame, keys: list[str], item: str, prediction: str, score: str) -> DataFrame:

@@ -49,13 +49,17 @@ def mode_slug(template_mode: Column) -> Column:
     return F.regexp_replace(F.lower(F.replace(template_mode, F.lit("|"), F.lit("-"))), "[^a-z0-9._-]+", "_")
 
 
-def token_budget(df: DataFrame, tokens: str, rank: str, budget: int, size: int, abort: float = 0.5) -> DataFrame:
-    """The first `size` pool rows that fit the budget, in pool order: rows too long are replaced by the next ones.
+def token_budget(df: DataFrame, tokens: str, rank: str, budget: int, size: int, abort: float = 0.5, policy: str = "resample") -> DataFrame:
+    """The first `size` rows of a pool that fit the budget, in pool order, under a policy for rows that are too long.
 
-    Fails if more than `abort` of the first `size` rows are too long.
+    `resample` replaces them by the next ones that fit, `skip` leaves them out,
+    and `fail` accepts none.  All fail if more than `abort` of the first `size`
+    rows are too long.
     """
     first = df.where(F.col(rank) <= size)
     over = first.agg(F.avg((F.col(tokens) > budget).cast("double"))).first()[0] or 0.0
-    if over > abort:
+    if over > (0.0 if policy == "fail" else abort):
         raise ValueError(f"{over:.0%} of the samples exceed the budget of {budget} tokens")
-    return df.where(F.col(tokens) <= budget).orderBy(rank).limit(size)
+    if policy == "resample":
+        return df.where(F.col(tokens) <= budget).orderBy(rank).limit(size)
+    return first.where(F.col(tokens) <= budget)

@@ -179,7 +179,7 @@ def problems() -> dict[str, Column]:
         lengths = lengths | F.coalesce(F.size(F.when(F.col(name).isNotNull(), F.col(name))) != steps, F.lit(False))
     first = F.array_position(alive, F.lit(1.0))
     return {
-        "coverage_used_exceeds_inventory": F.array_contains("errors", "observation_coverage:used_exceeds_the_inventory"),
+        "coverage_used_exceeds_inventory": F.array_contains("errors", "observation_coverage:used_exceeds_the_inventory") | F.coalesce(_sum(c("observations_per_step")) > c("observations_total"), F.lit(False)),
         "list_length_mismatch": steps.isNotNull() & lengths,
         "anchoring_out_of_range": (c("anchoring_step") < 1) | (c("anchoring_step") > steps),
         "correct_but_gold_never_in_play": right & (c("gold_alive_steps") == 0) & (steps >= 2),

@@ -10,10 +10,13 @@ SCORED = ("ok", "empty", "truncated")
 
 
 def dedupe_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The row with the highest sequence of each key, and first_seq, where the key first stood."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumn("first_seq", F.min(seq).over(w)).withColumn("__rn", F.row_number().over(w.orderBy(F.col(seq).desc())))
-    return rows.where("__rn = 1").drop("__rn")
+    """The row with the highest sequence of each key, and first_seq, where the key first stood.
+
+    An aggregate, so a key that holds much of the log leaves one row a map task.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*[f"`{c}`" for c in rest]), F.struct(seq)).alias("__last"), F.min(seq).alias("first_seq"))
+    return last.select(*keys, "__last.*", "first_seq").select(*[f"`{c}`" for c in df.columns], "first_seq")
 
 
 def reusable(df: DataFrame, keys: list[str], seq: str, status: str = "status", finish: str = "finish_reason") -> DataFrame:

@@ -82,3 +82,10 @@ def run_report(title: str, facts: Mapping[str, object], sections: Mapping[str, D
     for name, df in sections.items():
         told += [f"## {name}", "", sinks.markdown(df) if df.head(1) else "_None._\n"]
     return "\n".join(told)
+
+
+def choice_gap(df: DataFrame, cell: list[str], model: str, selection: str, value: str) -> DataFrame:
+    """model, scs, mcs, gap, cells: means of single and multiple choice over the cells that ran both."""
+    one = lambda m: F.avg(F.when(F.col(selection) == m, F.col(value)))
+    both = df.groupBy(*cell, model).agg(one("SCS").alias("scs"), one("MCS").alias("mcs")).where("scs IS NOT NULL AND mcs IS NOT NULL")
+    return both.groupBy(model).agg(F.avg("scs").alias("scs"), F.avg("mcs").alias("mcs"), F.avg(F.col("scs") - F.col("mcs")).alias("gap"), F.count("*").alias("cells"))

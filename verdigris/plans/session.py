@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +35,13 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     if root not in seen.get("PYTHONPATH", "").split(os.pathsep):
         seen["PYTHONPATH"] = os.pathsep.join(x for x in (root, seen.get("PYTHONPATH", "")) if x)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of this application that driver and executors share: in spark.checkpoint.dir, else in the warehouse; a local session takes a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="verdigris-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/verdigris_{spark.sparkContext.applicationId}/{name}"

@@ -27,7 +27,7 @@ def text_file(spark: SparkSession, path: str) -> DataFrame:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, value of stripped lines that are not empty."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value")).where("value <> ''")
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "(?U)^\\s+|\\s+$", "").alias("value")).where("value <> ''")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from verdigris.operators.records import dedupe_last
 
@@ -15,33 +16,59 @@ from verdigris.operators.records import dedupe_last
 class Upsert:
     """A foreachBatch sink: the table keeps the row with the highest sequence of each key.
 
-    Each batch writes a new version beside the others, and a version counts once
-    its write has committed.  So a batch that is run again, after a failure or
-    by another driver, replaces its own version and starts from the one before.
+    The table is dealt into buckets by a hash of the key.  A batch writes, in a
+    version of its own, only the buckets that it has rows for; of each bucket
+    the newest version counts, once its write has committed.  So a batch that is
+    run again, after a failure or by another driver, replaces its own version
+    and starts from those before.  `buckets` is fixed with the table; `vacuum`
+    removes what newer versions have replaced.
     """
 
-    def __init__(self, path: str, keys: list[str], seq: str):
-        self.path, self.keys, self.seq = path, keys, seq
+    def __init__(self, path: str, keys: list[str], seq: str, buckets: int = 64):
+        self.path, self.keys, self.seq, self.buckets = path, keys, seq, buckets
 
-    def _latest(self, spark: SparkSession, before: int | None = None) -> str | None:
-        """The newest committed version, or the newest that is older than a batch."""
+    def _files(self, spark: SparkSession, pattern: str) -> list:
         jvm = spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS"))
-        found = [int(x.getPath().getParent().getName()[1:]) for x in done or ()]
-        found = [v for v in found if before is None or v < before]
-        return f"{self.path}/v{max(found)}" if found else None
+        found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}"))
+        return [x.getPath() for x in found or ()]
+
+    def _versions(self, spark: SparkSession, before: int | None = None) -> dict[int, list[int]]:
+        """Of each bucket its committed versions, older than a batch if one is given, newest first."""
+        done = {int(p.getParent().getName()[1:]) for p in self._files(spark, "v*/_SUCCESS")}
+        out: dict[int, list[int]] = {}
+        for p in self._files(spark, "v*/__bucket=*"):
+            version, bucket = int(p.getParent().getName()[1:]), int(p.getName().split("=")[1])
+            if version in done and (before is None or version < before):
+                out.setdefault(bucket, []).append(version)
+        return {b: sorted(v, reverse=True) for b, v in out.items()}
+
+    def _read(self, spark: SparkSession, versions: dict[int, list[int]], schema: StructType | None = None) -> DataFrame | None:
+        paths = [f"{self.path}/v{v[0]}/__bucket={b}" for b, v in sorted(versions.items())]
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(*paths) if paths else None
 
     def read(self, spark: SparkSession) -> DataFrame | None:
-        latest = self._latest(spark)
-        return None if latest is None else spark.read.parquet(latest)
+        return self._read(spark, self._versions(spark))
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        latest = self._latest(batch.sparkSession, epoch)
-        now = None if latest is None else batch.sparkSession.read.parquet(latest)
-        rows = batch if now is None else now.select(*batch.columns).unionByName(batch)
-        dedupe_last(rows, self.keys, self.seq).drop("first_seq").write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        batch = batch.persist()
+        hit = {r[0] for r in batch.select(bucket).distinct().collect()}  # no more than there are buckets
+        now = self._read(spark, {b: v for b, v in self._versions(spark, epoch).items() if b in hit}, batch.schema)
+        rows = batch if now is None else now.unionByName(batch)
+        last = dedupe_last(rows, self.keys, self.seq).drop("first_seq").withColumn("__bucket", bucket)
+        last.write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/v{epoch}")
+        batch.unpersist()
+
+    def vacuum(self, spark: SparkSession) -> int:
+        """Remove buckets that have two newer versions, so that the last batch can still be run again; how many."""
+        jvm = spark.sparkContext._jvm
+        old = [f"{self.path}/v{v}/__bucket={b}" for b, versions in self._versions(spark).items() for v in versions[2:]]
+        for path in old:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        return len(old)
 
 
 def episodes(turns: DataFrame, max_turns: int = 20, keys: str = "conv_id") -> DataFrame:
