@@ -71,7 +71,6 @@ class Automaton:
         for name, k in vocab.items():
             self.labels[k] = bytes(letters[c] for c in name)
         self.specials = specials
-        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")" if specials else "$^")
         for name, k in specials.items():
             self.labels[k] = name.encode()
         self.cuts: dict[tuple[int, int], int] = {}
@@ -215,7 +214,7 @@ class Automaton:
         """The paths over all words, one after another, and their lengths: all words read a byte at a time, together."""
         if len(self._arcs) > MEMO:
             self._states()
-        raw, begin = _bytes_of(words)
+        raw, begin = bytes_of(words)
         begin, size = begin[:-1], np.diff(begin)
         far = np.flatnonzero(size > TOGETHER)
         order = np.argsort(-np.where(size > TOGETHER, 0, size), kind="stable")
@@ -248,42 +247,12 @@ class Automaton:
             ids[first[k] : first[k] + len(path)] = path
         return ids, count
 
-    def _words_of(self, text: str) -> list[bytes]:
-        """The words of a text without special tokens, which may be cut before each lone space."""
-        return [w.encode() for n, part in enumerate(LONE_SPACE.split(text)) if n or part for w in SPLIT.findall(" " * (n > 0) + part)]
-
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (a string column without nulls) in sequence, and where each text's begin; each distinct word is read once."""
-        special = {name: -1 - k for k, name in enumerate(self.specials)}
-        plain, odd, loose = [], {}, []
-        for n, text in enumerate(texts.to_pylist()):
-            marked = any(name in text for name in special)
-            if marked or any(w.search(text) for w in WIDE):
-                odd[n] = []
-                for part in self.marks.split(text) if marked else [text]:
-                    found = [] if part in special else self._words_of(part)
-                    odd[n] += [special[part]] if part in special else range(len(loose), len(loose) + len(found))
-                    loose += found
-            plain.append(b"" if n in odd else text.encode())
-        raw = np.frombuffer(b"".join(plain), np.uint8)
-        sizes = np.array([len(x) for x in plain], np.int64)
-        row = np.cumsum(sizes) - sizes
-        # no white space meets in these, so each space begins a piece
-        begins = np.union1d(np.flatnonzero(raw == 32), row[sizes > 0])
-        pieces = _binary(raw, np.append(begins, len(raw))).dictionary_encode()
-        at, (cut, many) = pieces.indices.to_numpy(), _words_of_pieces(pieces.dictionary)
-        kinds = pa.concat_arrays([cut, pa.array(loose, pa.binary())]).dictionary_encode()
-        number = kinds.indices.to_numpy().astype(np.int64)
-        words = number[spans((np.cumsum(many) - many)[at], many[at])]
-        past = np.concatenate([[0], np.cumsum(many[at])])
-        first = past[np.searchsorted(begins, np.append(row, len(raw)))]
-        if odd:
-            own = lambda x: np.where(x < 0, x, np.append(number, 0)[np.where(x < 0, 0, x + len(cut))])
-            parts = [own(np.array(odd[n], np.int64)) if n in odd else words[first[n] : first[n + 1]] for n in range(len(plain))]
-            words, first = np.concatenate([words[:0], *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-        ids, count = self.encode_words(kinds.dictionary)
+        kinds, words, first = pre_tokens(texts, list(self.specials))
+        ids, count = self.encode_words(kinds)
         # special tokens stand behind the words, the last one first
-        ids, count = np.append(ids, list(self.specials.values())[::-1]).astype("<u4"), np.append(count, [1] * len(special)).astype(np.int64)
+        ids, count = np.append(ids, list(self.specials.values())[::-1]).astype("<u4"), np.append(count, [1] * len(self.specials)).astype(np.int64)
         begin = np.cumsum(count) - count
         past = np.concatenate([[0], np.cumsum(count[words])])
         return ids[spans(begin[words], count[words])], past[first]
@@ -313,7 +282,7 @@ def _binary(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column without nulls, and where each row begins."""
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -329,7 +298,7 @@ def _words_of_pieces(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
     Elsewhere a word ends where the kind of byte changes, but for the space in
     front; of white space before something else, the last byte stands alone.
     """
-    raw, begin = _bytes_of(pieces)
+    raw, begin = bytes_of(pieces)
     if not len(raw):
         return pa.array([], pa.binary()), np.zeros(0, np.int64)
     kind = KIND[raw]
@@ -351,6 +320,49 @@ def _words_of_pieces(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return _binary(raw, at), np.diff(np.searchsorted(at, begin))
 
 
+def special_marks(specials: list[str]) -> re.Pattern:
+    """Splits at special tokens' strings and keeps them; longer ones first."""
+    return re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")" if specials else "$^")
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words of a text without special tokens, which may be cut before each lone space."""
+    return [w.encode() for n, part in enumerate(LONE_SPACE.split(text)) if n or part for w in SPLIT.findall(" " * (n > 0) + part)]
+
+
+def pre_tokens(texts: pa.Array, specials: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of all texts (a string column without nulls), the texts as numbers of words in sequence (special token k is -1 - k), and where each text's begin."""
+    special = {name: -1 - k for k, name in enumerate(specials)}
+    marks = special_marks(specials)
+    plain, odd, loose = [], {}, []
+    for n, text in enumerate(texts.to_pylist()):
+        marked = any(name in text for name in special)
+        if marked or any(w.search(text) for w in WIDE):
+            odd[n] = []
+            for part in marks.split(text) if marked else [text]:
+                found = [] if part in special else words_of(part)
+                odd[n] += [special[part]] if part in special else range(len(loose), len(loose) + len(found))
+                loose += found
+        plain.append(b"" if n in odd else text.encode())
+    raw = np.frombuffer(b"".join(plain), np.uint8)
+    sizes = np.array([len(x) for x in plain], np.int64)
+    row = np.cumsum(sizes) - sizes
+    # no white space meets in these, so each space begins a piece
+    begins = np.union1d(np.flatnonzero(raw == 32), row[sizes > 0])
+    pieces = _binary(raw, np.append(begins, len(raw))).dictionary_encode()
+    at, (cut, many) = pieces.indices.to_numpy(), _words_of_pieces(pieces.dictionary)
+    kinds = pa.concat_arrays([cut, pa.array(loose, pa.binary())]).dictionary_encode()
+    number = kinds.indices.to_numpy().astype(np.int64)
+    words = number[spans((np.cumsum(many) - many)[at], many[at])]
+    past = np.concatenate([[0], np.cumsum(many[at])])
+    first = past[np.searchsorted(begins, np.append(row, len(raw)))]
+    if odd:
+        own = lambda x: np.where(x < 0, x, np.append(number, 0)[np.where(x < 0, 0, x + len(cut))])
+        parts = [own(np.array(odd[n], np.int64)) if n in odd else words[first[n] : first[n + 1]] for n in range(len(plain))]
+        words, first = np.concatenate([words[:0], *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+    return kinds.dictionary, words, first
+
+
 def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start, start + 1 and so on for each length, in sequence."""
     return np.arange(int(length.sum())) + np.repeat(start - np.cumsum(length) + length, length)

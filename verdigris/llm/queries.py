@@ -14,6 +14,7 @@ from verdigris.llm.common import held_out, table
 from verdigris.llm.exact_dedup import exact_groups
 from verdigris.llm.line_dedup import line_dedup
 from verdigris.llm.ngram_join import ngram_components
+from verdigris.llm.token_counts import token_counts
 from verdigris.llm.topk import exact_topk
 
 
@@ -80,9 +81,13 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_chat_perspectives, op3_exact_dedup, op4_source_mix, op5_ngram_join, op6_licences, op7_toxicity, op8_quality, op9_line_dedup, op10_exact_topk)
+    for f in (op1_bpe_round_trip, op2_chat_perspectives, op3_exact_dedup, op4_source_mix, op5_ngram_join, op6_licences, op7_toxicity, op8_quality, op9_line_dedup, op10_exact_topk, op11_token_counts)
 }
 ORACLES: dict[str, str] = {
     "op5_ngram_join": """
