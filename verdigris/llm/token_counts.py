@@ -153,15 +153,16 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[
     (own,) = unused(df, "__text")
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias(own))
-    kept = rows.drop(own).schema
+    names = rows.drop(own).columns
+    schema = rows.drop(own).schema.add("n_tokens", "long").add("over_limit", "boolean").add("n_shortcut", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = sent.value
         for batch in batches:
-            texts = strings(batch.column(len(kept)))
+            texts = strings(batch.column(len(names)))
             for a, b in slices(texts, 1 << 22):
                 tokens, short = counter.count_all(texts.slice(a, b - a))
-                columns = [c.slice(a, b - a) for c in batch.columns[: len(kept)]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens), pa.array(tokens > limit), pa.array(short)], [*kept.names, "n_tokens", "over_limit", "n_shortcut"])
+                columns = [c.slice(a, b - a) for c in batch.columns[: len(names)]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens), pa.array(tokens > limit), pa.array(short)], [*names, "n_tokens", "over_limit", "n_shortcut"])
 
-    return rows.mapInArrow(run, kept.add("n_tokens", "long").add("over_limit", "boolean").add("n_shortcut", "long"))
+    return rows.mapInArrow(run, schema)
