@@ -14,6 +14,7 @@ from verdigris.llm.common import held_out, table
 from verdigris.llm.exact_dedup import exact_groups
 from verdigris.llm.line_dedup import line_dedup
 from verdigris.llm.ngram_join import ngram_components
+from verdigris.llm.rolling import event_seconds, rolling_features
 from verdigris.llm.token_counts import token_counts
 from verdigris.llm.topk import exact_topk
 
@@ -85,9 +86,15 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op13_rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rolling_features(table(spark, sf_dir, "documents"), event_seconds(F.col("doc_id")), F.char_length("text"), (600, 43200))
+    names = {"sum_value": "sum_chars", "n_kinds": "n_langs", "rank_0": "median_chars", "rank_1": "high_chars"}
+    return found.withColumnsRenamed(names)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_chat_perspectives, op3_exact_dedup, op4_source_mix, op5_ngram_join, op6_licences, op7_toxicity, op8_quality, op9_line_dedup, op10_exact_topk, op11_token_counts)
+    for f in (op1_bpe_round_trip, op2_chat_perspectives, op3_exact_dedup, op4_source_mix, op5_ngram_join, op6_licences, op7_toxicity, op8_quality, op9_line_dedup, op10_exact_topk, op11_token_counts, op13_rolling_windows)
 }
 ORACLES: dict[str, str] = {
     "op5_ngram_join": """
@@ -119,6 +126,17 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUB
            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    # crc32 bit by bit: an element of the list is a byte to be mixed in, or -1 for a shift
+    "op13_rolling_windows": """
+WITH h AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                  lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END), 4294967295::BIGINT) AS h FROM documents),
+     t AS (SELECT doc_id, source, lang, length(text)::BIGINT AS n, 60 * floor((doc_id + h % 10000) / 6.0)::BIGINT AS event_s FROM h),
+     w AS (SELECT *, unnest([600, 43200]::BIGINT[]) AS window_s FROM t),
+     f AS (SELECT d.doc_id, d.window_s, d.event_s, count(o.doc_id) AS n_events, coalesce(sum(o.n), 0)::BIGINT AS sum_chars, count(DISTINCT o.lang) AS n_langs,
+                  list_sort(list(o.n) FILTER (o.n IS NOT NULL)) AS s
+           FROM w d LEFT JOIN t o ON o.source IS NOT DISTINCT FROM d.source AND o.event_s >= d.event_s - d.window_s AND o.event_s < d.event_s GROUP BY 1, 2, 3)
+SELECT doc_id, window_s, event_s, n_events, sum_chars, n_langs, s[(len(s) + 1) // 2] AS median_chars, s[(9 * len(s) + 9) // 10] AS high_chars FROM f
 """,
     "op3_exact_dedup": """
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(coalesce(d.text, '')) AS text_sha256
