@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.bpe import encode_documents
 from verdigris.llm import licences, mixing, quality, toxicity
+from verdigris.llm.centroids import cluster
 from verdigris.llm.chat import perspectives
 from verdigris.llm.common import held_out, table
 from verdigris.llm.exact_dedup import exact_groups
@@ -86,6 +87,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+
+
 def op13_rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rolling_features(table(spark, sf_dir, "documents"), event_seconds(F.col("doc_id")), F.char_length("text"), (600, 43200))
     names = {"sum_value": "sum_chars", "n_kinds": "n_langs", "rank_0": "median_chars", "rank_1": "high_chars"}
@@ -94,7 +99,7 @@ def op13_rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_chat_perspectives, op3_exact_dedup, op4_source_mix, op5_ngram_join, op6_licences, op7_toxicity, op8_quality, op9_line_dedup, op10_exact_topk, op11_token_counts, op13_rolling_windows)
+    for f in (op1_bpe_round_trip, op2_chat_perspectives, op3_exact_dedup, op4_source_mix, op5_ngram_join, op6_licences, op7_toxicity, op8_quality, op9_line_dedup, op10_exact_topk, op11_token_counts, op12_centroid_clusters, op13_rolling_windows)
 }
 ORACLES: dict[str, str] = {
     "op5_ngram_join": """
@@ -126,6 +131,23 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUB
            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op12_centroid_clusters": """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, e FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16),
+     a0 AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c FROM (SELECT v.vec_id, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - k.e[i]) * (v.e[i] - k.e[i])))::BIGINT AS d FROM v, c0 k) GROUP BY 1),
+     m0 AS (SELECT c, list(floor(s / n)::BIGINT ORDER BY i) AS e FROM (SELECT a.c, i, sum(v.e[i]) AS s, count(*) AS n FROM v JOIN a0 a USING (vec_id), range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1),
+     c1 AS MATERIALIZED (SELECT k.c, coalesce(m.e, k.e) AS e FROM c0 k LEFT JOIN m0 m USING (c)),
+     a1 AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c FROM (SELECT v.vec_id, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - k.e[i]) * (v.e[i] - k.e[i])))::BIGINT AS d FROM v, c1 k) GROUP BY 1),
+     m1 AS (SELECT c, list(floor(s / n)::BIGINT ORDER BY i) AS e FROM (SELECT a.c, i, sum(v.e[i]) AS s, count(*) AS n FROM v JOIN a1 a USING (vec_id), range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1),
+     c2 AS MATERIALIZED (SELECT k.c, coalesce(m.e, k.e) AS e FROM c1 k LEFT JOIN m1 m USING (c)),
+     a2 AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c FROM (SELECT v.vec_id, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - k.e[i]) * (v.e[i] - k.e[i])))::BIGINT AS d FROM v, c2 k) GROUP BY 1),
+     m2 AS (SELECT c, list(floor(s / n)::BIGINT ORDER BY i) AS e FROM (SELECT a.c, i, sum(v.e[i]) AS s, count(*) AS n FROM v JOIN a2 a USING (vec_id), range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1),
+     c3 AS MATERIALIZED (SELECT k.c, coalesce(m.e, k.e) AS e FROM c2 k LEFT JOIN m2 m USING (c)),
+     f AS (SELECT vec_id, min((d, c)) AS b FROM (SELECT v.vec_id, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - k.e[i]) * (v.e[i] - k.e[i])))::BIGINT AS d FROM v, c3 k) GROUP BY 1)
+SELECT vec_id, k.c::INTEGER AS cluster, b[1] AS distance, sum(b[1]) OVER (PARTITION BY k.c)::BIGINT AS cluster_inertia, sum(b[1]) OVER ()::BIGINT AS inertia, sha256(list_aggregate(k.e, 'string_agg', ',')) AS centroid_sha256
+FROM f JOIN c3 k ON k.c = b[2]
 """,
     # crc32 bit by bit: an element of the list is a byte to be mixed in, or -1 for a shift
     "op13_rolling_windows": """
