@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import cut, unused
+from verdigris.llm.common import cut, one_of_each, unused
 
 #: Hash values with several rows that are broadcast at the most; with more, every text is grouped.
 FEW = 500_000
@@ -55,9 +55,17 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep:
     """The rows that stay, with all their columns; of rows that repeat an id and a text, one stays.
 
     Rows meet their verdict by id and text, so a repeated or null id says
-    nothing about its other texts.
+    nothing about its other texts.  Where rows that repeat both differ in other
+    columns, the one whose hash of all columns is the least stays.  An empty
+    table gives no rows.
     """
     sha, own, other = unused(df, "__sha256", "__id", "__kept")
-    stays = exact_groups(df, id_col, text, keep).where("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(other)).distinct()
+    stays = exact_groups(df, id_col, text, keep).where("kept").groupBy(F.col(id_col).alias(own), F.col("text_sha256").alias(other)).agg(F.count("*").alias("__many"))
+    stays = cut(stays)
     rows = df.withColumn(sha, F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
-    return rows.join(stays, rows[id_col].eqNullSafe(F.col(own)) & (F.col(sha) == F.col(other)), "left_semi").dropDuplicates([id_col, sha]).drop(sha)
+    match = rows[id_col].eqNullSafe(F.col(own)) & (F.col(sha) == F.col(other))
+    out = rows.join(stays.where("__many = 1"), match, "left_semi")
+    several = stays.where("__many > 1")
+    if several.limit(1).count():
+        out = out.unionByName(one_of_each(rows.join(several, match, "left_semi"), id_col, sha))
+    return out.drop(sha)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WORD, cut, unused
+from verdigris.llm.common import WORD, cut, one_of_each, unused
 
 #: Slots of the whole schedule, about; and blocks of a source at the least, if it has as many words.
 SLOTS, LEAST_BLOCKS = 1 << 17, 1 << 11
@@ -30,6 +30,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_hash(id_col: str, text: str, seed: int) -> Column:
+    """The place of a row in its source's shuffled order."""
+    return F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text}`"))
+
+
 def weights_in_turn(df: DataFrame, source: str, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The distinct sources by code point, null last, with the weights in turn."""
     rank = F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1
@@ -62,8 +67,9 @@ def _steps(n: int) -> int:
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """What the mix takes from each row.
 
-    Returns id_col, source (as `source`), size, source_size, target, taken: a
-    row for each row of the input.  size is the number of words, 0 for a null
+    Returns id_col, source (as `source`), size, source_size, target, taken,
+    first_slot (the first slot of the schedule with words of the row, null if
+    none is taken) and row_hash (of id and text): a row for each row of the input.  size is the number of words, 0 for a null
     text; null is a source of its own.  No row is taken more than MOST times
     its size; rows without words have taken 0.  Rows are shuffled by a hash of
     id and text, so reruns agree; repeated rows tie and count one by one.
@@ -71,7 +77,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     """
     rows = df.select(
         F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`").cast("string")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias("__hash"),
+        row_hash(id_col, text, seed).alias("__hash"),
     )
     rows = cut(rows)  # a few numbers per document; the texts are read once
     turns = weights_in_turn(rows, "source", weights)
@@ -98,9 +104,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     words = F.least(ends, F.col("__from") + F.col("size")) - F.greatest(begins, F.col("__from"))
     summed = parts.groupBy("__n", "__step", "__at").agg(
         F.first("__id").alias(id_col), F.first("source").alias("source"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-        F.sum(F.coalesce(words * F.col("__times"), F.lit(0))).cast("long").alias("taken"),
+        F.sum(F.coalesce(words * F.col("__times"), F.lit(0))).cast("long").alias("taken"), F.min("__slot").alias("first_slot"), F.first("__hash").alias("row_hash"),
     )
-    return summed.select(id_col, "source", "size", "source_size", "target", "taken")
+    return summed.select(id_col, "source", "size", "source_size", "target", "taken", "first_slot", "row_hash")
 
 
 def _begin_of(block: Column) -> Column:
@@ -119,7 +125,7 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def _blocks_taken(wanted: DataFrame, n_slots: int, n_cells: int) -> DataFrame:
-    """How often the schedule takes each block: __n, __b, __times."""
+    """How often the schedule takes each block, and where first: __n, __b, __times, __slot."""
     spark = wanted.sparkSession
     shares = wanted.select("__n", "__blocks", F.coalesce(F.lag("__till").over(Window.orderBy("__n")), F.lit(0.0)).alias("__since"), "__till", F.max("__till").over(Window.partitionBy()).alias("__all")).where("__till > __since")
     slots = spark.range(n_slots).withColumn("__point", (F.col("id") * GOLDEN) % 1.0)
@@ -133,7 +139,7 @@ def _blocks_taken(wanted: DataFrame, n_slots: int, n_cells: int) -> DataFrame:
     per = per.withColumn("__past", F.coalesce(F.sum("__many").over(Window.partitionBy("__n").orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("__n", "__step").orderBy("id")) - 1
     ranked = slots.withColumn("__in", rank).join(per.drop("__many"), ["__n", "__step"]).withColumn("__rank", F.col("__in") + F.col("__past"))
-    return ranked.where(F.col("__rank") < MOST * F.col("__blocks")).groupBy("__n", (F.col("__rank") % F.col("__blocks")).alias("__b")).agg(F.count("*").alias("__times"))
+    return ranked.where(F.col("__rank") < MOST * F.col("__blocks")).groupBy("__n", (F.col("__rank") % F.col("__blocks")).alias("__b")).agg(F.count("*").alias("__times"), F.min("id").alias("__slot"))
 
 
 def _placed(rows: DataFrame, wanted: DataFrame, n_rows: int) -> DataFrame:
@@ -153,14 +159,24 @@ def _placed(rows: DataFrame, wanted: DataFrame, n_rows: int) -> DataFrame:
     return rows.join(past, ["__n", "__step"]).withColumn("__from", F.col("__in") + F.col("__past"))
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """The rows as often as the mix takes them: taken / size times, rounded; all columns.
 
     The schedule takes whole rounds of a source and one more in part, so only
-    the document at that part's end is ever rounded.
+    the document at that part's end is ever rounded.  A document is an id and a
+    text in a source: each text of a repeated id is taken as often as the mix
+    takes that text.  Rows that repeat all three are one document that is taken
+    as often as they are together, with the other columns of the row whose hash
+    of all columns is the least.  Rows without words are not taken.  An empty
+    table gives no rows.
     """
-    id_col = options.get("id_col", "doc_id")
-    own, times, copy = unused(df, "__id", "__often", "__copy")
-    often = mix(df, **options).where("size > 0").groupBy(F.col(id_col).alias(own)).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias(times))
-    often = often.where(F.col(times) > 0)
-    return df.join(often, df[id_col].eqNullSafe(often[own])).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[df[c] for c in df.columns])
+    own, its, times, many, copy = unused(df, "__row", "__source", "__often", "__many", "__copy")
+    taken = mix(df, id_col, text, source, weights, seed).where("size > 0")
+    often = taken.groupBy(F.col("row_hash").alias(its), F.col("source").alias(own)).agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias(times), F.count("*").alias(many))
+    often = cut(often.where(F.col(times) > 0))
+    match = (row_hash(id_col, text, seed) == F.col(its)) & F.col(f"`{source}`").eqNullSafe(F.col(own))
+    rows = df.join(often.where(F.col(many) == 1), match)
+    several = often.where(F.col(many) > 1)
+    if several.limit(1).count():
+        rows = rows.unionByName(one_of_each(df.join(several, match), its, own))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in df.columns])

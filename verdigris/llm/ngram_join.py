@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
-from verdigris.llm.common import cut, text_batches
+from verdigris.llm.common import cut, one_of_each, text_batches, unused
 from verdigris.llm.components import components
 from verdigris.llm.words import Texts, U, join_hashes, mix, slices, strings
 
@@ -113,7 +114,14 @@ def exact_sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def _texts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    # ids are 64-bit numbers, or decimals where a key needs more
+    own = F.col(f"`{id_col}`")
+    own = own if isinstance(df.schema[id_col].dataType, DecimalType) else own.cast("long")
+    return df.select(own.alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+
+
+def _kind(texts: DataFrame) -> str:
+    return texts.schema["id"].dataType.simpleString()
 
 
 def frequency_sketch(texts: DataFrame, size: int) -> np.ndarray:
@@ -181,7 +189,7 @@ def _prefixes(texts: DataFrame, sketch: np.ndarray, size: int, percent: int) ->
                     ["id", "n", "f1", "f2", "prefix", "last", *PARITY],
                 )
 
-    return texts.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, last bigint" + "".join(f", {c} bigint" for c in PARITY))
+    return texts.mapInArrow(run, f"id {_kind(texts)}, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, last bigint" + "".join(f", {c} bigint" for c in PARITY))
 
 
 def _least_overlap(percent: int) -> Column:
@@ -259,7 +267,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 yield part.select(["a", "b"]).filter(pa.array(keep))
                 at = end
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.mapInArrow(run, f"a {_kind(texts)}, b {_kind(texts)}").distinct()
 
 
 def _against_hubs(posted: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -346,3 +354,29 @@ sets are found by 128-bit fingerprints, and a set's shingles are counted by
     linked = some.join(classes, ["f1", "f2", "n"]).select("id", "n", "component_id")
     alone = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows that stay, with all their columns: of each component of similar texts the one with the smallest id.
+
+    A null id is never another's copy, so its row stays.  Where rows repeat an
+    id, each text of it is a document of its own, told apart by 60 bits of its
+    sha256, which also say which of an id's own similar texts is the smallest;
+    of rows that repeat both id and text one stays, the one whose hash of all
+    columns is the least.  An empty table gives no rows.
+    """
+    own = F.col(f"`{id_col}`")
+    again = df.where(own.isNotNull()).groupBy(own.alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    if not again.limit(1).count():
+        found = ngram_components(df, id_col, text, size, percent)
+        goes = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
+        return df.join(goes, id_col, "left_anti").select(*df.columns)
+    (key,) = unused(df, "__key")
+    part = F.conv(F.substring(F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256), 1, 15), 16, 10)
+    # a 64-bit id and 60 bits behind it
+    keyed = df.withColumn(key, (own.cast("decimal(19,0)") * F.lit(10**18 * 2).cast("decimal(19,0)") + part.cast("decimal(19,0)")).cast("decimal(38,0)"))
+    found = ngram_components(keyed, key, text, size, percent)
+    left = keyed.join(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key, "left_anti").select(*keyed.columns)
+    repeated = keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    once = left.join(repeated, key, "left_anti").select(*keyed.columns)
+    return once.unionByName(one_of_each(left.join(repeated, key, "left_semi").select(*keyed.columns), key)).drop(key)
