@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdigris.llm import bpe, mixing, toxicity
 from verdigris.llm.common import cut, table
 from verdigris.llm.exact_dedup import drop_copies
-from verdigris.llm.ngram_join import ngram_components
+from verdigris.llm.ngram_join import drop_similar
 from verdigris.llm.queries import tokenizer_path
 
 
@@ -26,10 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar texts the one with the smallest id stays; a null id is never another's copy."""
-    found = ngram_components(docs, size=5, percent=80)
-    goes = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of similar texts the one with the smallest id stays; each text of a repeated id is a document of its own."""
+    return drop_similar(docs, size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
