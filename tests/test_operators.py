@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import aggregate, expand, folds, reasoning, records, sampling, windows
+from verdigris.operators import aggregate, expand, folds, ranks, reasoning, records, sampling, windows
 from verdigris.plans import reports
 from verdigris.sources import readers, sinks
 
@@ -85,9 +85,9 @@ def test_expansion(spark):
 
 def test_kendall_and_spearman(spark):
     df = table(spark, "g int, a int, b int", *[(1, x, y) for x, y in zip([1, 2, 2, 3], [1, 2, 3, 4])], (2, 1, 1), *[(3, k, 3 - k) for k in range(3)])
-    got = {r["g"]: r["tau_b"] for r in windows.kendall_tau_b(df, ["g"], "a", "b").collect()}
+    got = {r["g"]: r["tau_b"] for r in ranks.kendall_tau_b(df, ["g"], "a", "b").collect()}
     assert got[1] == pytest.approx(5 / 30**0.5) and got[2] == 0.0 and got[3] == -1.0
-    got = {r["g"]: r["spearman"] for r in windows.spearman(df, ["g"], "a", "b").collect()}
+    got = {r["g"]: r["spearman"] for r in ranks.spearman(df, ["g"], "a", "b").collect()}
     assert got[2] == 0.0 and got[3] == pytest.approx(-1.0)
 
 

@@ -1,11 +1,11 @@
-"""Turns and ranks: first correct turn, revision, quintiles, outliers, AUC, bins."""
+"""Turns and bins: first correct turn, revision, effects, steps, costs.  Ranks of groups are in ranks.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.stats import average_rank, wilson
+from verdigris.functions.stats import wilson
 
 
 def first_correct(df: DataFrame, keys: list[str], turn: str, correct: str, cap: int | None = None) -> DataFrame:
@@ -23,50 +23,6 @@ def belief_revision(df: DataFrame, keys: list[str], turn: str, prediction: str,
     return out.withColumn("revision", kind)
 
 
-def length_quintile(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """Fifth of the group by rank, ties by order: edges of equal shares of the ranks, as quantile cuts give."""
-    w = Window.partitionBy(*keys)
-    rank, n = F.row_number().over(w.orderBy(value, tie)), F.count("*").over(w)
-    # the smallest k with rank <= 1 + k (n - 1) / 5
-    return df.withColumn("quintile", F.greatest(F.lit(1), F.ceil(5.0 * (rank - 1) / F.nullif(n - 1, F.lit(0)))).cast("int"))
-
-
-def overthinking(df: DataFrame, keys: list[str], steps: str, wrong: str, share: float = 0.95, least: int = 20) -> DataFrame:
-    """Wrong rows in the longest part of their group, for groups of some size."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumn("cut", F.percentile(steps, F.lit(share)).over(w)).withColumn("__n", F.count(steps).over(w))
-    return rows.where((F.col("__n") >= least) & (F.col(steps) >= F.col("cut")) & F.col(wrong)).drop("__n")
-
-
-def auc(df: DataFrame, keys: list[str], value: str, correct: str, least: int = 20) -> DataFrame:
-    """Chance that a correct row has the higher value, ties half, from average ranks; null below `least` of either kind."""
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("__r", average_rank(F.col(value), *keys))
-    pos, neg = F.count_if(F.col(correct)), F.count_if(~F.col(correct))
-    ranks = F.sum(F.when(F.col(correct), F.col("__r")))
-    score = (ranks - pos * (pos + 1) / 2) / (pos * neg)
-    return rows.groupBy(*keys).agg(F.when((pos >= least) & (neg >= least), score).alias("auc"), pos.alias("n_correct"), neg.alias("n_wrong"))
-
-
-def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Correlation of average ranks; 0 for fewer than two rows or a constant side."""
-    rows = df.withColumn("__a", average_rank(F.col(a), *keys)).withColumn("__b", average_rank(F.col(b), *keys))
-    c = F.corr("__a", "__b")
-    return rows.groupBy(*keys).agg(F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.0)).alias("spearman"), F.count("*").alias("n"))
-
-
-def kendall_tau_b(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Kendall's tau-b of short lists within keys: pairs of a group are compared, so groups must be small; 0 when degenerate."""
-    points = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))).alias("p"))
-    rows = points.select(*keys, "p", F.explode_outer("p").alias("x"))
-    side = lambda f: F.aggregate("p", F.lit(0.0), lambda s, y: s + f(F.col("x"), y))
-    da, db = (lambda x, y: F.signum(x["a"] - y["a"])), (lambda x, y: F.signum(x["b"] - y["b"]))
-    per = rows.groupBy(*keys).agg(
-        (F.sum(side(lambda x, y: da(x, y) * db(x, y))) / 2).alias("s"),
-        (F.sum(side(lambda x, y: F.abs(da(x, y)))) / 2).alias("na"), (F.sum(side(lambda x, y: F.abs(db(x, y)))) / 2).alias("nb"),
-    )
-    return per.select(*keys, F.coalesce(F.col("s") / F.nullif(F.sqrt(F.col("na") * F.col("nb")), F.lit(0.0)), F.lit(0.0)).alias("tau_b"))
-
-
 def length_bin(n: Column) -> Column:
     """Right-closed bins of episode length."""
     edges = (0, 3, 5, 8, 12, 16, 20)

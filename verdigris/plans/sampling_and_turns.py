@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import stats
-from verdigris.operators import records, retrieval, sampling, windows
+from verdigris.operators import ranks, records, retrieval, sampling, windows
 from verdigris.plans.registry import fixture, query, table
 
 KEY = "sha256('7' || '::' || 'pool' || '::' || p_partkey)"
@@ -78,13 +78,13 @@ def belief_revision(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, greatest(1, ceil(5.0 * (r - 1) / (n - 1)))::INTEGER AS quintile FROM (SELECT id, row_number() OVER (PARTITION BY kind ORDER BY value, id) AS r, count(*) OVER (PARTITION BY kind) AS n FROM [log] l) q")
 def length_quintile(spark: SparkSession, d: str) -> DataFrame:
-    return windows.length_quintile(fixture(spark, d, "log"), ["kind"], "value", "id").select("id", "quintile")
+    return ranks.length_quintile(fixture(spark, d, "log").select("id", "kind", "value"), ["kind"], "value", "id").select("id", "quintile")
 
 
 @query("SELECT id, kind FROM (SELECT id, kind, value, correct, quantile_cont(value, 0.95) OVER (PARTITION BY kind) AS q FROM [log] l) x WHERE value >= q AND NOT correct")
 def overthinking(spark: SparkSession, d: str) -> DataFrame:
     rows = fixture(spark, d, "log").withColumn("wrong", ~F.col("correct"))
-    return windows.overthinking(rows, ["kind"], "value", "wrong").select("id", "kind")
+    return ranks.overthinking(rows, ["kind"], "value", "wrong").select("id", "kind")
 
 
 RANKS = "rank() OVER (PARTITION BY kind ORDER BY {x}) + (count(*) OVER (PARTITION BY kind, {x}) - 1) / 2.0"
@@ -93,7 +93,7 @@ RANKS = "rank() OVER (PARTITION BY kind ORDER BY {x}) + (count(*) OVER (PARTITIO
 @query(f"SELECT id, ({RANKS.format(x='floor(value)')})::DOUBLE AS avg_rank FROM [log] l")
 def avg_rank(spark: SparkSession, d: str) -> DataFrame:
     rows = fixture(spark, d, "log").withColumn("x", F.floor("value"))
-    return rows.select("id", stats.average_rank(F.col("x"), "kind").cast("double").alias("avg_rank"))
+    return ranks.with_average_rank(rows, ["kind"], "x", "avg_rank").select("id", "avg_rank")
 
 
 @query(
@@ -102,12 +102,12 @@ def avg_rank(spark: SparkSession, d: str) -> DataFrame:
   count(*) FILTER (correct) AS n_correct, count(*) FILTER (NOT correct) AS n_wrong FROM (SELECT kind, correct, {RANKS.format(x="v")} AS r FROM [log] l WHERE v IS NOT NULL AND NOT isnan(v)) q GROUP BY kind"""
 )
 def auc_by_metric(spark: SparkSession, d: str) -> DataFrame:
-    return windows.auc(fixture(spark, d, "log"), ["kind"], "v", "correct").withColumn("auc", F.round("auc", 9))
+    return ranks.auc(fixture(spark, d, "log"), ["kind"], "v", "correct").withColumn("auc", F.round("auc", 9))
 
 
 @query(f"SELECT kind, round(coalesce(corr(a, b), 0), 9) AS spearman, count(*) AS n FROM (SELECT kind, {RANKS.format(x='value')} AS a, {RANKS.format(x='turn')} AS b FROM [log] l) q GROUP BY kind")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    return windows.spearman(fixture(spark, d, "log"), ["kind"], "value", "turn").withColumn("spearman", F.round("spearman", 9))
+    return ranks.spearman(fixture(spark, d, "log"), ["kind"], "value", "turn").withColumn("spearman", F.round("spearman", 9))
 
 
 @query(
@@ -116,7 +116,7 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 SELECT item, round(coalesce(s / nullif(sqrt(na * nb), 0), 0), 9) AS tau_b FROM s"""
 )
 def kendall_tau_b(spark: SparkSession, d: str) -> DataFrame:
-    return windows.kendall_tau_b(fixture(spark, d, "items"), ["item"], "score", "qty").withColumn("tau_b", F.round("tau_b", 9))
+    return ranks.kendall_tau_b(fixture(spark, d, "items"), ["item"], "score", "qty").withColumn("tau_b", F.round("tau_b", 9))
 
 
 @query(

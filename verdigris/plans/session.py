@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "verdigris", cpus: int | None = None, **extra: str) -> SparkSession:
@@ -38,10 +39,31 @@ def reach_workers(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of this application that driver and executors share: in spark.checkpoint.dir, else in the warehouse; a local session takes a temporary one."""
+    """A folder of this application that driver and executors share: in spark.checkpoint.dir; a session in one process takes a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and spark.sparkContext.master.startswith("local"):
+    if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="verdigris-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/verdigris_{spark.sparkContext.applicationId}/{name}"
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoint() usable: in the folder that the session names.
+
+    Only a session in one process takes a temporary folder of its own where it
+    names none; on a cluster that would be each node's own disk.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="verdigris-"))
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows in reliable storage, without their lineage."""
+    shared_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
