@@ -8,7 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 # Fixed values.
 ARTICLES = ("a", "an", "the")
@@ -77,15 +77,21 @@ def contains_match(a: Column, b: Column, ascii_only: bool = False) -> Column:
     return ((ref != "") & F.contains(normalize_answer(a, ascii_only), ref)).cast("double")
 
 
-def _numbered(words: Column) -> Column:
-    """Words with their occurrence number, so that set functions count repeats."""
-    ordered = F.array_sort(words)
-    return F.transform(ordered, lambda t, i: F.concat(t, F.lit("\u0001"), (i - F.array_position(ordered, t).cast("int")).cast("string")))
+def _counted(words: Column) -> Column:
+    """Distinct words with their numbers, in order of the words: the sorted array is cut where a word differs from the one before."""
+    return F.transform(F.array(F.array_sort(words)), lambda s: _runs(s))[0]
+
+
+def _runs(s: Column) -> Column:
+    starts = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    ends = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("n")))
+    return F.transform(F.array(starts), ends)[0]
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays of words; for short texts."""
-    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
+    """Size of the multiset intersection of two arrays of words, by their counted words."""
+    numbered = lambda x: F.flatten(F.transform(_counted(x), lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.concat(r["w"], F.lit("\u0001"), k.cast("string")))))
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def token_prf(a: Column, b: Column, ascii_only: bool = False) -> Column:
@@ -114,18 +120,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(union, F.lit(0)))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, a row of the table at a time; for short texts."""
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
+def _lcs(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a row of the table is the bits of one number, in which a 0 stands where the length grows."""
+    places: dict[str, int] = {}
+    for k, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << k
+    whole = (1 << len(b)) - 1
+    row = whole
+    for word in a:
+        hit = row & places.get(word, 0)
+        row = (row + hit | row - hit) & whole
+    return len(b) - row.bit_count()
 
-    def row(past: Column, word: Column) -> Column:
-        def cell(out: Column, j: Column) -> Column:
-            here = F.when(F.element_at(b, j) == word, F.element_at(past, j) + 1).otherwise(F.greatest(F.element_at(out, -1), F.element_at(past, j + 1)))
-            return F.concat(out, F.array(here))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
+@F.pandas_udf(IntegerType())
+def _lcs_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of words, 64 cells of the table at a time; null if either is."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(_lcs_lengths(a, b))
 
 
 def rouge_l(a: Column, b: Column, beta: float = 1.2, ascii_only: bool = False) -> Column:

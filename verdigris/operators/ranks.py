@@ -151,7 +151,9 @@ def kendall_tau_b(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     x, y = F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")
     counts = df.select(*keys, x, y).where("a IS NOT NULL AND b IS NOT NULL").groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
     one = durable(counts.repartitionByRange(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b").withColumn("__p", F.spark_partition_id()))
-    two = durable(one.repartitionByRange(*keys, "b").sortWithinPartitions(*keys, "__p", "b").withColumn("__q", F.spark_partition_id()))
+    # a group inside one range is done; those that reach over a border are no more than twice the ranges
+    wide = one.groupBy(*keys).agg(F.min("__p").alias("__from"), F.max("__p").alias("__to")).where("__from < __to")
+    two = durable(same(one, wide.select(*keys), keys, "left_semi").repartitionByRange(*keys, "b").sortWithinPartitions(*keys, "__p", "b").withColumn("__q", F.spark_partition_id()))
     cells = two.groupBy(*keys, "__p", "__q").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy(*keys, "__q").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     # every range of a meets every range of b that the group has, also where the cell is empty

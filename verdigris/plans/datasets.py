@@ -67,14 +67,14 @@ def number_set(metric: str) -> Callable[[Column], tuple[Column, Column, Column]]
 
 
 def free_text(metric: str) -> Callable[[Column], tuple[Column, Column, Column]]:
-    """Match (equal to or containing the gold answer or an accepted one), exact match and token F1."""
+    """Match (equal to or containing the gold answer or an accepted one), exact match, token F1 and ROUGE-L."""
 
     def score(c: Column) -> tuple[Column, Column, Column]:
         span = extract.answer_span(c, prefix="Answer:")
         own = text.normalize_answer(span)
         accepted = F.transform(F.coalesce("accepted", F.array().cast("array<string>")), lambda a: text.normalize_answer(a))
         match = (text.contains_match(span, F.col("gold")) == 1) | F.exists(accepted, lambda a: (a != "") & F.contains(own, a))
-        named = {"match": match, "exact_match": text.exact_match(span, F.col("gold")), "token_f1": text.token_prf(span, F.col("gold"))["f1"]}
+        named = {"match": match, "exact_match": text.exact_match(span, F.col("gold")), "token_f1": text.token_prf(span, F.col("gold"))["f1"], "rouge_l": text.rouge_l(span, F.col("gold"))["f"]}
         return _map(**{**named, metric: named.get(metric, match)}), span, span != ""
 
     return score

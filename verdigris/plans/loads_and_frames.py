@@ -527,7 +527,7 @@ def dataset_contained(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b_c' END AS st, id % 3 = 0 AS eq, id % 3 < 2 AS con FROM [grid] g),
-  m AS (SELECT 'match' AS metric, con::INT::DOUBLE AS v FROM s UNION ALL SELECT 'exact_match', eq::INT::DOUBLE FROM s UNION ALL SELECT 'token_f1', CASE WHEN eq THEN 1.0 WHEN con THEN 0.8 ELSE 0.0 END FROM s UNION ALL SELECT 'exact_match_' || st, eq::INT::DOUBLE FROM s)
+  m AS (SELECT 'match' AS metric, con::INT::DOUBLE AS v FROM s UNION ALL SELECT 'exact_match', eq::INT::DOUBLE FROM s UNION ALL SELECT 'token_f1', CASE WHEN eq THEN 1.0 WHEN con THEN 0.8 ELSE 0.0 END FROM s UNION ALL SELECT 'rouge_l', CASE WHEN eq THEN 1.0 WHEN con THEN 2.44 * 2 / 3 / (1 + 1.44 * 2 / 3) ELSE 0.0 END FROM s UNION ALL SELECT 'exact_match_' || st, eq::INT::DOUBLE FROM s)
 SELECT metric, round(avg(v), 9) AS value, count(*) AS n FROM m GROUP BY metric"""
 )
 def dataset_free_text(spark: SparkSession, d: str) -> DataFrame:

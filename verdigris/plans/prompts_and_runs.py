@@ -268,7 +268,7 @@ _BALANCED = ", ".join(f"('{n}', '{g}', '{prefix}')" for n in NAMES for g, prefix
     UNION ALL SELECT dataset_id, metric, one, v FROM (SELECT DISTINCT v.id, v.dataset_id, prim || '_' || CASE WHEN v.one THEN st.one ELSE st.two END AS metric, v.one, v.v FROM v JOIN st USING (dataset_id)) q
     UNION ALL SELECT dataset_id, prim || '_lenient', one, 1.0 FROM v WHERE family = 'contained'
     UNION ALL SELECT dataset_id, 'premise_f1', one, CASE WHEN hit THEN 1.0 ELSE 2.0 / 3 END FROM v WHERE family = 'number_set' UNION ALL SELECT dataset_id, 'premise_count_match', one, hit::INT::DOUBLE FROM v WHERE family = 'number_set'
-    UNION ALL SELECT dataset_id, x, one, hit::INT::DOUBLE FROM v, (SELECT unnest(['match', 'exact_match', 'token_f1']) AS x) WHERE family = 'free_text' AND x <> prim
+    UNION ALL SELECT dataset_id, x, one, hit::INT::DOUBLE FROM v, (SELECT unnest(['match', 'exact_match', 'token_f1', 'rouge_l']) AS x) WHERE family = 'free_text' AND x <> prim
     UNION ALL SELECT dataset_id, 'exact_set', one, hit::INT::DOUBLE FROM v WHERE family = 'multi_selection' UNION ALL SELECT dataset_id, 'set_precision', one, 1.0 FROM v WHERE family = 'multi_selection'
     UNION ALL SELECT dataset_id, 'set_recall', one, CASE WHEN hit THEN 1.0 ELSE 0.5 END FROM v WHERE family = 'multi_selection' UNION ALL SELECT dataset_id, 'n_selected', one, CASE WHEN hit THEN 2.0 ELSE 1.0 END FROM v WHERE family = 'multi_selection'),
   means AS (SELECT dataset_id, metric, avg(v) AS value, count(*) AS n FROM m GROUP BY 1, 2),
