@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from verdigris.plans.session import durable
+
 #: A word is a run of bytes other than ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: in the folder that the session names.
-
-    Where it names none, executors of a cluster still share the warehouse; only
-    a local session, whose executor is the driver, takes a temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="verdigris-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until no column of the table is called so (case apart)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -43,9 +31,8 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows in reliable storage, without their lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows in reliable storage, without their lineage: in spark.checkpoint.dir, which has to be set off a session in one process."""
+    return durable(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
