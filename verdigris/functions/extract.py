@@ -124,10 +124,11 @@ def reasoning_trace(content: Column, reasoning: Column) -> Column:
     block = "(?s)<think>\\s*(.*?)\\s*(?:</think>|\\z)"  # a block that was cut off counts as well
     tagged = F.rlike(content, F.lit(block))
     visible = F.when(tagged, clean_trace(F.regexp_extract(content, block, 1))).otherwise("")
-    native, prose = clean_trace(reasoning), F.when(~tagged, clean_trace(content)).otherwise("")
-    pick = lambda a, b, c, d: F.when(visible != "", a).when(native != "", b).when(prose != "", c).otherwise(d)
-    source = pick(F.lit("visible_cot"), F.lit("native_reasoning"), F.lit("untagged_prose"), F.lit("none"))
-    return F.struct(pick(visible, native, prose, F.lit("")).alias("text"), source.alias("source"))
+    prose = F.when(~tagged, clean_trace(content)).otherwise("")
+    said = lambda text, source: F.struct(text.alias("text"), F.lit(source).alias("source"))
+    # each text is worked out once, and the first that says something is taken
+    found = F.array(said(visible, "visible_cot"), said(clean_trace(reasoning), "native_reasoning"), said(prose, "untagged_prose"))
+    return F.coalesce(F.get(F.filter(found, lambda f: f["text"] != ""), F.lit(0)), said(F.lit(""), "none"))
 
 
 def missing_answer(content: Column, finish_reason: Column) -> Column:

@@ -96,8 +96,8 @@ def overlap(a: Column, b: Column) -> Column:
 
 def token_prf(a: Column, b: Column, ascii_only: bool = False) -> Column:
     """Struct of precision, recall and f1 over bags of words; both empty gives 1, one empty 0."""
-    p, r = tokens(a, ascii_only), tokens(b, ascii_only)
-    return prf_of_counts(overlap(p, r), F.size(p), F.size(r))
+    words = F.array(F.struct(tokens(a, ascii_only).alias("p"), tokens(b, ascii_only).alias("r")))  # worked out once
+    return F.transform(words, lambda w: prf_of_counts(overlap(w["p"], w["r"]), F.size(w["p"]), F.size(w["r"])))[0]
 
 
 def prf_of_counts(both: Column, n_pred: Column, n_ref: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import shapes
@@ -28,14 +28,13 @@ def stored_conversations(payloads: DataFrame, path: str = "path", body: str = "b
     return kept.groupBy("sample_id").agg(F.max_by("messages", F.struct("__path", "__at")).alias("messages"))
 
 
-def synthetic_grid(spark: SparkSession, kinds: list[str], hops: list[int], per_cell: int, seed: str) -> DataFrame:
-    """recover, hops, index, item_seed: a row for each item that a generator makes, with its own seed.
+def synthetic_grid(cells: DataFrame, per_cell: int, seed: str) -> DataFrame:
+    """recover, hops, index, item_seed: a row for each item that a generator makes of a cell (recover, hops), with its own seed.
 
     A seed depends on its cell and index alone, so a larger grid begins with
-    the same items.  The kinds and hops are literals, so nothing is joined.
+    the same items.  Cells that are given twice count once.
     """
-    cells = F.array(*[F.struct(F.lit(k).alias("recover"), F.lit(h).alias("hops")) for k in kinds for h in hops])
-    rows = spark.range(per_cell).select(F.explode(cells).alias("c"), F.col("id").cast("int").alias("index")).select("c.recover", "c.hops", "index")
+    rows = cells.select("recover", "hops").distinct().select("recover", "hops", F.explode(F.sequence(F.lit(0), F.lit(per_cell - 1))).alias("index"))
     return rows.withColumn("item_seed", F.left(F.sha2(F.concat_ws("::", F.lit(seed), "recover", F.col("hops").cast("string"), F.col("index").cast("string")), 256), F.lit(16)))
 
 

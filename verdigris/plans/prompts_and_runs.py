@@ -156,9 +156,9 @@ def stored_conversations(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sample_id", F.col("messages")[0]["role"].alias("role"), F.col("messages")[0]["content"].alias("content"))
 
 
-@query("SELECT r AS recover, h AS hops, i::INTEGER AS index, left(sha256('7::' || r || '::' || h || '::' || i), 16) AS item_seed FROM (SELECT unnest(['membership', 'ontology', 'property']) AS r), (SELECT unnest([1, 2, 3, 4]) AS h), range(40) t(i)")
+@query("SELECT r AS recover, h AS hops, i::INTEGER AS index, left(sha256('7::' || r || '::' || h || '::' || i), 16) AS item_seed FROM (SELECT DISTINCT kind AS r, size % 4 + 1 AS h FROM [grid] g), range(40) t(i)")
 def synthetic_grid(spark: SparkSession, d: str) -> DataFrame:
-    return episodes.synthetic_grid(spark, ["membership", "ontology", "property"], [1, 2, 3, 4], 40, "7")
+    return episodes.synthetic_grid(fixture(spark, d, "grid").select(F.col("kind").alias("recover"), (F.col("size") % 4 + 1).alias("hops")), 40, "7")
 
 
 @query(

@@ -67,11 +67,12 @@ def whole_files(spark: SparkSession, d: str) -> DataFrame:
     return whole.groupBy("model_id").agg(F.sum(n).cast("bigint").alias("n"), F.sum(F.when(F.endswith("text", F.lit("\n")), n)).cast("bigint").alias("good"))
 
 
-@query("SELECT 'x/' || p || '.json' AS path, s AS split FROM (VALUES ('new-dev_1', 'dev')) t(p, s)")
+@query("SELECT min('x/' || CASE WHEN n_nationkey % 5 = 2 THEN 'new-dev_' || n_nationkey ELSE 'z_dev' END || '.json') AS path, 'dev' AS split FROM nation WHERE n_nationkey % 5 IN (2, 4)")
 def split_choice(spark: SparkSession, d: str) -> DataFrame:
     """The split that comes first, by tokens of the name; 'testament' is no test split."""
-    names = spark.createDataFrame([(f"x/{p}.json",) for p in ("train", "testament", "new-dev_1", "validation", "z_dev")], "path string")
-    return readers.pick_split(names)
+    k = F.col("n_nationkey")
+    name = F.when(k % 5 == 0, "train").when(k % 5 == 1, "testament").when(k % 5 == 2, F.concat(F.lit("new-dev_"), k.cast("string"))).when(k % 5 == 3, "validation").otherwise("z_dev")
+    return readers.pick_split(table(spark, d, "nation").select(F.concat(F.lit("x/"), name, F.lit(".json")).alias("path")))
 
 
 @query(
@@ -124,10 +125,19 @@ def redacted(spark: SparkSession, d: str) -> DataFrame:
     return g.select("id", *[F.col("c")[k].alias(k) for k in ("name", "api_key", "Auth-Token")])
 
 
-@query("SELECT i::INTEGER AS row_no, CASE WHEN i = 0 THEN '{\"a\": 1, \"b\": \"x\"}' ELSE '{\"a\": 2, \"b\": \"y\"}' END AS payload FROM range(2) t(i)")
+@query(
+    """SELECT id, n AS row_no, CASE WHEN n = 0 THEN size ELSE id END AS a, CASE WHEN n = 0 THEN name ELSE '7' END AS b, 'number string' AS kinds
+FROM (SELECT *, unnest(CASE WHEN id % 4 < 2 THEN [0, 1] ELSE [] END)::INTEGER AS n FROM [grid] g) q"""
+)
 def payload_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A small payload of lists by column, as rows."""
-    return readers.config_rows(spark, {"a": [1, 2], "b": ["x", "y"]})
+    """Payloads that are a list of objects or an object of lists, as rows; broken ones and others have none."""
+    g = fixture(spark, d, "grid")
+    one, two = F.struct(F.col("size").alias("a"), F.col("name").alias("b")), F.struct(F.col("id").alias("a"), F.lit("7").alias("b"))
+    columns = F.struct(F.array(F.col("size").cast("bigint"), F.col("id").cast("bigint")).alias("a"), F.array(F.col("name"), F.lit("7"), F.lit("beyond the shorter list")).alias("b"))
+    payload = F.when(F.col("id") % 4 == 0, F.to_json(F.array(one, two))).when(F.col("id") % 4 == 1, F.to_json(columns)).when(F.col("id") % 4 == 2, "[{torn").otherwise("12")
+    rows = g.select("id", F.posexplode(readers.payload_rows(payload)).alias("row_no", "row"))
+    kind = lambda k: F.when(F.rlike("row", F.lit(f'"{k}":"')), "string").otherwise("number")
+    return rows.select("id", "row_no", F.get_json_object("row", "$.a").cast("bigint").alias("a"), F.get_json_object("row", "$.b").alias("b"), F.concat_ws(" ", kind("a"), kind("b")).alias("kinds"))
 
 
 # ---------------------------------------------------------------- planning and turns

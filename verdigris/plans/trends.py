@@ -105,13 +105,14 @@ def interaction_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT * FROM (VALUES ('a', 'single', 'static', true), ('b', 'multi', 'static', true), ('c', 'none', 'static', false), ('d', 'none', 'interactive', false)) t(dataset_id, cardinality, delivery, objective)),
+    """WITH d AS (SELECT n_name AS dataset_id, CASE WHEN n_nationkey % 4 = 0 THEN 'single' WHEN n_nationkey % 4 = 1 THEN 'multi' ELSE 'none' END AS cardinality, CASE WHEN n_nationkey % 4 = 3 THEN 'interactive' ELSE 'static' END AS delivery, n_nationkey % 4 < 2 AS objective FROM nation),
   g AS (SELECT d.*, p, s FROM d, unnest(['io', 'cot', 'self-consistency', 'n/a']) x(p), unnest(['SCS', 'MCS', 'BOV', 'n/a']) y(s)
     WHERE (p = 'n/a') = (delivery <> 'static') AND (s = 'n/a') = (delivery <> 'static' OR cardinality = 'none'))
 SELECT dataset_id, p AS prompt_mode, s AS selection_mode, NOT ((p = 'self-consistency' AND NOT objective) OR (s = 'SCS' AND cardinality = 'multi') OR (s = 'MCS' AND cardinality = 'single') OR (s = 'BOV' AND p = 'self-consistency')) AS accepted FROM g"""
 )
 def mode_admission(spark: SparkSession, d: str) -> DataFrame:
-    sets = spark.createDataFrame([("a", "single", "static", True), ("b", "multi", "static", True), ("c", "none", "static", False), ("d", "none", "interactive", False)], "dataset_id string, cardinality string, delivery string, objective boolean")
+    k = F.col("n_nationkey") % 4
+    sets = table(spark, d, "nation").select(F.col("n_name").alias("dataset_id"), F.when(k == 0, "single").when(k == 1, "multi").otherwise("none").alias("cardinality"), F.when(k == 3, "interactive").otherwise("static").alias("delivery"), (k < 2).alias("objective"))
     return modes.mode_grid(sets).select("dataset_id", "prompt_mode", "selection_mode", F.col("skip_reason").isNull().alias("accepted"))
 
 

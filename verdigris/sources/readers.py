@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,12 +89,20 @@ def zip_join(left: DataFrame, right: DataFrame, position: str = "line_no") -> Da
     return left.join(right, position)
 
 
-def config_rows(spark: SparkSession, payload: dict | list) -> DataFrame:
-    """Rows of a small payload that the driver parsed: a list of objects, or an object of lists."""
-    import json
-
-    rows = payload if isinstance(payload, list) else [dict(zip(payload, r, strict=False)) for r in zip(*payload.values(), strict=False)]
-    return spark.createDataFrame([(k, json.dumps(r, sort_keys=True)) for k, r in enumerate(rows)], "row_no int, payload string")
+def payload_rows(payload: Column) -> Column:
+    """The rows of a JSON payload as an array of JSON objects: a list of objects, or an object of lists, cut at its shortest list.
+
+    What is neither, or is no JSON, has no rows.  Numbers and strings stay what they are.
+    """
+    none = F.array().cast("array<string>")
+    v = F.try_parse_json(payload)
+    kind = F.coalesce(F.schema_of_variant(v), F.lit(""))
+    listed = F.transform(v.cast("array<variant>"), lambda e: F.to_json(e))
+    by_name = F.map_entries(v.try_cast("map<string,array<variant>>"))
+    n = F.array_min(F.transform(by_name, lambda e: F.size(e["value"])))
+    row = lambda i: F.to_json(F.map_from_entries(F.transform(by_name, lambda e: F.struct(e["key"], F.get(e["value"], i)))))
+    across = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), row))
+    return F.coalesce(F.when(F.startswith(kind, F.lit("ARRAY")), listed).when(F.startswith(kind, F.lit("OBJECT")), across), none)
 
 
 def deep_merge(base: dict, override: dict) -> dict:
