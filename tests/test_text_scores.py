@@ -36,5 +36,9 @@ def test_lcs_and_overlap(rows):
 def test_long_texts(rows):
     """Twenty thousand words on either side; a null has no length."""
     long = [f"w{k * k % 5003}" for k in range(20_000)]
-    got = rows("k int, a array<string>, b array<string>", [(0, long, long[1:] + ["end"]), (1, None, long)], "k", text.lcs_length(F.col("a"), F.col("b")), text.overlap(F.col("a"), F.col("b")))
-    assert dict((k, n) for k, n, _ in got) == {0: 19_999, 1: None} and got[0][2] == 19_999
+    got = rows("k int, a array<string>, b array<string>", [(0, long, long[1:] + ["end"]), (1, None, long)], "k", text.lcs_length(F.col("a"), F.col("b")))
+    assert dict(got) == {0: 19_999, 1: None}
+    p, r = " ".join(long), " ".join([*long[5:], "the", "end"])
+    got = rows("k int, p string, r string", [(0, p, r), (1, None, "x"), (2, "the", None)], "k", text.token_prf(F.col("p"), F.col("r")))
+    assert [tuple(prf) for _, prf in got[1:]] == [(0.0, 0.0, 0.0), (1.0, 1.0, 1.0)]
+    assert tuple(got[0][1])[:2] == (19_995 / 20_000, 19_995 / 19_996)
