@@ -41,9 +41,12 @@ def bm25_topk(queries: DataFrame, inventory: DataFrame, query_id: str, doc_id: s
     known = asked.join(idf, "t")
     ceiling = known.groupBy("q").agg(F.sum("idf").alias("top"))
     norm = k1 * (1 - b + b * F.col("len") / F.col("avg"))
-    met = known.join(tf, "t")
-    if allowed is not None:
-        met = met.join(allowed.select(F.col(query_id).alias("q"), F.col(doc_id).alias("d")).distinct(), ["q", "d"], "left_semi")
+    if allowed is None:
+        met = known.join(tf, "t")
+    else:
+        # a query's terms meet its own documents before they meet postings
+        pairs = allowed.select(F.col(query_id).alias("q"), F.col(doc_id).alias("d")).distinct()
+        met = known.join(pairs, "q").join(tf, ["t", "d"])
     hits = met.join(size, "d").groupBy("q", "d").agg(F.sum(F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + norm)).alias("s"))
     scored = hits.join(ceiling, "q").select("q", "d", (F.col("s") / F.col("top")).alias("score")).where(F.col("score") >= threshold)
     # rounded, so that the order of a sum doesn't decide between documents of equal score
