@@ -34,7 +34,7 @@ def test_templates_that_fail(tmp_path):
     (tmp_path / "a.yaml").write_text("templates:\n  - id: x\n    messages: [{role: user, content: 'q {{ a }}'}]\n  - id: y\n    version: 2\n    messages: [{role: user, content: z}]\n")
     found = documents.templates([tmp_path])
     assert sorted(found) == ["x", "y"] and found["y"]["version"] == "2" and found["x"]["version"] == "1.0"
-    for bad in ("{{ b }}", "{% if a %}x{% endif %}"):
+    for bad in ("{{ b }}", "{% if a %}x", "{% if a %}{% for k in b %}{% endfor %}{% endif %}", "{% else %}", "{{ a | nothing }}", "{{ a b }}", "{% for %}{% endfor %}"):
         with pytest.raises(prompts.TemplateError):
             prompts.rendered([{"role": "user", "content": bad}], {"a": F.lit(1)})
     with pytest.raises(prompts.TemplateError):

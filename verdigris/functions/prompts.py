@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verdigris.functions import text
+from verdigris.functions.templates import TemplateError, compiled
 
 # The wording that models are sent; request identities depend on it.
 DIRECT = "Answer directly. Do not explain your reasoning."
@@ -34,10 +34,6 @@ MESSAGE = "array<struct<role:string,content:string>>"
 BLANKS = "^\\s+|\\s+$"
 
 
-class TemplateError(ValueError):
-    """A template that cannot be read, or that names what its samples do not have."""
-
-
 def _filled(wording: str, *values: Column) -> Column:
     """The wording with its braces filled by columns."""
     pieces = wording.split("{}")
@@ -146,27 +142,15 @@ def protocol_messages(parts: Mapping[str, Column], prompt_mode: Column) -> Colum
 
 
 def rendered(template: list[Mapping[str, str]], fields: Mapping[str, Column], required: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> Column:
-    """The messages of a template with `{{ name }}` places, which become one expression.
+    """The messages of a template with places, conditions and loops (see templates.py), which become one expression.
 
     A name that is neither a field nor optional is an error when the plan is
-    made, and so is a template with control blocks, which need a template
-    language.  A message that renders to nothing is left out; a null field
-    renders as nothing.
+    made, wherever it stands, and so is a block that is not closed.  A message
+    that renders to nothing is left out; a null field renders as nothing.
     """
     missing = [r for r in required if r not in fields]
     known = {name: F.lit("") for name in optional} | dict(fields)
-
-    def content(body: str) -> Column:
-        if "{%" in body:
-            raise TemplateError("a template with control blocks")
-        out = []
-        for k, piece in enumerate(re.split(r"\{\{\s*(.*?)\s*\}\}", body, flags=re.DOTALL)):
-            if k % 2 and piece not in known:
-                missing.append(piece)
-            out.append(F.coalesce(known.get(piece, F.lit("")).cast("string"), F.lit("")) if k % 2 else F.lit(piece))
-        return F.regexp_replace(F.concat(*out), BLANKS, "")
-
-    messages = [F.struct(F.lit(m["role"]).alias("role"), content(m["content"]).alias("content")) for m in template]
+    messages = [F.struct(F.lit(m["role"]).alias("role"), F.regexp_replace(compiled(m["content"], known, missing), BLANKS, "").alias("content")) for m in template]
     if missing:
         raise TemplateError(f"samples lack {sorted(set(missing))}")
     return F.filter(F.array(*messages), lambda m: m["content"] != "").cast(MESSAGE)

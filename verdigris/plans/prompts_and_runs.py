@@ -71,6 +71,32 @@ def rendered_templates(spark: SparkSession, d: str) -> DataFrame:
     return g.select("id", F.size("m").alias("n"), F.try_element_at("m", F.lit(-1))["content"].alias("last"))
 
 
+@query(
+    """SELECT id, CASE WHEN size % 2 = 0 THEN 'Options:' || chr(10) || '1. ' || name || ' (first)' || chr(10) || '2. ' || kind || CASE WHEN size % 4 = 0 THEN chr(10) || '3. ' || upper(model_id) ELSE '' END || chr(10)
+    ELSE CASE WHEN size % 3 = 0 THEN 'A third of ' || size || '.' ELSE 'Neither.' END || chr(10) END || 'Mode ' || CASE WHEN prompt_mode IN ('cot', 'other') AND NOT (size = 7) THEN 'reasons' ELSE 'answers' END || '; n=' || size AS user FROM [grid] g"""
+)
+def templates_with_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A loop over an array, with conditions inside it and around it."""
+    body = """{# options, if there are any #}
+    {% if options %}
+Options:
+    {% for o in options %}
+{{ loop.index }}. {% if o.loud %}{{ o.name | upper }}{% else %}{{ o.name }}{% endif %}{% if loop.first %} (first){% endif %}
+
+    {% endfor %}
+    {% elif third %}
+A third of {{ size }}.
+    {% else %}
+Neither.
+    {% endif %}
+Mode {% if mode in ways and not size == 7 %}reasons{% else %}answers{% endif %}; n={{ size }}"""
+    option = lambda c, loud: F.struct(F.col(c).alias("name"), F.lit(loud).alias("loud"))
+    options = F.when(F.col("size") % 4 == 0, F.array(option("name", False), option("kind", False), option("model_id", True))).when(F.col("size") % 2 == 0, F.array(option("name", False), option("kind", False)))
+    fields = {"options": options, "third": F.col("size") % 3 == 0, "size": F.col("size"), "mode": F.col("prompt_mode"), "ways": F.array(F.lit("cot"), F.lit("other"))}
+    g = fixture(spark, d, "grid").withColumn("m", prompts.rendered([{"role": "user", "content": body}], fields))
+    return g.select("id", F.col("m")[0]["content"].alias("user"))
+
+
 # ---------------------------------------------------------------- judges and notation
 
 
