@@ -41,3 +41,12 @@ def test_episodes_end_at_the_limit(spark, small, tmp_path):
 def test_event_windows(spark, small):
     got = event_counts(spark.read.parquet(f"{small}/events.parquet")).collect()
     assert sum(r["n"] for r in got) == 1000
+
+
+def test_dialogues_in_a_folder_of_files(spark, small, tmp_path):
+    """The table may be one file or a folder of files."""
+    from verdigris.plans.registry import QUERIES
+
+    spark.read.parquet(f"{small}/conversations.parquet").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    one, many = (sorted(map(tuple, QUERIES["streamed_episodes"](spark, d).collect())) for d in (small, str(tmp_path)))
+    assert one and one == many

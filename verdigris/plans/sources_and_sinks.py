@@ -250,7 +250,8 @@ def streamed_episodes(spark: SparkSession, d: str) -> DataFrame:
     """Dialogues as their turns arrive; of each the latest state."""
     kind = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").schema
     out = scratch(spark, f"episodes_{_fresh(spark)}")
-    turns = spark.readStream.schema(kind).option("pathGlobFilter", "conversations.parquet").parquet(d).fillna("", ["text"])
+    # a pattern that only the table matches: a stream reads a folder or a pattern, and the table may be a file or a folder of files
+    turns = spark.readStream.schema(kind).parquet(f"{d}/conversations.parque[t]").fillna("", ["text"])
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/b={epoch}")
