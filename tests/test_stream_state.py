@@ -128,3 +128,19 @@ def test_reports_come_once(spark, tmp_path):
 def test_findings_shown(rows, limit):
     got = rows("keys array<string>, held array<string>", [(["p.x", "q"], ["p", "p.x", "p.y", "p.y.z", "q"]), (["none"], ["p"]), ([], [])], episodes.findings_shown(F.col("keys"), F.col("held"), limit))
     assert got == [(["p", "p.x", "p.y"] + ["q"] * (limit > 1),), ([],), ([],)]
+
+
+def test_episodes_of_one_bucket(spark, tmp_path):
+    """Many episodes, named by integers, share a call and a value of state; each goes its own way."""
+    schema = ASKS.replace("episode string", "episode bigint")
+    parts = [[ask(e, t, ["gas"]) for e in range(40) if e % 2 == 0 or t > 0] for t in (1, 0, 2)]
+    parts.append([ask(e, 0, ["gas"]) for e in range(1, 40, 2)])
+    for n, part in enumerate(parts):
+        spark.createDataFrame([p for p in part], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    case = spark.createDataFrame([(e, "lab", "gas") for e in range(40)], "episode bigint, category string, key string")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    done = episodes.run_episodes(stream, case, episodes.Rules(max_turns=3), buckets=1, start=lambda key, first: {"own": key}, step=lambda own, turn: own["own"] < 30)
+    done.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["episode"], r["turn"], r["fresh"], r["ended"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = [(e, t, int(t == 0), "turn_limit" if t == 2 else None) for e in range(30) for t in range(3)] + [(e, 0, 0, "environment") for e in range(30, 40)]
+    assert got == want

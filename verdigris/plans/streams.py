@@ -40,10 +40,11 @@ def streamed_disclosures(spark: SparkSession, d: str) -> DataFrame:
     case = i.select("episode", "category", F.explode(F.array(here, *[F.concat(here, F.lit(s)) for s in (".x", ".y", ".y.z")])).alias("key"))
     asks = i.select("episode", (F.col("n") - 1).alias("turn"), "category", F.array(F.concat(before, F.lit(".x")), F.concat(here, F.lit(".x")), F.lit("none")).alias("keys"), F.lit(None).cast("string").alias("said"), (F.col("n") * 1000 + F.col("qty") * 10).cast("bigint").alias("tokens"), ((F.col("score") == 0) & (F.col("n") % 2 == 1)).alias("failed"), (F.col("qty") > 48).alias("ends"))
     at = fresh(spark, "disclosures")
-    # a batch has turns from anywhere in an episode
-    asks.repartition(3, F.xxhash64("episode", "turn")).write.parquet(f"{at}/in")
+    # three batches with turns from anywhere in an episode, each of as many files as tasks may read
+    files = spark.sparkContext.defaultParallelism
+    asks.repartition(3 * files, F.xxhash64("episode", "turn")).write.parquet(f"{at}/in")
     case.write.parquet(f"{at}/case")
-    stream = spark.readStream.schema(asks.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    stream = spark.readStream.schema(asks.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
     answered = episodes.run_episodes(stream, spark.read.parquet(f"{at}/case"), RULES)
     answered.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").withColumn("shown", F.array_join("shown", ","))

@@ -4,6 +4,10 @@ What is kept for an episode is bounded by its case and its turn limit: the keys
 that it has revealed, how often each action was asked, and turns that came
 before their turn.  All of it goes when the episode ends or falls idle; that it
 has ended is remembered for a while, so that late turns change nothing.
+
+Episodes are dealt by a hash into buckets, and a bucket's episodes are one group
+with one value of state: a call from Spark to Python and back costs more than
+the turns of an episode, and so there is one for each bucket and batch.
 """
 
 from __future__ import annotations
@@ -15,13 +19,17 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegralType
 
 from verdigris.functions.stats import context_reserve
 from verdigris.operators.episodes import parent_key
 
-#: Turns as the processor reads them.
-TURN = "turn bigint, category string, said string, shown array<string>, room bigint, failed boolean, ends boolean, time bigint"
+#: A turn as the processor reads it, in JSON.
+TURN = ("turn", "category", "said", "shown", "room", "failed", "ends", "time")
+#: What is kept of a bucket: of each episode, as JSON, its next turn, what its environment keeps, its last time, what it has revealed, asked and heard too early, or why it has ended, and when its timer is due.
+STATE = "kept string"
+OUT = ("turn", "shown", "fresh", "n_revealed", "n_turns", "ended")
 #: Why an episode ends.
 NOT_STARTED, CONTEXT, FAILED_CALL, ENVIRONMENT, ENVIRONMENT_FAILED, TURN_LIMIT, IDLE = "not_started", "context", "failed_call", "environment", "environment_failed", "turn_limit", "idle"
 
@@ -47,10 +55,11 @@ class Rules:
 def findings_shown(keys: Column, held: Column, limit: int = 6) -> Column:
     """What a request discloses: of the keys that the case holds, the first `limit` parents, each with its direct children."""
     parents = F.slice(F.array_distinct(F.transform(F.filter(keys, lambda k: F.array_contains(held, k)), parent_key)), 1, limit)
-    return F.array_sort(F.array_distinct(F.filter(held, lambda k: F.array_contains(parents, k) | F.array_contains(parents, parent_key(k)))))
+    # bound by a list of one, as the condition of a filter is worked out anew for each element
+    return F.transform(F.array(parents), lambda p: F.array_sort(F.array_distinct(F.filter(held, lambda k: F.array_contains(p, k) | F.array_contains(p, parent_key(k))))))[0]
 
 
-class EpisodeProcessor(StatefulProcessor):
+class EpisodeProcessor:
     """Answers each turn of an episode in order.
 
     `start` opens an episode: it gets the key and the first turn and returns a
@@ -60,29 +69,45 @@ class EpisodeProcessor(StatefulProcessor):
     that the environment, not the dialogue, has failed.
     """
 
-    def __init__(self, rules: Rules, key: str, timed: bool, start: Callable | None = None, step: Callable | None = None):
-        self.rules, self.key, self.timed, self.start, self.step = rules, key, timed, start, step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.next = handle.getValueState("next", "turn bigint, own string, time bigint")
-        self.revealed = handle.getMapState("revealed", "key string", "turn bigint")
-        self.asked = handle.getMapState("asked", "category string", "n bigint")
-        self.early = handle.getListState("early", TURN)
-        self.ended = handle.getValueState("ended", "reason string")
-
-    def _wake(self, at: int | None, timerValues) -> None:  # noqa: N803
-        """Set the episode's only timer."""
-        if self.timed and at is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
-
-    def _end(self, reason: str, last: int, timerValues) -> None:  # noqa: N803
-        for kept in (self.next, self.revealed, self.asked, self.early):
-            kept.clear()
-        self.ended.update((reason,))
-        self._wake(last + self.rules.remember_ms, timerValues)
+    def __init__(self, rules: Rules, named: Callable, timed: bool, start: Callable | None = None, step: Callable | None = None):
+        self.rules, self.named, self.timed, self.start, self.step = rules, named, timed, start, step
+
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = dict(json.loads(state.get[0])) if state.exists else {}
+        now = state.getCurrentWatermarkMs() if self.timed else None
+        heard: dict[str, list[str]] = {}
+        if not state.hasTimedOut:
+            for part in parts:
+                for episode, turn in zip(part["__episode"], part["__turn"], strict=True):
+                    heard.setdefault(episode, []).append(turn)
+        out = []
+        for episode, turns in heard.items():
+            if episode not in known or known[episode]["ended"] is None:
+                known[episode], rows = self._answered(episode, turns, known.get(episode), now)
+                out.extend((episode, *r) for r in rows)
+        for episode in [e for e, kept in known.items() if self.timed and kept["at"] is not None and kept["at"] <= now]:
+            if known[episode]["ended"] is None:
+                n, revealed = known[episode]["next"], len(known[episode]["revealed"])
+                known[episode] = self._end(IDLE, known[episode]["last"], now)
+                out.append((episode, n, [], 0, revealed, n, IDLE))
+            else:
+                del known[episode]
+        due = min((kept["at"] for kept in known.values() if kept["at"] is not None), default=None)
+        if known:
+            state.update((json.dumps(list(known.items())),))
+            if due is not None:
+                state.setTimeoutTimestamp(due)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["__episode", *OUT])
+
+    def _due(self, at: int | None, now: int | None) -> int | None:
+        """When an episode's only timer is due: after the watermark."""
+        return max(at, now + 1) if self.timed and at is not None else None
+
+    def _end(self, reason: str, last: int, now: int | None) -> dict:
+        return {"ended": reason, "at": self._due(last + self.rules.remember_ms, now)}
 
     def _turn(self, row: tuple, n: int, own: dict, revealed: dict, asked: dict) -> tuple[list, int, str | None]:
         """What a turn shows, how much of it is new, and why the episode ends there."""
@@ -108,63 +133,38 @@ class EpisodeProcessor(StatefulProcessor):
         revealed |= dict.fromkeys(fresh, n)
         return list(shown), len(fresh), TURN_LIMIT if n + 1 >= self.rules.max_turns else None
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.ended.exists():
-            return
-        waiting: dict[int, tuple] = {r[0]: tuple(r) for r in self.early.get()} if self.early.exists() else {}
-        for part in rows:
-            for r in zip(*[part[c.split()[0]] for c in TURN.split(", ")], strict=True):
-                turn = None if pd.isna(r[0]) else int(r[0])
-                if turn is not None and turn >= 0:
-                    waiting.setdefault(turn, (turn, r[1], r[2], [] if r[3] is None else [str(k) for k in r[3]], None if pd.isna(r[4]) else int(r[4]), bool(r[5]), bool(r[6]), 0 if pd.isna(r[7]) else int(r[7])))
-        state = self.next.get() if self.next.exists() else None
-        n, own, last = (state[0], json.loads(state[1]), state[2]) if state is not None else (0, {}, 0)
-        last = max([last, *(r[7] for r in waiting.values())])
-        revealed = {k[0]: v[0] for k, v in self.revealed.iterator()} if state is not None else {}
-        asked = {k[0]: v[0] for k, v in self.asked.iterator()} if state is not None else {}
-        known, counts, out, reason = set(revealed), dict(asked), [], None
+    def _answered(self, episode: str, turns: list[str], kept: dict | None, now: int | None) -> tuple[dict, list[tuple]]:
+        """What is kept of an episode after these turns, and the rows of those that were answered."""
+        kept = kept or {"next": 0, "own": {}, "last": 0, "revealed": {}, "asked": {}, "early": []}
+        n, own, revealed, asked = kept["next"], kept["own"], kept["revealed"], kept["asked"]
+        waiting: dict[int, tuple] = {r[0]: tuple(r) for r in kept["early"]}
+        for row in map(json.loads, turns):
+            turn = row.get("turn")
+            if turn is not None and turn >= 0:
+                waiting.setdefault(turn, (turn, *(row.get(c) for c in TURN[1:])))
+        last = max([kept["last"], *(r[7] or 0 for r in waiting.values())])
+        out, reason = [], None
         while n in waiting and reason is None:
             if n == 0 and self.start is not None:
                 try:
-                    own = self.start(key[0], {"category": waiting[0][1], "said": waiting[0][2]})
+                    own = self.start(self.named(episode), {"category": waiting[0][1], "said": waiting[0][2]})
                 except Exception:  # noqa: BLE001 - an episode that cannot start is an error of its own
-                    out.append((key[0], 0, [], 0, 0, 0, NOT_STARTED))
+                    out.append((0, [], 0, 0, 0, NOT_STARTED))
                     reason = NOT_STARTED
                     break
             shown, fresh, reason = self._turn(waiting.pop(n), n, own, revealed, asked)
             used = n if reason == CONTEXT else n + 1
-            out.append((key[0], n, shown, fresh, len(revealed), used, reason))
+            out.append((n, shown, fresh, len(revealed), used, reason))
             n += 1
         if reason is not None:
-            self._end(reason, last, timerValues)
-        else:
-            self.next.update((n, json.dumps(own), last))
-            for k in revealed.keys() - known:
-                self.revealed.updateValue((k,), (revealed[k],))
-            for c in asked:
-                if asked[c] != counts.get(c):
-                    self.asked.updateValue((c,), (asked[c],))
-            # turns that are past, or come again, are not kept
-            late = [waiting[t] for t in sorted(waiting) if n < t < self.rules.max_turns]
-            self.early.put(late) if late else self.early.clear()
-            self._wake(None if self.rules.idle_ms is None else last + self.rules.idle_ms, timerValues)
-        if out:
-            yield pd.DataFrame(out, columns=[self.key, "turn", "shown", "fresh", "n_revealed", "n_turns", "ended"])
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.ended.exists() or not self.next.exists():
-            self.ended.clear()
-            return
-        n, _, last = self.next.get()
-        revealed = sum(1 for _ in self.revealed.keys())
-        self._end(IDLE, last, timerValues)
-        yield pd.DataFrame([(key[0], n, [], 0, revealed, n, IDLE)], columns=[self.key, "turn", "shown", "fresh", "n_revealed", "n_turns", "ended"])
-
-    def close(self) -> None:
-        pass
+            return self._end(reason, last, now), out
+        # turns that are past, or come again, are not kept
+        late = [waiting[t] for t in sorted(waiting) if n < t < self.rules.max_turns]
+        at = self._due(None if self.rules.idle_ms is None else last + self.rules.idle_ms, now)
+        return {"next": n, "own": own, "last": last, "revealed": revealed, "asked": asked, "early": late, "ended": None, "at": at}, out
 
 
-def run_episodes(turns: DataFrame, case: DataFrame, rules: Rules = Rules(), episode: str = "episode", limit: int = 6, time: str | None = None, start: Callable | None = None, step: Callable | None = None) -> DataFrame:
+def run_episodes(turns: DataFrame, case: DataFrame, rules: Rules = Rules(), episode: str = "episode", limit: int = 6, time: str | None = None, start: Callable | None = None, step: Callable | None = None, buckets: int = 4096) -> DataFrame:
     """episode, turn, shown, fresh, n_revealed, n_turns, ended: a row for each turn that is answered, in append mode.
 
     turns (a stream): episode, turn (from 0), category, keys (of the case, in
@@ -183,7 +183,10 @@ def run_episodes(turns: DataFrame, case: DataFrame, rules: Rules = Rules(), epis
     the watermark come too late.  Without, no timer runs, and that an episode
     has ended is all that is kept of it.
 
-    The state needs the session's RocksDB state store (see use_state_store).
+    A batch reads and writes the buckets that it has turns for; `buckets` is
+    fixed with the checkpoint.  An episode is named by a string or an integer.
+    The session's RocksDB state store keeps the state outside the JVM's memory
+    (see use_state_store).
     """
     if rules.idle_ms is not None and time is None:
         raise ValueError("idle episodes need the time of the turns")
@@ -191,14 +194,21 @@ def run_episodes(turns: DataFrame, case: DataFrame, rules: Rules = Rules(), epis
     rows = turns.where(F.col(episode).isNotNull()).join(held, [episode, "category"], "left")
     none = F.array().cast("array<string>")
     room = F.lit(rules.window).cast("bigint") - F.col("tokens") - context_reserve(F.col("tokens"), rules.fixed, rules.share)
-    ready = rows.select(episode, F.col("turn").cast("bigint").alias("turn"), "category", "said", findings_shown(F.coalesce("keys", none), F.coalesce("__held", none), limit).alias("shown"), room.cast("bigint").alias("room"), F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("ends", F.lit(False)).alias("ends"), (F.unix_millis(F.col(time)) if time else F.lit(None).cast("bigint")).alias("time"), *([F.col(time).alias("__event")] if time else []))
-    kind = turns.schema[episode].dataType.simpleString()
-    out = f"{episode} {kind}, turn bigint, shown array<string>, fresh bigint, n_revealed bigint, n_turns bigint, ended string"
-    return ready.groupBy(episode).transformWithStateInPandas(EpisodeProcessor(rules, episode, time is not None, start, step), out, "append", "EventTime" if time else "None")
+    what = {
+        "turn": F.col("turn").cast("bigint"), "category": F.col("category"), "said": F.col("said"), "shown": findings_shown(F.coalesce("keys", none), F.coalesce("__held", none), limit), "room": room.cast("bigint"),
+        "failed": F.coalesce("failed", F.lit(False)), "ends": F.coalesce("ends", F.lit(False)), "time": F.unix_millis(F.col(time)) if time else F.lit(None).cast("bigint"),
+    }
+    name = F.col(episode).cast("string")
+    ready = rows.select(F.pmod(F.xxhash64(name), F.lit(buckets)).alias("__bucket"), name.alias("__episode"), F.to_json(F.struct(*[what[c].alias(c) for c in TURN])).alias("__turn"), *([F.col(time).alias("__event")] if time else []))
+    kind = turns.schema[episode].dataType
+    processor = EpisodeProcessor(rules, int if isinstance(kind, IntegralType) else str, time is not None, start, step)
+    out = "__episode string, turn bigint, shown array<string>, fresh bigint, n_revealed bigint, n_turns bigint, ended string"
+    answered = ready.groupBy("__bucket").applyInPandasWithState(processor, out, STATE, "append", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
+    return answered.select(F.col("__episode").cast(kind).alias(episode), *OUT)
 
 
 def use_state_store(spark) -> None:
-    """The state store that the processor needs; a session that names a store of its own keeps it."""
+    """The state store for large state; a session that names a store of its own keeps it."""
     name = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in spark.conf.get(name):
         spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
