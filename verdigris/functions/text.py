@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Fixed values.
 ARTICLES = ("a", "an", "the")
@@ -17,6 +18,11 @@ EMPTY_SELECTION = ("none", "nothing", "no option", "no options", "n/a", "-")
 PUNCTUATION = "[!-/:-@\\[-`{-~]"
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out a single time, however often f names it: Spark shares nothing between expressions with lambdas."""
+    return F.transform(F.array(x), lambda v: f(v))[0]
+
+
 def _text(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
@@ -91,8 +97,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 def token_prf(a: Column, b: Column, ascii_only: bool = False) -> Column:
     """Struct of precision, recall and f1 over bags of words; both empty gives 1, one empty 0.  Linear in the words of a row, and nothing is shuffled."""
-    n = _bags(tokens(a, ascii_only), tokens(b, ascii_only))
-    return prf_of_counts(n["both"], n["a"], n["b"])
+    return once(_bags(tokens(a, ascii_only), tokens(b, ascii_only)), lambda n: prf_of_counts(n["both"], n["a"], n["b"]))
 
 
 @F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("both", "a", "b")]))
@@ -113,8 +118,9 @@ def prf_of_counts(both: Column, n_pred: Column, n_ref: Column) -> Column:
 
 def set_prf(pred: Column, gold: Column) -> Column:
     """Struct of precision, recall and f1 over sets; both empty gives 1, one empty 0."""
-    p, g = F.array_distinct(pred), F.array_distinct(gold)
-    return prf_of_counts(F.size(F.array_intersect(p, g)), F.size(p), F.size(g))
+    sets = F.struct(F.array_distinct(pred).alias("p"), F.array_distinct(gold).alias("g"))
+    sizes = once(sets, lambda s: F.struct(F.size(F.array_intersect(s["p"], s["g"])).alias("both"), F.size(s["p"]).alias("p"), F.size(s["g"]).alias("g")))
+    return once(sizes, lambda n: prf_of_counts(n["both"], n["p"], n["g"]))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -140,6 +146,12 @@ def _lcs_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("both", "a", "b")]))
+def _lcs_bags(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Length of the longest common subsequence, and the words of either side."""
+    return pd.DataFrame({"both": [_lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], "a": a.map(len), "b": b.map(len)}, dtype="int32")
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two arrays of words, 64 cells of the table at a time; null if either is."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(_lcs_lengths(a, b))
@@ -147,25 +159,43 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 def rouge_l(a: Column, b: Column, beta: float = 1.2, ascii_only: bool = False) -> Column:
     """Struct of precision, recall and f from the longest common subsequence of words; an empty side gives 0."""
-    p, r = tokens(a, ascii_only), tokens(b, ascii_only)
-    n = lcs_length(p, r)
-    precision, recall = n / F.nullif(F.size(p), F.lit(0)), n / F.nullif(F.size(r), F.lit(0))
-    f = (1 + beta * beta) * precision * recall / F.nullif(recall + beta * beta * precision, F.lit(0.0))
-    part = lambda x: F.coalesce(F.when(n > 0, x), F.lit(0.0))
-    return F.struct(part(precision).alias("precision"), part(recall).alias("recall"), part(f).alias("f"))
+
+    def scores(n: Column) -> Column:
+        precision, recall = n["both"] / F.nullif(n["a"], F.lit(0)), n["both"] / F.nullif(n["b"], F.lit(0))
+        f = (1 + beta * beta) * precision * recall / F.nullif(recall + beta * beta * precision, F.lit(0.0))
+        part = lambda x: F.coalesce(F.when(n["both"] > 0, x), F.lit(0.0))
+        return F.struct(part(precision).alias("precision"), part(recall).alias("recall"), part(f).alias("f"))
+
+    return once(_lcs_bags(tokens(a, ascii_only), tokens(b, ascii_only)), scores)
+
+
+@lru_cache(None)
+def _gram_bags(max_n: int) -> Callable[[Column, Column], Column]:
+    kind = StructType([StructField("both", ArrayType(IntegerType())), StructField("a", IntegerType()), StructField("b", IntegerType())])
+
+    @F.pandas_udf(kind)
+    def bags(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        """Runs of 1 to max_n words that two texts share, repeats counted, and the words of either."""
+        grams = lambda x, n: Counter(zip(*[x[k:] for k in range(n)], strict=False))
+        shared = [[sum((grams(x, n) & grams(y, n)).values()) for n in range(1, max_n + 1)] for x, y in zip(map(list, a), map(list, b), strict=True)]
+        return pd.DataFrame({"both": shared, "a": a.map(len).astype("int32"), "b": b.map(len).astype("int32")})
+
+    return bags
 
 
 def bleu(a: Column, b: Column, max_n: int = 4, ascii_only: bool = False) -> Column:
     """Sentence BLEU with add-one smoothing; orders longer than the prediction are skipped, an empty side gives 0."""
-    p, r = tokens(a, ascii_only), tokens(b, ascii_only)
-    total, used = F.lit(0.0), F.lit(0)
-    for n in range(1, max_n + 1):
-        grams = lambda x, n=n: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        there = F.size(p) >= n
-        total = total + F.when(there, F.log((overlap(grams(p), grams(r)) + 1.0) / (F.size(p) - n + 2.0))).otherwise(0.0)
-        used = used + there.cast("int")
-    brevity = F.exp(F.least(F.lit(0.0), 1 - F.size(r) / F.nullif(F.size(p), F.lit(0))))
-    return F.when((F.size(p) == 0) | (F.size(r) == 0), 0.0).otherwise(F.exp(total / F.nullif(used, F.lit(0))) * brevity)
+
+    def score(m: Column) -> Column:
+        total, used = F.lit(0.0), F.lit(0)
+        for n in range(1, max_n + 1):
+            there = m["a"] >= n
+            total = total + F.when(there, F.log((m["both"][n - 1] + 1.0) / (m["a"] - n + 2.0))).otherwise(0.0)
+            used = used + there.cast("int")
+        brevity = F.exp(F.least(F.lit(0.0), 1 - m["b"] / F.nullif(m["a"], F.lit(0))))
+        return F.when((m["a"] == 0) | (m["b"] == 0), 0.0).otherwise(F.exp(total / F.nullif(used, F.lit(0))) * brevity)
+
+    return once(_gram_bags(max_n)(tokens(a, ascii_only), tokens(b, ascii_only)), score)
 
 
 def normalize_whitespace(x: Column) -> Column:

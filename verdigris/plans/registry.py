@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,11 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))})
 
 
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """The rows over all tasks, ahead of work that is costly in each row: a narrow table lies in a few file splits, whatever the number of its rows."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(key))
+
+
 #: SQL that both engines read, tables in braces.
 FIXTURES = {
     # repeats of an item: an order's lines

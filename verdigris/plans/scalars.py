@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import extract, stats, text, validators
-from verdigris.plans.registry import fixture, query, table
+from verdigris.plans.registry import fixture, query, spread, table
 
 NORM = r"trim(regexp_replace(regexp_replace(lower(strip_accents({x})), '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+', ' ', 'g'))"
 WORDS = "list_filter(string_split(" + NORM + ", ' '), lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))"
@@ -86,7 +86,7 @@ def _token_f1(q: DataFrame, ascii_only: bool) -> DataFrame:
 @query()
 def rouge_and_bleu(spark: SparkSession, d: str) -> DataFrame:
     """ROUGE-L and BLEU of short answers; no SQL, as both walk tables of words."""
-    g = fixture(spark, d, "grid").select("id", F.concat_ws(" ", "name", "kind", "dataset_id").alias("p"), F.concat_ws(" ", "name", "dataset_id").alias("r"))
+    g = spread(fixture(spark, d, "grid")).select("id", F.concat_ws(" ", "name", "kind", "dataset_id").alias("p"), F.concat_ws(" ", "name", "dataset_id").alias("r"))
     return g.select("id", text.rouge_l(F.col("p"), F.col("r"), ascii_only=True).alias("rouge"), F.round(text.bleu(F.col("p"), F.col("r"), ascii_only=True), 9).alias("bleu")).select("id", F.round("rouge.f", 9).alias("rouge_f"), "bleu")
 
 
