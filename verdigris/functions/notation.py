@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verdigris.functions.text import once
+
 # Signs and letters that stand for names, indices, powers and operations.
 SYMBOLS = {
     "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ι": "iota", "κ": "kappa",
@@ -89,20 +91,30 @@ def plain_math(x: Column) -> Column:
 
     def step(s: Column, t: Column) -> Column:
         bare = F.regexp_replace(t, "^\\\\", "")
-        command = F.when(bare.isin(*FRACTIONS), "frac").when(bare.isin(*ROOTS), "sqrt").when(t == "\\exp", "exp")
         said = F.coalesce(F.try_element_at(meanings, t), F.when(F.rlike(t, F.lit(f"^(?:{LIBRARIES})\\s*\\.")), none).otherwise(bare))
-        blank = F.rlike(said, F.lit("^\\s+$"))
+        return once(F.struct(bare.alias("bare"), said.alias("said")), lambda w: _spelled(s, t, w["bare"], w["said"]))
+
+    def _spelled(s: Column, t: Column, bare: Column, said: Column) -> Column:
+        command = F.when(bare.isin(*FRACTIONS), "frac").when(bare.isin(*ROOTS), "sqrt").when(t == "\\exp", "exp")
+        blank, begins = F.rlike(said, F.lit("^\\s+$")), F.rlike(said, F.lit("^[A-Za-z(]"))
         opens, closes = t.isin("{", "(", "["), t.isin("}", ")", "]")
         # a command that waits for its argument, and gets it
         takes = ((s["waits"].isin("frac", "over", "exp") & (t == "{")) | ((s["waits"] == "sqrt") & opens))
         # one that does not get it is written as it is
         lost = F.when(s["waits"] == "over", F.concat(F.lit("frac("), s["held"], F.lit(")"))).when((s["waits"] == "sqrt") & (s["held"] != ""), F.concat(F.lit("sqrt"), s["held"])).otherwise(s["waits"])
-        text = F.when((s["waits"] != "") & ~takes & ~blank, F.concat(s["text"], lost)).otherwise(s["text"])
-        begins = F.rlike(said, F.lit("^[A-Za-z(]"))
-        text = F.when(s["comma"] & ~blank, F.concat(text, F.when(begins & F.rlike(F.right(text, F.lit(1)), F.lit("[A-Za-z0-9_)]")), "*").otherwise(","))).otherwise(text)
+        before = F.when((s["waits"] != "") & ~takes & ~blank, F.concat(s["text"], lost)).otherwise(s["text"])
+        after = lambda text: F.when(s["comma"] & ~blank, F.concat(text, F.when(begins & F.rlike(F.right(text, F.lit(1)), F.lit("[A-Za-z0-9_)]")), "*").otherwise(","))).otherwise(text)
+        known = F.struct(command.alias("command"), blank.alias("blank"), opens.alias("opens"), closes.alias("closes"), takes.alias("takes"))
+        return once(known, lambda k: once(once(before, after), lambda text: _gapped(s, t, said, text, k)))
+
+    def _gapped(s: Column, t: Column, said: Column, text: Column, k: Column) -> Column:
+        takes = k["takes"]
         gap = F.when(s["gap"] & ~takes & ~(s["comma"] & F.endswith(text, F.lit("*"))), F.lit(" ")).otherwise(none)
-        times = F.when((gap == "") & F.rlike(said, F.lit("^[A-Za-z]")) & F.rlike(F.right(text, F.lit(2)), F.lit("_[0-9]")), F.lit("*")).otherwise(none)
-        spaced = F.concat(text, gap)
+        times = lambda gap: F.when((gap == "") & F.rlike(said, F.lit("^[A-Za-z]")) & F.rlike(F.right(text, F.lit(2)), F.lit("_[0-9]")), F.lit("*")).otherwise(none)
+        return once(gap, lambda gap: once(F.struct(F.concat(text, gap).alias("spaced"), times(gap).alias("times")), lambda v: _taken(s, t, said, text, v["spaced"], v["times"], k)))
+
+    def _taken(s: Column, t: Column, said: Column, text: Column, spaced: Column, times: Column, k: Column) -> Column:
+        command, blank, opens, closes, takes = (k[c] for c in ("command", "blank", "opens", "closes", "takes"))
         top = F.try_element_at(s["stack"], F.lit(-1))
         fits = closes & F.coalesce(F.when(top["what"].isin("(", "root("), t == ")").when(top["what"].isin("[", "index"), t == "]").otherwise(t == "}"), no)
         what = F.when(s["waits"].isin("frac", "over", "exp") & (t == "{"), s["waits"]).when((s["waits"] == "sqrt") & (t == "["), "index").when((s["waits"] == "sqrt") & (t == "("), "root(").when(s["waits"] == "sqrt", "root").otherwise(t)
@@ -150,17 +162,21 @@ def system_sections(x: Column) -> Column:
     """
     lines = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "\\r?\\n|\\r"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: s != "")
     heads = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(head).alias("head")) for name, head in SECTIONS.items()])
-    opened = lambda s: F.try_element_at(F.filter(heads, lambda h: F.startswith(F.lower(s), h["head"])), F.lit(1))["name"]
+    opened = lambda s: once(F.lower(s), lambda low: F.try_element_at(F.filter(heads, lambda h: F.startswith(low, h["head"])), F.lit(1))["name"])
     start = F.struct(F.lit(None).cast("string").alias("at"), F.array().cast("array<struct<section:string,line:string,opens:boolean>>").alias("found"))
 
     def step(state: Column, s: Column) -> Column:
-        new = opened(s)
-        at = F.when(new.isNull(), state["at"]).when(new.isin(*BLOCKS), new)
-        row = F.struct(F.coalesce(new, state["at"]).alias("section"), s.alias("line"), new.isNotNull().alias("opens"))
-        return F.struct(at.alias("at"), F.concat(state["found"], F.filter(F.array(row), lambda r: r["section"].isNotNull())).alias("found"))
-
-    found = F.aggregate(lines, start, step)["found"]
-    of = lambda name: F.filter(found, lambda r: r["section"] == name)
-    block = lambda name: F.transform(F.filter(of(name), lambda r: ~r["opens"]), lambda r: r["line"])
-    listed = lambda name: F.coalesce(bracketed_list(F.try_element_at(of(name), F.lit(-1))["line"]), F.array().cast("array<string>"))
-    return F.map_from_arrays(F.array(*[F.lit(n) for n in SECTIONS if n != "other_units"]), F.array(*[block(n) if n in BLOCKS else listed(n) for n in SECTIONS if n != "other_units"]))
+        def read(new: Column) -> Column:
+            at = F.when(new.isNull(), state["at"]).when(new.isin(*BLOCKS), new)
+            row = F.struct(F.coalesce(new, state["at"]).alias("section"), s.alias("line"), new.isNotNull().alias("opens"))
+            return F.struct(at.alias("at"), F.concat(state["found"], F.filter(F.array(row), lambda r: r["section"].isNotNull())).alias("found"))
+
+        return once(opened(s), read)
+
+    def sections(found: Column) -> Column:
+        of = lambda name: F.filter(found, lambda r: r["section"] == name)
+        block = lambda name: F.transform(F.filter(of(name), lambda r: ~r["opens"]), lambda r: r["line"])
+        listed = lambda name: F.coalesce(bracketed_list(F.try_element_at(of(name), F.lit(-1))["line"]), F.array().cast("array<string>"))
+        return F.map_from_arrays(F.array(*[F.lit(n) for n in SECTIONS if n != "other_units"]), F.array(*[block(n) if n in BLOCKS else listed(n) for n in SECTIONS if n != "other_units"]))
+
+    return once(F.aggregate(lines, start, step)["found"], sections)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import judging, notation, prompts
 from verdigris.operators import episodes, folds, retrieval
 from verdigris.plans import datasets, reports
-from verdigris.plans.registry import fixture, query, table
+from verdigris.plans.registry import fixture, query, spread, table
 
 
 def quoted(s: str) -> str:
@@ -123,14 +123,14 @@ def math_notation(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("id") % 5 == 0, F.concat(F.lit("$y = \\frac{"), n, F.lit("}{x}$."))).when(F.col("id") % 5 == 1, F.concat(F.lit("\\dfrac{\\sqrt{"), n, F.lit("} a}{b}")))
         .when(F.col("id") % 5 == 2, F.lit("`α₁ · x²`")).when(F.col("id") % 5 == 3, F.concat(F.lit("np.arctan(\\pi\\cdot"), n, F.lit("))"))).otherwise("\\lambda + t'")
     )
-    return fixture(spark, d, "grid").select("id", notation.plain_math(said).alias("plain"))
+    return spread(fixture(spark, d, "grid")).select("id", notation.plain_math(said).alias("plain"))
 
 
 @query("""SELECT id, 'a,' || model_id AS variables, CASE WHEN size % 2 = 0 THEN 'x - ' || size || '|y' ELSE '' END AS equations, 's*m' AS units FROM [grid] g""")
 def system_files(spark: SparkSession, d: str) -> DataFrame:
     equations = F.when(F.col("size") % 2 == 0, F.concat(F.lit("\n x - "), F.col("size").cast("string"), F.lit("\n\ny"))).otherwise("")
     said = F.concat(F.lit("lost\nVariables: ['a', '"), "model_id", F.lit("']\nEquations:"), equations, F.lit("\nUnits of measure: lost\nlost too\nUnits of Measure of Equations:\ns*m\n"))
-    g = fixture(spark, d, "grid").withColumn("s", notation.system_sections(said))
+    g = spread(fixture(spark, d, "grid")).withColumn("s", notation.system_sections(said))
     return g.select("id", *[F.array_join(F.col("s")[k], sep).alias(name) for k, sep, name in (("variables", ",", "variables"), ("equations", "|", "equations"), ("units_equations", "|", "units"))])
 
 
