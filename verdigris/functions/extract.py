@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdigris.functions.text import EMPTY_SELECTION
+from verdigris.functions.text import EMPTY_SELECTION, once
 
 # Words of a direct answer, and the tags of the reply format.
 YES, NO = ("yes", "true", "correct", "affirmative"), ("no", "false", "incorrect", "negative")
@@ -31,8 +31,12 @@ def _strip(x: Column) -> Column:
 
 def after_last(x: Column, marker: str) -> Column:
     """What follows the marker's last occurrence, case aside; the text itself without one."""
-    at = F.length(x) - F.locate(marker.lower()[::-1], F.reverse(F.lower(x))) + 2
-    return F.when(F.contains(F.lower(x), F.lit(marker.lower())), _strip(F.regexp_replace(_strip(F.substr(x, at)), "^:+", ""))).otherwise(x)
+
+    def rest(x: Column) -> Column:
+        at = F.length(x) - F.locate(marker.lower()[::-1], F.reverse(F.lower(x))) + 2
+        return F.when(F.contains(F.lower(x), F.lit(marker.lower())), _strip(F.regexp_replace(_strip(F.substr(x, at)), "^:+", ""))).otherwise(x)
+
+    return once(x, rest)
 
 
 def strip_markdown(x: Column) -> Column:
@@ -77,13 +81,16 @@ def choice_labels(text: Column, labels: tuple[str, ...], prefix: str | None = No
 
     Where nothing follows the prefix, the last line that is not blank is read.
     """
-    span = answer_span(text, prefix=prefix)
     last = F.try_element_at(F.filter(F.split(F.coalesce(text, F.lit("")), "\\r\\n|[\\n\\r]"), lambda x: _strip(x) != ""), F.lit(-1))
-    span = F.when(span == "", _strip(F.coalesce(last, F.lit("")))).otherwise(span)
-    found = F.regexp_extract_all(span, F.lit("(?i)" + LABEL_ALONE.format(_alternatives(labels))), F.lit(1))
-    out = F.array_distinct(F.transform(found, lambda x: canonical_label(x, labels)))
-    bare = F.lower(_strip(F.regexp_replace(span, "[^\\w\\s/-]", " ")))
-    return F.when(F.size(out) > 0, out).when(bare.isin(*EMPTY_SELECTION), F.array().cast("array<string>"))
+
+    def named(span: Column) -> Column:
+        found = F.regexp_extract_all(span, F.lit("(?i)" + LABEL_ALONE.format(_alternatives(labels))), F.lit(1))
+        bare = F.lower(_strip(F.regexp_replace(span, "[^\\w\\s/-]", " ")))
+        none = F.when(bare.isin(*EMPTY_SELECTION), F.array().cast("array<string>"))
+        return once(F.array_distinct(F.transform(found, lambda x: canonical_label(x, labels))), lambda out: F.when(F.size(out) > 0, out).otherwise(none))
+
+    span = once(answer_span(text, prefix=prefix), lambda s: F.when(s == "", _strip(F.coalesce(last, F.lit("")))).otherwise(s))
+    return once(span, named)
 
 
 def first_number(text: Column) -> Column:

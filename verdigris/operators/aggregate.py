@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.stats import clean, mean
+from verdigris.functions.text import once
 
 # Metrics that are read together, so a sample has all of a group or counts for none of it.
 CO_AVERAGED = (
@@ -18,7 +21,7 @@ def whole_groups(metrics: Column, groups: tuple[tuple[str, ...], ...] = CO_AVERA
     """The map of metrics without NaN, and without groups of which a sample has only a part."""
     out = F.map_filter(metrics, lambda k, v: v.isNotNull() & ~F.isnan(v))
     for group in groups:
-        out = _whole(out, group)
+        out = once(out, partial(_whole, group=group))
     return out
 
 

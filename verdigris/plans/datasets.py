@@ -39,12 +39,19 @@ def selection(metric: str) -> Callable[[Column], tuple[Column, Column, Column]]:
 def multi_selection(metric: str) -> Callable[[Column], tuple[Column, Column, Column]]:
     def score(c: Column) -> tuple[Column, Column, Column]:
         found = extract.choice_labels(c, LETTERS, prefix="Answer:")
-        read, mine = found.isNotNull(), F.coalesce(found, F.array().cast("array<string>"))
-        prf = text.set_prf(mine, F.col("gold_labels"))
-        same = F.array_sort(F.array_distinct(mine)) == F.array_sort(F.array_distinct("gold_labels"))
-        zero = lambda x: F.when(read, x).otherwise(0.0)
-        named = {metric: zero(prf["f1"] if metric.endswith("f1") else same.cast("double"))}
-        return _map(**{"exact_set": zero(same.cast("double")), "set_f1": zero(prf["f1"]), "set_precision": zero(prf["precision"]), "set_recall": zero(prf["recall"]), "n_selected": F.size(mine), **named}), F.array_join(mine, ","), read
+        held = lambda found: F.coalesce(found, F.array().cast("array<string>"))
+
+        def metrics(found: Column) -> Column:
+            mine = held(found)
+            same = F.array_sort(F.array_distinct(mine)) == F.array_sort(F.array_distinct("gold_labels"))
+            return text.once(F.struct(found.isNotNull().alias("read"), text.set_prf(mine, F.col("gold_labels")).alias("prf"), same.cast("double").alias("same"), F.size(mine).alias("n")), named)
+
+        def named(s: Column) -> Column:
+            zero = lambda x: F.when(s["read"], x).otherwise(0.0)
+            f1, same = zero(s["prf"]["f1"]), zero(s["same"])
+            return _map(**{"exact_set": same, "set_f1": f1, "set_precision": zero(s["prf"]["precision"]), "set_recall": zero(s["prf"]["recall"]), "n_selected": s["n"], metric: f1 if metric.endswith("f1") else same})
+
+        return text.once(found, metrics), F.array_join(held(found), ","), found.isNotNull()
 
     return score
 
@@ -56,12 +63,16 @@ def number_set(metric: str) -> Callable[[Column], tuple[Column, Column, Column]]
         span = extract.answer_span(c, prefix="Answer:")
         found = F.array_distinct(F.transform(F.regexp_extract_all(span, F.lit("\\d+"), F.lit(0)), lambda x: x.cast("int")))
         gold = F.array_distinct(F.transform("gold_labels", lambda x: x.cast("int")))
-        read = F.size(found) > 0
-        same = F.array_sort(found) == F.array_sort(gold)
-        count = F.when(read, (F.size(found) == F.size(gold)).cast("double"))
-        f1 = F.when(read, text.set_prf(found, gold)["f1"]).otherwise(0.0)
+
+        # a gold list of other labels is not read as numbers where no reply is
+        def metrics(found: Column) -> Column:
+            read, same = F.size(found) > 0, F.array_sort(found) == F.array_sort(gold)
+            count = F.when(read, (F.size(found) == F.size(gold)).cast("double"))
+            return _map(**{metric: read & same, "premise_f1": F.when(read, text.set_prf(found, gold)["f1"]).otherwise(0.0), "premise_count_match": count})
+
         said = F.array_join(F.transform(F.array_sort(found), lambda x: x.cast("string")), " ")
-        return _map(**{metric: read & same, "premise_f1": f1, "premise_count_match": count}), F.when(read, said).otherwise(F.left(span, F.lit(200))), read
+        read = F.size(found) > 0
+        return text.once(found, metrics), F.when(read, said).otherwise(F.left(span, F.lit(200))), read
 
     return score
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from verdigris.functions import actions, extract, shapes, stats, text, validators
 from verdigris.operators import expand, frames, loads, records
 from verdigris.plans.datasets import PLANS
-from verdigris.plans.registry import fixture, query, table
+from verdigris.plans.registry import fixture, query, spread, table
 
 # ---------------------------------------------------------------- fields
 
@@ -492,7 +492,7 @@ SELECT metric, round(avg(v), 9) AS value, count(*) AS n FROM m GROUP BY metric""
 def dataset_number_set(spark: SparkSession, d: str) -> DataFrame:
     """Whole numbers of the answer as a set; a reply without any counts, but not as a wrong count."""
     said = F.when(F.col("id") % 6 > 0, F.concat(F.lit("I think 77. Answer: "), (F.col("size") % 5).cast("string"), F.lit(" and "), (F.col("size") % 3).cast("string"))).otherwise("Answer: none of them")
-    rows = fixture(spark, d, "grid").select(said.alias("content"), F.array((F.col("price").cast("int") % 5).cast("string"), F.lit("2")).alias("gold_labels"))
+    rows = spread(fixture(spark, d, "grid")).select(said.alias("content"), F.array((F.col("price").cast("int") % 5).cast("string"), F.lit("2")).alias("gold_labels"))
     plan = PLANS["uniadilr_hgc"]
     return plan.aggregate(plan.score(rows)).select("metric", F.round("value", 9).alias("value"), "n")
 
@@ -508,7 +508,7 @@ def dataset_multi_selection(spark: SparkSession, d: str) -> DataFrame:
     """Sets of letters read from the answer line; an explicit none is an empty set."""
     chosen = F.array_compact(F.array(F.when(F.col("size") % 2 == 0, F.lit("A")), F.when(F.col("size") % 3 == 0, F.lit("(c)"))))
     said = F.concat(F.lit("B looked likely. Answer: "), F.when(F.size(chosen) > 0, F.array_join(chosen, ", ")).otherwise("none"))
-    rows = fixture(spark, d, "grid").select(said.alias("content"), F.when(F.col("id") % 2 == 0, F.array(F.lit("A"), F.lit("C"))).otherwise(F.array(F.lit("A"))).alias("gold_labels"))
+    rows = spread(fixture(spark, d, "grid")).select(said.alias("content"), F.when(F.col("id") % 2 == 0, F.array(F.lit("A"), F.lit("C"))).otherwise(F.array(F.lit("A"))).alias("gold_labels"))
     plan = PLANS["aer"]
     return plan.aggregate(plan.score(rows)).select("metric", F.round("value", 9).alias("value"), "n")
 
@@ -533,6 +533,6 @@ SELECT metric, round(avg(v), 9) AS value, count(*) AS n FROM m GROUP BY metric""
 def dataset_free_text(spark: SparkSession, d: str) -> DataFrame:
     """Answers equal to the gold text, holding it, or neither, with a stratum."""
     said = F.when(F.col("id") % 3 == 0, F.lit("Answer: The Red  Fox!")).when(F.col("id") % 3 == 1, F.lit("Answer: a red fox, surely")).otherwise("Answer: blue")
-    rows = fixture(spark, d, "grid").select(said.alias("content"), F.lit("red fox").alias("gold"), F.lit(None).cast("array<string>").alias("accepted"), F.when(F.col("id") % 2 == 0, "a").otherwise("B c").alias("subset"))
+    rows = spread(fixture(spark, d, "grid")).select(said.alias("content"), F.lit("red fox").alias("gold"), F.lit(None).cast("array<string>").alias("accepted"), F.when(F.col("id") % 2 == 0, "a").otherwise("B c").alias("subset"))
     plan = PLANS["abductionrules"]
     return plan.aggregate(plan.score(rows)).select("metric", F.round("value", 9).alias("value"), "n")
