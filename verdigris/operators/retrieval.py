@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.stem import stem_words
+from verdigris.plans.session import durable
 
 # Function words, and the words that the items of a questionnaire share.
 STOP_WORDS = tuple(
@@ -22,33 +23,51 @@ def terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
+#: Terms of queries, or words with their stems, that are broadcast at the most; with more, Spark picks the joins.
+FEW = 1_000_000
+#: Pairs of query and document that a task scores.
+PAIRS = 2_000_000
+
+
 def bm25_topk(queries: DataFrame, inventory: DataFrame, query_id: str, doc_id: str, text: str, k: int, threshold: float = 0.0, k1: float = 1.5, b: float = 0.75, stop: tuple[str, ...] = (), stem: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents by BM25 over distinct query terms, normalised by the query's ceiling.
 
-    Statistics are those of the whole inventory.  Terms meet postings by a join
-    on the term; frequencies and lengths are summed before it.  With `stem`,
-    terms are stemmed.  `allowed` (query_id, doc_id) says which documents a
-    query may find: those of one record, for instance.
+    Statistics are those of the whole inventory.  Its texts are dealt out by
+    document once, so that terms are counted and documents scored where they
+    lie; only terms that queries have are counted, and no more than k documents
+    of each query leave a task.  With `stem`, terms are stemmed, each distinct
+    word of the inventory once.  `allowed` (query_id, doc_id) says which
+    documents a query may find: those of one record, for instance.
     """
     split = lambda c: stem_words(terms(c, stop)) if stem else terms(c, stop)
-    words = inventory.select(F.col(doc_id).alias("d"), F.explode(split(F.col(text))).alias("t"))
-    size = words.groupBy("d").agg(F.count("*").alias("len"))
-    stats = inventory.agg(F.count("*").alias("n")).crossJoin(size.agg(F.sum("len").alias("total"))).select("n", (F.col("total") / F.greatest(F.col("n"), F.lit(1))).alias("avg"))
-    tf = words.groupBy("t", "d").agg(F.count("*").alias("f"))
-    df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("t", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"), "avg")
     asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(split(F.col(text)))).alias("t"))
-    known = asked.join(idf, "t")
-    ceiling = known.groupBy("q").agg(F.sum("idf").alias("top"))
-    norm = k1 * (1 - b + b * F.col("len") / F.col("avg"))
+    n, (n_asked, n_queries) = inventory.count(), asked.agg(F.count("*"), F.count_distinct("q")).first()
+    small = lambda df, size=n_asked: F.broadcast(df) if size <= FEW else df
+    tasks = max(inventory.sparkSession.sparkContext.defaultParallelism, -(-n * max(n_queries, 1) // PAIRS))
+    lies = inventory.select(F.col(doc_id).alias("d"), F.col(text).alias("x")).repartition(tasks, "d").select("d", terms(F.col("x"), stop).alias("ws"))
+    words = lies.withColumn("len", F.sum(F.size("ws")).over(Window.partitionBy("d"))).select("d", "len", F.explode("ws").alias("w"))
+    wanted = small(asked.select("t").distinct())
+    if stem:
+        # kept, as the join's filter would go down to where words still repeat, and the stemmer with it
+        distinct = durable(words.select("w").distinct())
+        named = durable(distinct.select("w", stem_words(F.array("w"))[0].alias("t")).join(wanted, "t"))
+        found = words.join(small(named, named.count()), "w")
+    else:
+        found = words.withColumnRenamed("w", "t").join(wanted, "t", "left_semi")
+    tf = found.groupBy("d", "len", "t").agg(F.count("*").alias("f"))
+    df = tf.groupBy("t").agg(F.count("*").alias("df"))
+    stats = lies.agg((F.sum(F.size("ws")) / F.lit(max(n, 1))).alias("avg"))
+    idf = df.crossJoin(F.broadcast(stats)).select("t", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"), "avg")
+    known = small(asked.join(idf, "t").withColumn("top", F.sum("idf").over(Window.partitionBy("q"))))
     if allowed is None:
-        met = known.join(tf, "t")
+        met = tf.where("d IS NOT NULL").join(known, "t")
     else:
-        # a query's terms meet its own documents before they meet postings
-        pairs = allowed.select(F.col(query_id).alias("q"), F.col(doc_id).alias("d")).distinct()
-        met = known.join(pairs, "q").join(tf, ["t", "d"])
-    hits = met.join(size, "d").groupBy("q", "d").agg(F.sum(F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + norm)).alias("s"))
-    scored = hits.join(ceiling, "q").select("q", "d", (F.col("s") / F.col("top")).alias("score")).where(F.col("score") >= threshold)
+        # a document meets the queries that may find it before its terms meet theirs
+        pairs = allowed.select(F.col(query_id).alias("q"), F.col(doc_id).alias("d")).repartition(tasks, "d").distinct()
+        met = tf.join(pairs, "d").join(known, ["q", "t"])
+    norm = k1 * (1 - b + b * F.col("len") / F.col("avg"))
+    hits = met.groupBy("q", "d").agg(F.sum(F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + norm)).alias("s"), F.max("top").alias("top"))
+    scored = hits.select("q", "d", (F.col("s") / F.col("top")).alias("score")).where(F.col("score") >= threshold)
     # rounded, so that the order of a sum doesn't decide between documents of equal score
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "d"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score", "rank")
