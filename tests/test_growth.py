@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from verdigris.operators import retrieval
+from verdigris.operators import episodes, retrieval
 from verdigris.plans.catalogue import QUERIES
 
 
@@ -31,3 +31,17 @@ def test_repeated_documents_and_large_queries(spark, monkeypatch, few):
     # of 4 rows with 5 words, night is in three documents; that of length 3 has it twice
     tf = lambda f, n: f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n / 1.25))
     assert {(r["q"], r["d"]): r["score"] for r in out.collect()} == pytest.approx({(7, 1): tf(2, 3), (9, 1): tf(1, 3)} if tf(2, 3) > tf(1, 1) else {(7, 2): tf(1, 1), (9, 1): tf(1, 3)})
+
+
+def test_disclosed_without_joins(spark, small):
+    found = plan(QUERIES["disclosed_findings"](spark, small))
+    assert "Join" not in found and len(re.findall(r"hashpartitioning\(__e", found)) == 1
+
+
+def test_turns_that_disclose_nothing(spark):
+    """Absent categories, empty and missing keys, a limit, a key shown under a parent and by its own name, keys of another case."""
+    case = spark.createDataFrame([(1, "c", k) for k in ("a", "a.x", "a.x.y", "b", "b.z")] + [(2, "c", "q"), (1, None, "a")], "episode int, category string, key string")
+    asks = [(1, 0, "c", ["q", "b.z", "a.x.y", "b"]), (1, 1, "c", ["a"]), (1, 2, "c", []), (1, 3, None, ["a"]), (1, 4, "c", None), (2, 0, "d", ["q"]), (None, 0, "c", ["a"])]
+    got = {(r["episode"], r["turn"]): (r["shown"], r["fresh"], r["n_revealed"]) for r in episodes.disclosed(spark.createDataFrame(asks, "episode int, turn int, category string, keys array<string>"), case, limit=2).collect()}
+    none = lambda n: ([], 0, n)
+    assert got == {(1, 0): (["a.x", "a.x.y", "b", "b.z"], 4, 4), (1, 1): (["a", "a.x"], 1, 5), (1, 2): none(5), (1, 3): none(5), (1, 4): none(5), (2, 0): none(0), (None, 0): none(0)}

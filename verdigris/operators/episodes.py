@@ -39,7 +39,7 @@ def synthetic_grid(cells: DataFrame, per_cell: int, seed: str) -> DataFrame:
 
 
 def parent_key(key: Column) -> Column:
-    return F.when(F.contains(key, F.lit(".")), F.regexp_replace(key, "\\.[^.]*$", "")).otherwise(key)
+    return F.when(F.contains(key, F.lit(".")), F.left(key, F.length(key) - F.length(F.substring_index(key, ".", -1)) - 1)).otherwise(key)
 
 
 def disclosed(asks: DataFrame, case: DataFrame, episode: str = "episode", turn: str = "turn", limit: int = 6) -> DataFrame:
@@ -51,18 +51,23 @@ def disclosed(asks: DataFrame, case: DataFrame, episode: str = "episode", turn:
     direct children.  `fresh` counts keys that no earlier turn had shown.  Keys
     that the case doesn't hold show nothing, and turns that show nothing stay.
     """
-    held = case.select(F.col(episode).alias("__e"), F.col("category").alias("__c"), "key").distinct()
+    case_rows = case.select(F.col(episode).alias("__e"), F.col("category").alias("__c"), "key")
     # a key is found under its parent, and under its own name
-    finding = held.select("__e", "__c", "key", F.explode(F.array_distinct(F.array("key", parent_key(F.col("key"))))).alias("__p"))
-    wanted = asks.select(F.col(episode).alias("__e"), F.col(turn).alias("__t"), F.col("category").alias("__c"), F.posexplode("keys").alias("__at", "key"))
-    present = wanted.join(held, ["__e", "__c", "key"], "left_semi").withColumn("__p", parent_key(F.col("key")))
-    parents = present.groupBy("__e", "__t", "__c", "__p").agg(F.min("__at").alias("__at"))
-    first = parents.withColumn("__rank", F.row_number().over(Window.partitionBy("__e", "__t", "__c").orderBy("__at"))).where(F.col("__rank") <= limit)
-    shown = first.join(finding, ["__e", "__c", "__p"]).select("__e", "__t", "__c", "key").distinct()
-    shown = shown.withColumn("__new", F.col("__t") == F.min("__t").over(Window.partitionBy("__e", "__c", "key")))
-    per = shown.groupBy("__e", "__t").agg(F.array_sort(F.collect_set("key")).alias("shown"), F.count_if("__new").alias("fresh"))
-    turns = asks.select(F.col(episode).alias("__e"), F.col(turn).alias("__t")).distinct().join(per, ["__e", "__t"], "left")
-    rows = turns.withColumns({"shown": F.coalesce("shown", F.array().cast("array<string>")), "fresh": F.coalesce("fresh", F.lit(0).cast("bigint"))})
+    finding = case_rows.select("__e", "__c", "key", F.explode(F.array_distinct(F.array("key", parent_key(F.col("key"))))).alias("__p"), F.lit(None).cast(asks.schema[turn].dataType).alias("__t"), F.lit(None).cast("int").alias("__at"), F.lit(True).alias("__held"))
+    wanted = asks.select(F.col(episode).alias("__e"), F.col(turn).alias("__t"), F.col("category").alias("__c"), F.posexplode_outer("keys").alias("__at", "key"))
+    wanted = wanted.select("__e", "__c", "key", parent_key(F.col("key")).alias("__p"), "__t", "__at", F.lit(False).alias("__held"))
+    # one exchange: an episode's rows meet in one task, and every step sorts them there
+    met = finding.unionByName(wanted).repartition("__e")
+    children = F.collect_set(F.when(F.col("__held"), F.col("key"))).over(Window.partitionBy("__e", "__c", "__p"))
+    present = F.coalesce(F.array_contains("__children", F.col("key")), F.lit(False)) & F.col("__e").isNotNull() & F.col("__c").isNotNull() & F.col("__t").isNotNull()
+    asked = met.withColumn("__children", children).where(~F.col("__held")).withColumn("__present", present)
+    # a turn's requests are one row, and those that show nothing stay
+    turns = asked.groupBy("__e", "__t", "__c").agg(F.array_sort(F.collect_list(F.when(F.col("__present"), F.struct("__at", "__p", "__children")))).alias("__asked"))
+    turns = turns.withColumn("__first", F.slice(F.array_distinct("__asked.__p"), 1, limit))
+    keys = F.flatten(F.transform(F.filter("__asked", lambda x: F.array_contains("__first", x["__p"])), lambda x: x["__children"]))
+    shown = turns.select("__e", "__t", "__c", F.explode_outer(F.array_distinct(keys)).alias("key"))
+    fresh = F.col("key").isNotNull() & (F.col("__t") == F.min("__t").over(Window.partitionBy("__e", "__c", "key")))
+    rows = shown.withColumn("__new", fresh).groupBy("__e", "__t").agg(F.array_sort(F.collect_set("key")).alias("shown"), F.count_if("__new").alias("fresh"))
     known = F.sum("fresh").over(Window.partitionBy("__e").orderBy("__t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("n_revealed", known).select(F.col("__e").alias(episode), F.col("__t").alias(turn), "shown", "fresh", "n_revealed")
 
