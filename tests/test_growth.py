@@ -6,7 +6,8 @@ import re
 
 import pytest
 
-from verdigris.operators import episodes, retrieval
+from verdigris.operators import episodes, folds, ranks, records, retrieval
+from verdigris.plans import session
 from verdigris.plans.catalogue import QUERIES
 
 
@@ -45,3 +46,30 @@ def test_turns_that_disclose_nothing(spark):
     got = {(r["episode"], r["turn"]): (r["shown"], r["fresh"], r["n_revealed"]) for r in episodes.disclosed(spark.createDataFrame(asks, "episode int, turn int, category string, keys array<string>"), case, limit=2).collect()}
     none = lambda n: ([], 0, n)
     assert got == {(1, 0): (["a.x", "a.x.y", "b", "b.z"], 4, 4), (1, 1): (["a", "a.x"], 1, 5), (1, 2): none(5), (1, 3): none(5), (1, 4): none(5), (2, 0): none(0), (None, 0): none(0)}
+
+
+def test_members_dropped_in_one_pass(spark, small):
+    found = plan(QUERIES["drop_reduced_members"](spark, small))
+    # one exchange of rows with a group, one of those without, which the scan leaves out
+    assert "Join" not in found and len(re.findall(r"hashpartitioning\(l_orderkey", found)) == 2 and "IsNull(l_orderkey)" in found
+    rows = [(1, True), (1, False), (2, False), (2, None), (None, False), (None, True), (None, None), (3, None), (3, True), (1, True)]
+    got = folds.drop_members(spark.createDataFrame(rows, "group_id int, reduced boolean")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, True), (1, True), (2, False), (None, False), (None, True), (3, True)], key=str)
+
+
+def test_fixtures_are_dealt_by_size(spark, small, monkeypatch):
+    from verdigris.plans import registry
+
+    assert "REPARTITION" not in plan(registry.fixture(spark, small, "items"))
+    monkeypatch.setattr(registry, "tasks_for", lambda spark, rows: session.tasks_for(spark, rows, 500))
+    assert re.search(r"hashpartitioning\(l_orderkey#\d+L, 1[0-9]\), REPARTITION_BY_NUM", plan(registry.fixture(spark, small, "items")))
+
+
+def test_resuming_joins_once(spark, small, monkeypatch):
+    monkeypatch.setattr(records, "tasks_for", lambda spark, rows: session.tasks_for(spark, rows, 1))
+    prompts, done = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "id int, x string"), spark.createDataFrame([(1,), (1,), (None,), (3,), (4,), (5,)], "id int")
+    found = records.with_reused(prompts, done, ["id"])
+    assert "hashpartitioning(id" in plan(found) and ", 6), REPARTITION_BY_NUM" in plan(found)
+    assert {tuple(r) for r in found.collect()} == {(1, "a", True), (1, "b", True), (2, "c", False), (None, "d", False)}
+    assert [sorted(r["x"] for r in part.collect()) for part in records.resume_split(prompts, done, ["id"])] == [["a", "b"], ["c", "d"]]
+    assert plan(QUERIES["resume_split"](spark, small)).count("Join") == 1

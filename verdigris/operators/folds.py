@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import text
@@ -48,9 +48,13 @@ def repeat_error(df: DataFrame, keys: list[str], repeat: str, score: str) -> Dat
 
 
 def drop_members(df: DataFrame, group: str = "group_id", reduced: str = "reduced") -> DataFrame:
-    """Reduced rows, and rows whose group has none."""
-    done = df.where(F.col(reduced)).select(group).where(F.col(group).isNotNull()).distinct()
-    return df.where(F.col(reduced)).unionByName(df.where(~F.col(reduced)).join(done, group, "left_anti").select(*df.columns))
+    """Reduced rows, and rows whose group has none.
+
+    A group's rows are sorted once, where they meet; rows without a group don't move.
+    """
+    grouped, alone = df.where(F.col(group).isNotNull()), df.where(F.col(group).isNull() & F.col(reduced).isNotNull())
+    done = grouped.withColumn("__done", F.max(reduced).over(Window.partitionBy(group)))
+    return done.where(F.col(reduced) | (~F.col(reduced) & ~F.col("__done"))).select(*df.columns).unionByName(alone)
 
 
 def reduce_groups(df: DataFrame, prompt_mode: str, selection_mode: str, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -38,6 +38,11 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int = 1_000_000) -> int:
+    """Tasks that hold about `each` rows at the most, as many as the session shuffles to at the least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder of this application that driver and executors share: in spark.checkpoint.dir; a session in one process takes a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
