@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.plans.session import tasks_for
+
 REUSABLE = ("ok", "empty", "truncated", "skipped")
 SCORED = ("ok", "empty", "truncated")
 
@@ -24,10 +26,18 @@ def reusable(df: DataFrame, keys: list[str], seq: str, status: str = "status", f
     return dedupe_last(df.where(good), keys, seq)
 
 
+def with_reused(prompts: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """Prompts with `reused`: whether their key has a record.  One join, dealt out so that no task grows with the tables."""
+    known = records.select(*keys)
+    tasks = tasks_for(prompts.sparkSession, max(prompts.count(), known.count()))
+    done = known.repartition(tasks, *keys).distinct().withColumn("reused", F.lit(True))
+    return prompts.repartition(tasks, *keys).join(done, keys, "left").withColumn("reused", F.coalesce("reused", F.lit(False))).select(*prompts.columns, "reused")
+
+
 def resume_split(prompts: DataFrame, records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(reused, pending): prompts whose key has a record, and those without."""
-    done = records.select(*keys).distinct()
-    return prompts.join(done, keys, "left_semi"), prompts.join(done, keys, "left_anti")
+    rows = with_reused(prompts, records, keys)
+    return rows.where("reused").drop("reused"), rows.where("NOT reused").drop("reused")
 
 
 def supersede(prior: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:

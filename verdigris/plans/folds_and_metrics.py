@@ -232,8 +232,7 @@ def dedupe_last(spark: SparkSession, d: str) -> DataFrame:
 def resume_split(spark: SparkSession, d: str) -> DataFrame:
     prompts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
-    reused, pending = records.resume_split(prompts, done, ["id"])
-    return reused.withColumn("reused", F.lit(True)).unionByName(pending.withColumn("reused", F.lit(False)))
+    return records.with_reused(prompts, done, ["id"])
 
 
 @query("SELECT l_returnflag AS task, 'new' AS run, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1 UNION ALL SELECT l_returnflag, 'old', count(*) FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1")
