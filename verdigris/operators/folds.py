@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import text
+from verdigris.plans.session import tasks_for
 
 
 def vote(df: DataFrame, group: str = "group_id", position: str = "pos", prediction: str = "prediction", parsed: str = "parse_ok", score: str = "score") -> DataFrame:
@@ -50,11 +51,13 @@ def repeat_error(df: DataFrame, keys: list[str], repeat: str, score: str) -> Dat
 def drop_members(df: DataFrame, group: str = "group_id", reduced: str = "reduced") -> DataFrame:
     """Reduced rows, and rows whose group has none.
 
-    A group's rows are sorted once, where they meet; rows without a group don't move.
+    A group's rows are sorted once, where they meet, in tasks that hold about a
+    million rows; rows without a group stay spread as they were read.
     """
-    grouped, alone = df.where(F.col(group).isNotNull()), df.where(F.col(group).isNull() & F.col(reduced).isNotNull())
-    done = grouped.withColumn("__done", F.max(reduced).over(Window.partitionBy(group)))
-    return done.where(F.col(reduced) | (~F.col(reduced) & ~F.col("__done"))).select(*df.columns).unionByName(alone)
+    rows = df.withColumn("__alone", F.when(F.col(group).isNull(), F.spark_partition_id()))
+    rows = rows.repartition(tasks_for(df.sparkSession, df.count()), group, "__alone")
+    done = rows.withColumn("__done", F.max(reduced).over(Window.partitionBy(group, "__alone")) & F.col(group).isNotNull())
+    return done.where(F.col(reduced) | (~F.col(reduced) & ~F.col("__done"))).select(*df.columns)
 
 
 def reduce_groups(df: DataFrame, prompt_mode: str, selection_mode: str, carry: tuple[str, ...] = ()) -> DataFrame:
