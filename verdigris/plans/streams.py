@@ -58,14 +58,17 @@ FROM r JOIN p USING (dataset_id) WHERE dataset_id <> 'P' GROUP BY 1, 2"""
 )
 def interim_reports(spark: SparkSession, d: str) -> DataFrame:
     """Records that arrive in batches, some twice: each dataset is reported once; one with records still owed is not."""
+    episodes.use_state_store(spark)
     rows = fixture(spark, d, "replies").select(F.col("task").alias("dataset_id"), "id", "status", F.col("price").alias("score"))
     at = fresh(spark, "interim")
-    rows.unionByName(rows.where("id % 3 = 0")).repartition(4, F.xxhash64("score", "id")).write.parquet(f"{at}/in")
+    # four batches, each of as many files as tasks may read
+    files = spark.sparkContext.defaultParallelism
+    rows.unionByName(rows.where("id % 3 = 0")).repartition(4 * files, F.xxhash64("score", "id")).write.parquet(f"{at}/in")
     owed = F.when(F.col("dataset_id") == "P", 1).otherwise(0)
     planned = rows.groupBy("dataset_id").agg((F.count("*") + F.max(owed)).alias("planned"))
     planned.write.parquet(f"{at}/planned")
     sink = reports.CompletionReport(f"{at}/out", spark.read.parquet(f"{at}/planned"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
     reports.progress(stream, ["id"]).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     found = sink.read(spark).withColumn("score", F.round("score", 6))
     times = found.groupBy("dataset_id").agg(F.count("*").alias("times"))

@@ -212,3 +212,7 @@ def use_state_store(spark) -> None:
     name = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in spark.conf.get(name):
         spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # what an executor's stores hold together, whatever the number of keys
+    for name, value in (("boundedMemoryUsage", "true"), ("maxMemoryUsageMB", "500")):
+        if spark.conf.get(f"spark.sql.streaming.stateStore.rocksdb.{name}", None) is None:
+            spark.conf.set(f"spark.sql.streaming.stateStore.rocksdb.{name}", value)

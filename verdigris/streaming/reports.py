@@ -48,5 +48,5 @@ class CompletionReport:
         if before is not None:
             found = found.join(before.where(F.col("batch") < epoch).select(self.dataset), self.dataset, "left_anti")
         report = found.select(self.dataset, "planned", "n", "n_scored", "n_error", F.when(F.col("n_values") > 0, F.col("total") / F.col("n_values")).otherwise(0.0).alias("score"), (F.col("n_scored") / F.col("planned")).alias("coverage"))
-        # a row for each dataset
-        report.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={epoch}")
+        # a row for each dataset; coalesced, one task would hold the state of all partitions
+        report.repartition(1).write.mode("overwrite").parquet(f"{self.path}/batch={epoch}")
