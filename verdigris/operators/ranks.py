@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.plans.session import durable
+from verdigris.plans.session import durable, tasks_for
 
 
 def same(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
@@ -122,6 +122,10 @@ def inversions(b: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Rows of a range that one Python worker holds, about.
+HELD = 500_000
+
+
 def _inverted(rows: DataFrame, keys: list[str], b: str) -> DataFrame:
     """keys, d: pairs of rows of a partition, in the order in which they stand there, whose b falls."""
 
@@ -146,14 +150,16 @@ def kendall_tau_b(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     Pairs that fall are counted as inversions of b in order of (a, b): inside
     ranges of that order; between ranges that hold different ranges of b, from
     their numbers of rows; and between ranges inside one range of b.  So a
-    group is spread over as many tasks as its size asks for.
+    group is spread over as many tasks as its size asks for, and no range grows
+    with the table.
     """
+    tasks = tasks_for(df.sparkSession, df.select(a).count(), HELD)
     x, y = F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")
     counts = df.select(*keys, x, y).where("a IS NOT NULL AND b IS NOT NULL").groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
-    one = durable(counts.repartitionByRange(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b").withColumn("__p", F.spark_partition_id()))
+    one = durable(counts.repartitionByRange(tasks, *keys, "a", "b").sortWithinPartitions(*keys, "a", "b").withColumn("__p", F.spark_partition_id()))
     # a group inside one range is done; those that reach over a border are no more than twice the ranges
     wide = one.groupBy(*keys).agg(F.min("__p").alias("__from"), F.max("__p").alias("__to")).where("__from < __to")
-    two = durable(same(one, wide.select(*keys), keys, "left_semi").repartitionByRange(*keys, "b").sortWithinPartitions(*keys, "__p", "b").withColumn("__q", F.spark_partition_id()))
+    two = durable(same(one, wide.select(*keys), keys, "left_semi").repartitionByRange(tasks, *keys, "b").sortWithinPartitions(*keys, "__p", "b").withColumn("__q", F.spark_partition_id()))
     cells = two.groupBy(*keys, "__p", "__q").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy(*keys, "__q").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     # every range of a meets every range of b that the group has, also where the cell is empty
