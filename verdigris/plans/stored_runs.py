@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import rebuild
 from verdigris.plans.registry import fixture, query
+from verdigris.plans.session import durable
 from verdigris.plans.streams import fresh
 
 
@@ -16,6 +17,18 @@ def write_tasks(rows: DataFrame, run: str, name: str, value: Column) -> None:
     file.write.mode("append").partitionBy("dataset", "model", "template", "file").text(f"{run}/datasets")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows over all tasks by their folder and one of some buckets, ahead of lines that are costly to write: a narrow table lies in a few file splits.
+
+    A bucket has about a million rows at the most, whatever their folders, and
+    a task writes to few folders, as the driver moves every file that is written.
+    """
+    n = rows.count()
+    buckets = max(min(16, n // 250_000), -(-n // 1_000_000), 1)
+    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, 2 * buckets)
+    return rows.repartition(tasks, "dataset_id", "model_id", "template", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+
+
 def stored_run(spark: SparkSession, d: str) -> str:
     """Every reply as a record of a task: some written twice, some lines torn, some folded from a group, and what the tasks' own files say."""
     run = fresh(spark, "run")
@@ -27,13 +40,15 @@ def stored_run(spark: SparkSession, d: str) -> str:
     record = F.struct("sample_id", "group_id", "status", F.concat(F.lit("p"), "id").alias("prompt_fingerprint"), response.alias("response"), metrics.alias("metrics"), (F.col("id") % 11 > 0).alias("parse_ok"), F.lit("guess").alias("prediction"), F.struct((F.col("id") % 13 == 0).alias("reduced")).alias("metadata"), F.col("id").alias("seq"), F.lit("cot").alias("prompt_mode"))
     older = record.withField("status", F.lit("error")).withField("seq", F.col("id") - 1)
     lines = F.filter(F.array(F.to_json(record), F.when(F.col("id") % 7 == 0, F.to_json(older)), F.when(F.col("id") % 17 == 0, F.left(F.to_json(record), F.lit(25)))), lambda x: x.isNotNull())
-    write_tasks(rows.withColumn("line", F.explode(lines)), run, "records.jsonl", F.col("line"))
+    spread = dealt(rows)
+    write_tasks(spread.withColumn("line", F.explode(lines)), run, "records.jsonl", F.col("line"))
     tasks = rows.groupBy("dataset_id", "model_id", "template").agg(F.count("*").alias("n"))
+    tasks = durable(tasks)  # a row for each folder
     odd = F.col("template") == "t@2.5"
     said = F.to_json(F.struct(F.create_map(F.lit("acc"), F.lit(0.5)).alias("metrics"), F.struct((F.col("n") + 10).alias("planned")).alias("counts"), F.lit("acc").alias("primary_metric")))
     write_tasks(tasks.where(odd), run, "metrics.json", said)
     write_tasks(tasks, run, "checkpoint.json", F.to_json(F.struct((F.col("n") + 5).alias("total_planned"))))
-    turns = rows.where("id % 3 = 0").select("*", F.explode(F.sequence(F.lit(1), (F.col("id") % 4 + 1).cast("int"))).alias("t"))
+    turns = spread.where("id % 3 = 0").select("*", F.explode(F.sequence(F.lit(1), (F.col("id") % 4 + 1).cast("int"))).alias("t"))
     write_tasks(turns, run, "turns.jsonl", F.to_json(F.struct("sample_id", F.col("t").alias("turn_number"), F.lit("ok").alias("status"))))
     events = tasks.groupBy("dataset_id").agg(F.sum("n").alias("n")).select(F.explode(F.array(F.to_json(F.struct(F.lit("run_started").alias("event"), F.lit(5.5).alias("ts"))), F.to_json(F.struct(F.lit("dataset_skipped").alias("event"), "dataset_id", F.concat(F.lit("absent: "), F.col("n").cast("string")).alias("reason"))), F.lit('{"event": "run_fin'))).alias("value"))
     events.write.text(f"{run}/events.jsonl")
