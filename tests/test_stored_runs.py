@@ -68,3 +68,15 @@ def test_columns_of_records(spark, run):
     at = run("d/m/t@2", "records.jsonl", {"sample_id": "a", "seq": 1, "response": {"content": "long", "latency_s": 2.0}})
     assert rebuild.run_records(spark, at, ("response.latency_s", "task_kind")).collect() == [("d", "m", "t", "2", "a", None, (2.0,), "generation")]
     assert set(rebuild.run_records(spark, at).columns) >= {*rebuild.TASK, "seq", "response", "metadata", "created_at"}
+
+
+def test_turns_read_their_files_once(spark, small):
+    found = final_plan(QUERIES["rebuilt_turns"](spark, small))
+    assert found.count("FileScan json") == 2 and "content" not in found.split("FileScan json")[0]
+
+
+def test_turns_take_the_latest_record(spark, run):
+    run("d/m/t@1", "records.jsonl", *[{"sample_id": "a", "prompt_fingerprint": f"p{k}", "seq": k, "status": f"s{k}", "prediction": str(k)} for k in (3, 9, 1)])
+    at = run("d/m/t@1", "turns.jsonl", {"sample_id": "a", "turn_number": 1}, {"sample_id": "a", "turn_number": 2}, {"sample_id": "b", "turn_number": 1}, {"sample_id": "c"}, {"turn_number": 4})
+    got = rebuild.run_turns(spark, at).select("sample_id", "turn_number", "is_last", "record_status", "prediction").collect()
+    assert sorted(map(tuple, got)) == [("a", 1, False, None, None), ("a", 2, True, "s9", "9"), ("b", 1, True, None, None), ("c", None, None, None, None)]

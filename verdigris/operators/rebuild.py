@@ -128,13 +128,18 @@ def run_tasks(spark: SparkSession, run: str, records: DataFrame | None = None) -
 
 
 def run_turns(spark: SparkSession, run: str, records: DataFrame | None = None) -> DataFrame:
-    """The turns of all tasks with is_last, and on each episode's last turn the record's status and prediction."""
-    rows = run_records(spark, run) if records is None else records
+    """The turns of all tasks with is_last, and on each episode's last turn the status and prediction of its latest record.
+
+    Turns are read once and meet by episode, where the record comes to them.
+    """
+    rows = run_records(spark, run, ("seq", "status", "prediction")) if records is None else records
     turns = task_files(spark, run, "turns.jsonl", TURN).where("sample_id IS NOT NULL")
-    last = turns.groupBy(*TASK, "sample_id").agg(F.max("turn_number").alias("__last"))
-    record = rows.select(*TASK, "sample_id", F.col("status").alias("record_status"), "prediction").dropDuplicates([*TASK, "sample_id"])
-    marked = turns.join(last, [*TASK, "sample_id"]).withColumn("is_last", F.col("turn_number") == F.col("__last")).drop("__last")
-    joined = marked.join(record, [*TASK, "sample_id"], "left")
+    key = ["__key", *TASK, "sample_id"]
+    turns = turns.withColumn("__key", F.xxhash64(*key[1:]))
+    marked = turns.withColumn("is_last", F.col("turn_number") == F.max("turn_number").over(Window.partitionBy(*key)))
+    record = rows.select(F.xxhash64(*key[1:]).alias("__key"), *key[1:], F.col("status").alias("record_status"), "prediction", "seq")
+    record = dedupe_last(record, key, "seq").drop("seq", "first_seq")
+    joined = marked.join(record, key, "left").drop("__key")
     return joined.withColumns({c: F.when(F.col("is_last"), F.col(c)) for c in ("record_status", "prediction")})
 
 
