@@ -80,3 +80,8 @@ def test_turns_take_the_latest_record(spark, run):
     at = run("d/m/t@1", "turns.jsonl", {"sample_id": "a", "turn_number": 1}, {"sample_id": "a", "turn_number": 2}, {"sample_id": "b", "turn_number": 1}, {"sample_id": "c"}, {"turn_number": 4})
     got = rebuild.run_turns(spark, at).select("sample_id", "turn_number", "is_last", "record_status", "prediction").collect()
     assert sorted(map(tuple, got)) == [("a", 1, False, None, None), ("a", 2, True, "s9", "9"), ("b", 1, True, None, None), ("c", None, None, None, None)]
+
+
+def test_prompts_read_records_once(spark, small):
+    found = final_plan(QUERIES["rebuilt_prompts"](spark, small))
+    assert found.count("FileScan json") == 1 and "created_at" not in found

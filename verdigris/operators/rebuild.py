@@ -18,6 +18,8 @@ from verdigris.sources.readers import RECORD
 
 TASK = ["dataset_id", "model_id", "template_id", "template_version"]
 MODES = {"prompt_mode": "io", "selection_mode": "n/a", "task_kind": "generation", "data_delivery_mode": "static"}
+#: What a record says of the reply to its prompt.
+ANSWER = ("response", "status", "metrics", "prediction", "parse_ok")
 #: What a task's own files say of it.
 METRICS = "metrics map<string,string>, counts struct<planned:bigint>, primary_metric string, failure string"
 CHECKPOINT = "total_planned bigint"
@@ -82,6 +84,7 @@ def run_prompts(records: DataFrame, prompts: DataFrame, keys: tuple[str, ...] =
 
     A record answers a prompt with its sample and its fingerprint; a prompt
     without one has stored = false.  A reply that is not scored has no score.
+    Of the records' columns beside the keys ANSWER is all that is read.
     """
     score = F.when(F.col("status").isin(*SCORED), F.struct("metrics", "prediction", F.coalesce("parse_ok", F.lit(True)).alias("parse_ok")))
     known = records.select(*keys, "response", "status", score.alias("score"), F.lit(True).alias("stored"))

@@ -82,7 +82,7 @@ SELECT sample_id, 'Ask ' || p.id AS rendered, id % 5 > 0 AND k.id IS NOT NULL AS
 )
 def rebuilt_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Rendered prompts with their stored replies and scores; a fifth of the prompts has changed since."""
-    records = rebuild.run_records(spark, stored_run(spark, d))
+    records = rebuild.run_records(spark, stored_run(spark, d), rebuild.ANSWER)
     name = F.when(F.col("id") % 13 == 0, "g").otherwise("s")
     prompts = fixture(spark, d, "replies").select(F.concat(name, F.col("id").cast("string")).alias("sample_id"), F.concat(F.when(F.col("id") % 5 == 0, "new").otherwise("p"), F.col("id").cast("string")).alias("prompt_fingerprint"), F.concat(F.lit("Ask "), F.col("id").cast("string")).alias("rendered"))
     found = rebuild.run_prompts(records, prompts)
